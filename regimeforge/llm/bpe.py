@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks, common
 
@@ -190,7 +191,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
     """``encoded`` with a column ``decoded``: the bytes of the tokens, joined. An id without a token is
     an error; null ids give null. The token-byte table is broadcast: it has a row for each token."""
     table = encoded.sparkSession.sparkContext.broadcast(ranks)
-    schema = encoded.schema.add("decoded", "binary")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def look_up(batches):
         tokens: list[bytes | None] = [None] * (max(table.value.values(), default=-1) + 1)
