@@ -88,8 +88,8 @@ def words_of(text: str, lower: bool) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def code_words(texts: list[str], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each distinct word, slot of each word of all texts in order, words of each text)."""
+def index_words(texts: list[str], lower: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, slot of each word of all texts in order, words of each text)."""
     index: dict[bytes, int] = defaultdict()
     index.default_factory = index.__len__
     slots, lens = [], []
@@ -97,8 +97,13 @@ def code_words(texts: list[str], lower: bool) -> tuple[np.ndarray, np.ndarray, n
         words = words_of(text, lower)
         slots.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
         lens.append(len(words))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), U64, len(index))
-    return hashes, np.concatenate(slots) if slots else np.empty(0, np.uint32), np.array(lens, np.int64)
+    return list(index), np.concatenate(slots) if slots else np.empty(0, np.uint32), np.array(lens, np.int64)
+
+
+def code_words(texts: list[str], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct word, slot of each word of all texts in order, words of each text)."""
+    words, slots, lens = index_words(texts, lower)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words)), slots, lens
 
 
 def mix(h: np.ndarray) -> np.ndarray:
