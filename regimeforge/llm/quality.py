@@ -70,6 +70,9 @@ class Model:
         z = float(np.dot(expand(np.array([self.features(text or "")]))[0], self.weights))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def scores(self, texts: list[str | None]) -> list[float]:
+        return [self.score(t) for t in texts]
+
 
 def expand(x: np.ndarray) -> np.ndarray:
     """The features with their squares and a constant."""
@@ -141,7 +144,7 @@ def score(docs: DataFrame, model, folds: int = FOLDS, held_out: int = HELD_OUT,
 
     def run(batches):
         for batch in batches:
-            scores = [held.value.score(t) for t in batch.column(1).to_pylist()]
+            scores = held.value.scores(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, score double")
