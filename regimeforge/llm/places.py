@@ -17,17 +17,24 @@ def doc_key(docs: DataFrame, doc_id: str, text: str) -> list:
     return [docs[doc_id].cast("long").alias("rf_doc"), F.xxhash64(docs[text]).alias("rf_text")]
 
 
+def split_key(g: str):
+    """A second join key that follows from the first. An aggregate's partitioning by ``g`` does not serve
+    a join by both, and an exchange that only a join asks for is one that Spark splits by skew."""
+    return F.pmod(F.col(g), F.lit(1024)).alias("rf_split")
+
+
 def later_repeats(runs: DataFrame, index: str = "i") -> DataFrame:
     """The rows of ``runs`` (run hash ``g``, rf_doc, rf_text, index, ...) whose run stands at an earlier
     place, with that first place's document as ``first_doc``.
 
-    The first places are an aggregate with partial minima. The join on the run hash splits by
-    skew where a run is very frequent: one side has a single row for each hash.
+    The first places are an aggregate with partial minima. The join has its own exchange, by the run hash
+    and a remainder of it, so Spark can split it where a run is very frequent: one side has a single row
+    for each hash.
     """
     place = F.struct("rf_doc", "rf_text", index)
     first = runs.groupBy("g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    first = first.select(F.col("g").alias("g"), F.lit(0).alias("rf_one"), "first")
-    return runs.withColumn("rf_one", F.lit(0)).join(first, ["g", "rf_one"]).where(place > F.col("first")).withColumn("first_doc", F.col("first.rf_doc")).drop("first", "rf_one")
+    first = first.select("g", split_key("g"), "first")
+    return runs.select("*", split_key("g")).join(first, ["g", "rf_split"]).where(place > F.col("first")).withColumn("first_doc", F.col("first.rf_doc")).drop("first", "rf_split")
 
 
 def same_place(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
