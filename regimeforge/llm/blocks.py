@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 16 << 20
+SLICE_ROWS = 256
 #: Distinct n-grams that one hash range takes on average.
 RANGE_ENTRIES = 3_000_000
 
@@ -71,13 +72,15 @@ def iter_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTE
     texts: list[str] = []
     size = n = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or "")
-            size += len(texts[-1])
-            if size >= block_bytes:
-                yield first + n, ids, texts
-                ids, texts, size, n = [], [], 0, n + 1
+        for at in range(0, batch.num_rows, SLICE_ROWS):  # a batch may be much larger than a block
+            part = batch.slice(at, SLICE_ROWS)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t or "")
+                size += len(texts[-1])
+                if size >= block_bytes:
+                    yield first + n, ids, texts
+                    ids, texts, size, n = [], [], 0, n + 1
     if ids:
         yield first + n, ids, texts
 

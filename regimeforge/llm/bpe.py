@@ -33,6 +33,8 @@ from . import blocks, common
 
 #: Distinct words that one hash range takes on average.
 RANGE_WORDS = 1_000_000
+#: Text of a block; its words are Python strings, which take several times that.
+BLOCK_BYTES = 6 << 20
 
 _TIGHT = re.compile(r"\s[\s\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -85,7 +87,7 @@ def _number(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(index), np.concatenate(numbers), np.array(lens, np.int64)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids), a row for each row of ``docs``: the whole text's token ids as
     little-endian unsigned 32-bit integers in one binary value.
 

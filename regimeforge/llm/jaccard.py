@@ -8,15 +8,16 @@ A document's set holds its distinct word 5-shingles. Two documents link when
    n - ceil(0.8 n) + 1: each partner has one of these. A document whose first shingles occur nowhere
    else has no partner and goes no further; this is most of a corpus.
 2. Documents with equal sets are one class, represented by its least id.
-3. *Small* sets enumerate fixed-size subsets (pairs) of their first n - ceil(0.8 n) + 2 shingles: each
+3. The first shingles are inverted lists. In a *star round* no list emits its pairs: each document meets
+   one pivot, and verified links merge into components. This joins groups of near copies at a cost in
+   proportion to the lists.
+4. The exact round looks at what is left: lists that still hold more than one component, and in them the
+   pairs of documents from different components, which are all verified, so the components are exact.
+   *Small* sets enumerate fixed-size subsets (pairs) of their first n - ceil(0.8 n) + 2 shingles: each
    partner has at least two of these. *Large* sets, and those small ones that are within reach of a
-   large one, enter inverted lists under single shingles. The size at which sets become large is the
-   one of least cost, from totals by size class over all documents: rows that the subsets need, against
+   large one, are found by a scan of the lists. The size at which sets become large is the one of least
+   cost, from totals by size class over all documents that are left: rows that the subsets need, against
    rows that a scan of the lists reads.
-4. Keys (subsets or shingles) gather candidates, but no key emits all its pairs: in a *star round* every
-   member meets one pivot, the member whose shingles are the most frequent. Verified links merge into
-   components. Then only pairs of members that are still in different components remain, and these are
-   all verified, so no link between components is lost and the components are exact.
 
 Every step is a shuffle on a key or an aggregate with partial sums; sets move only for candidate pairs.
 """
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 
 from . import blocks, common
 from .components import connected_components
+from .places import split_key
 
 SHINGLE = 5
 PERCENT = 80
@@ -39,7 +41,7 @@ STAR_ROUNDS = 2
 
 SCHEMA = (
     "doc_id long, n_shingles long, sig_a long, sig_b long, weight double,"
-    "shared array<long>, firsts array<long>, n_first int, n_pairs long, n_scan long"
+    "shared array<long>, firsts array<long>"
 )
 
 
@@ -59,8 +61,7 @@ def _sets(shingle: int):
 def profiles(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """A row for each row of ``docs``: size and signature of its set and, where a partner is possible,
     the shingles that also occur elsewhere (``shared``) and the rare-first ones (``firsts``: those among
-    the first n - need + 2 that occur elsewhere; the leading ``n_first`` of them are among the first
-    n - need + 1). ``weight`` is the mean log document frequency."""
+    the first n - need + 2 that occur elsewhere). ``weight`` is the mean log document frequency."""
     _, n_words = common.corpus_size(docs)
     n_ranges = blocks.ranges(common.shuffle_partitions(docs.sparkSession), n_words)
 
@@ -70,7 +71,7 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bl
         df = totals[np.searchsorted(grams, h)]
         ends = np.searchsorted(of, np.arange(len(ids)), side="right")
         sigs = blocks.mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-        out: dict[str, list] = {k: [] for k in ("n", "a", "b", "w", "shared", "firsts", "n_first", "pairs", "scan")}
+        out: dict[str, list] = {k: [] for k in ("n", "a", "b", "w", "shared", "firsts")}
         start = 0
         for end in ends:
             own, freq, n = h[start:end], df[start:end], int(end - start)
@@ -80,30 +81,21 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bl
             start = end
             few = n - need(n, percent) + 1
             common_ = np.flatnonzero(freq > 1)
-            shared, firsts, n_first = None, None, 0
+            shared, firsts = None, None
             # the rare-first order puts the n - len(common_) lone shingles in front
             if n and len(common_) > n - few:
                 order = common_[np.lexsort((own[common_], freq[common_]))]
                 lone = n - len(common_)
-                n_first = few - lone
-                firsts = own[order[: n_first + 1]].astype(np.int64)
+                firsts = own[order[: few - lone + 1]].astype(np.int64)
                 shared = own[common_].astype(np.int64)
-                q = len(firsts)
-                out["pairs"].append(q * (q - 1) // 2)
-                out["scan"].append(int(freq[order[:n_first]].sum()))
-            else:
-                out["pairs"].append(0)
-                out["scan"].append(0)
             out["w"].append(float(np.log(np.maximum(freq, 1)).mean()) if n else 0.0)
             out["shared"].append(shared)
             out["firsts"].append(firsts)
-            out["n_first"].append(n_first)
         longs = pa.list_(pa.int64())
         return blocks.frame(
             {
                 "doc_id": (ids, pa.int64()), "n_shingles": (out["n"], pa.int64()), "sig_a": (out["a"], pa.int64()), "sig_b": (out["b"], pa.int64()),
-                "weight": (out["w"], pa.float64()), "shared": (out["shared"], longs), "firsts": (out["firsts"], longs), "n_first": (out["n_first"], pa.int32()),
-                "n_pairs": (out["pairs"], pa.int64()), "n_scan": (out["scan"], pa.int64()),
+                "weight": (out["w"], pa.float64()), "shared": (out["shared"], longs), "firsts": (out["firsts"], longs),
             }
         )
 
@@ -120,25 +112,10 @@ def boundary(stats: list[tuple[int, int, int]], percent: int = PERCENT) -> int:
     return best[1]
 
 
-def _star(members: DataFrame) -> DataFrame:
-    """(a, b): each member of a key with the key's pivot, where sizes allow a link and, given
-    components, where these differ."""
-    pivot = members.groupBy("key").agg(F.max(F.struct("weight", -F.col("rep"), "n", "comp")).alias("p"))
-    return (
-        members.join(pivot, "key")
-        .where((F.col("rep") != -F.col("p.col2")) & (F.col("comp") != F.col("p.comp")))
-        .select(F.col("rep").alias("x"), (-F.col("p.col2")).alias("y"), "n", F.col("p.n").alias("m"))
-    )
-
-
 def _fits(n: Column, m: Column, percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n)
 
 
-def _pairs(raw: DataFrame, percent: int) -> DataFrame:
-    return raw.where(_fits(F.col("n"), F.col("m"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets link: overlap is counted on shared shingles only, sizes on whole sets."""
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
@@ -151,46 +128,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def links(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(rep, comp) of all representatives that link with another one. ``reps``: rep, n, weight, shared,
-    firsts, n_first, n_pairs, n_scan, only those with firsts."""
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1)))
-    stats = reps.groupBy(size_class.alias("c")).agg(F.max("n"), F.sum("n_pairs"), F.sum("n_scan")).collect()
+def _spread(rows: DataFrame) -> DataFrame:
+    """Only the rows of keys whose members are in more than one component, by a join that Spark can split."""
+    split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", split_key("key"))
+    return rows.select("*", split_key("key")).join(split, ["key", "rf_split"], "left_semi").drop("rf_split")
+
+
+def _star(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): at most one candidate for each member. Every key has one pivot, the member whose shingles
+    are the most frequent; a member takes the pivot that it shares the most keys with, among those in
+    another component that sizes allow to link. What this leaves out is found by the exact round."""
+    pivot = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"), "n", "comp")).alias("p"))
+    met = members.select("*", split_key("key")).join(pivot.select("*", split_key("key")), ["key", "rf_split"])
+    met = met.where((F.col("comp") != F.col("p.comp")) & _fits(F.col("n"), F.col("p.n"), percent)).select(F.col("rep").alias("x"), (-F.col("p.low")).alias("y"))
+    best = met.groupBy("x", "y").count().groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair from different components that can still link. ``members``: only keys that hold
+    more than one component. Small sets enumerate pairs of their keys: two sets that link share two of
+    them. Large sets, and those small ones within reach of a large one, stay on the single keys."""
+    size = members.groupBy("key").agg(F.count("*").alias("c"))
+    sized = members.select("*", split_key("key")).join(size.select("*", split_key("key")), ["key", "rf_split"])
+    own = common.materialize(sized.groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.sum("c").alias("scan")), "own")
+    n, k = F.col("n"), F.size("keys")
+    size_class = F.floor(F.log(n.cast("double")) / F.log(F.lit(1.1)))
+    stats = own.groupBy(size_class.alias("class")).agg(F.max("n"), F.sum((k * (k - 1) / 2).cast("long")), F.sum("scan")).collect()
     large = boundary(sorted((r[1], r[2], r[3]) for r in stats), percent)
-    n = F.col("n")
     subset = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size("firsts") - 1),
-            lambda i: F.transform(F.slice("firsts", 1, i), lambda e: F.xxhash64(F.lit("pair"), F.least(e, F.col("firsts")[i]), F.greatest(e, F.col("firsts")[i]))),
-        )
+        F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.transform(F.slice("keys", 1, i), lambda e: F.xxhash64(F.lit("pair"), e, F.get("keys", i))))
     )
-    single = F.transform(F.slice("firsts", 1, F.col("n_first")), lambda e: F.xxhash64(F.lit("single"), e))
     none = F.array().cast(T.ArrayType(T.LongType()))
     keys = F.concat(
-        F.when((n < large) & (F.size("firsts") > 1), subset).otherwise(none),
-        F.when(100 * n >= percent * large, single).otherwise(none),
+        F.when((n < large) & (k > 1), subset).otherwise(none),
+        F.when(100 * n >= percent * large, F.transform("keys", lambda e: F.xxhash64(F.lit("single"), e))).otherwise(none),
     )
-    listed = reps.select("rep", "n", "weight", F.explode(keys).alias("key"))
-    # a key of one representative has no pair
-    busy = listed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    listed = common.materialize(listed.join(busy, "key"), "lists")
-    sets = reps.select("rep", "n", "shared")
+    listed = _spread(own.select("rep", "n", "comp", F.explode(keys).alias("key")))
+    other = listed.select("key", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"))
+    met = listed.withColumnRenamed("rep", "x").join(other, "key").where((F.col("x") < F.col("y")) & (F.col("comp") != F.col("comp_y")))
+    return met.where(_fits(F.col("n"), F.col("m"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
-    members = listed.withColumn("comp", F.col("rep"))
-    edges = comps = None
+
+def links(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(rep, comp) of all representatives that link with another one. ``reps``: rep, n, weight, shared,
+    firsts, only those with firsts."""
+    sets = reps.select("rep", "n", "shared")
+    members = common.materialize(_spread(reps.select("rep", "n", "weight", F.col("rep").alias("comp"), F.explode("firsts").alias("key"))), "lists")
+    edges = None
     for k in range(STAR_ROUNDS + 1):
-        if k < STAR_ROUNDS:
-            raw = _star(members)
-        else:
-            other = members.select("key", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"))
-            raw = members.withColumnRenamed("rep", "x").join(other, "key").where((F.col("x") < F.col("y")) & (F.col("comp") != F.col("comp_y")))
-        found = common.materialize(_verified(_pairs(raw, percent), sets, percent), "links")
+        pairs = _star(members, percent) if k < STAR_ROUNDS else _all_pairs(members, percent)
+        found = common.materialize(_verified(pairs, sets, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
         comps = connected_components(edges)
         if k < STAR_ROUNDS:
-            members = listed.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            members = common.materialize(members.join(split, "key"), "members")
+            moved = members.drop("comp").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            members = common.materialize(_spread(moved), "members")
     return comps
 
 
@@ -213,7 +206,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         .join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *sig], "left_semi")
         .dropDuplicates(["doc_id", *sig])
         .withColumnsRenamed({"doc_id": "rep", "n_shingles": "n"})
-        .select("rep", "n", "weight", "shared", "firsts", "n_first", "n_pairs", "n_scan")
+        .select("rep", "n", "weight", "shared", "firsts")
     )
     comps = links(common.materialize(reps, "reps"), percent)
     owner = classes.join(comps, "rep", "left").select(*sig, F.coalesce("comp", "rep").alias("component_id"))
