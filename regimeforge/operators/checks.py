@@ -14,11 +14,12 @@ def bar_faults() -> Column:
     """The reasons why a bar is malformed, as an array."""
     o, h, low, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    sound = finite(o) & finite(h) & finite(low) & finite(c) & finite(v)
     rules = {
-        "not_finite": ~(finite(o) & finite(h) & finite(low) & finite(c) & finite(v)),
-        "nonpositive_price": (o <= 0) | (h <= 0) | (low <= 0) | (c <= 0),
-        "inconsistent_range": (h < F.greatest(o, c, low)) | (low > F.least(o, c, h)),
-        "negative_volume": v < 0,
+        "not_finite": ~sound,
+        "nonpositive_price": sound & ((o <= 0) | (h <= 0) | (low <= 0) | (c <= 0)),
+        "inconsistent_range": sound & ((h < F.greatest(o, c, low)) | (low > F.least(o, c, h))),
+        "negative_volume": sound & (v < 0),
     }
     return F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items())))
 

@@ -208,7 +208,7 @@ add("scen_envelope", "bucket n mean:6 least:6 median:6 greatest:6", lambda s, d:
 add("rep_pivot", "entry_state state_change:8 time_exit:8 signal_flip:8", lambda s, d: sources.trades(s, d).groupBy("entry_state").pivot("exit_reason", ["state_change", "time_exit", "signal_flip"]).agg(F.avg("return_pct")),
     "(SELECT entry_state, avg(return_pct) FILTER (exit_reason = 'state_change') AS state_change, avg(return_pct) FILTER (exit_reason = 'time_exit') AS time_exit, avg(return_pct) FILTER (exit_reason = 'signal_flip') AS signal_flip FROM trades GROUP BY entry_state)", "trades")
 add("lg_fifo", "symbol buy_id sell_id quantity pnl:2", lambda s, d: ledger.fifo(_fills(s, d)),
-    "(SELECT b.symbol, b.id AS buy_id, s.id AS sell_id, least(b.hi, s.hi) - greatest(b.hi - b.quantity, s.hi - s.quantity) AS quantity, (least(b.hi, s.hi) - greatest(b.hi - b.quantity, s.hi - s.quantity)) * (s.price - b.price) AS pnl FROM lots b JOIN lots s ON b.symbol = s.symbol AND b.side = 'buy' AND s.side = 'sell' AND b.hi - b.quantity < s.hi AND s.hi - s.quantity < b.hi)", "lots")
+    "(SELECT symbol, buy_id, sell_id, sum(quantity)::BIGINT AS quantity, sum(pnl) AS pnl FROM (SELECT b.symbol, b.id AS buy_id, s.id AS sell_id, least(b.hi, s.hi) - greatest(b.hi - b.quantity, s.hi - s.quantity) AS quantity, (least(b.hi, s.hi) - greatest(b.hi - b.quantity, s.hi - s.quantity)) * (s.price - b.price) AS pnl FROM lots b JOIN lots s ON b.symbol = s.symbol AND b.side = 'buy' AND s.side = 'sell' AND b.hi - b.quantity < s.hi AND s.hi - s.quantity < b.hi) GROUP BY ALL)", "lots")
 add("lg_reconcile", "symbol opening moved ending difference", lambda s, d: ledger.reconcile(f := _fills(s, d), f.groupBy("symbol").agg(F.lit(100).cast("long").alias("quantity")), f.groupBy("symbol").agg((F.sum(F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))) + 90).alias("quantity"))),
     "(SELECT symbol, 100::BIGINT AS opening, m AS moved, m + 90 AS ending, 10::BIGINT AS difference FROM (SELECT symbol, sum(CASE side WHEN 'buy' THEN quantity ELSE -quantity END)::BIGINT AS m FROM fills GROUP BY symbol))", "fills")
 add("lg_chain", "o_custkey o_orderkey link_hash", lambda s, d: ledger.chained(sources.table(s, d, "orders").withColumn("content", F.concat_ws("|", "o_orderkey", "o_orderstatus")), "o_custkey", "o_orderkey", "content"),
