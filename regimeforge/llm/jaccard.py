@@ -9,7 +9,7 @@ A document's set holds its distinct word 5-shingles. Two documents link when
    else has no partner and goes no further; this is most of a corpus.
 2. Documents with equal sets are one class, represented by its least id.
 3. The first shingles are inverted lists. In a *star round* no list emits its pairs: each document meets
-   one pivot, and verified links merge into components. This joins groups of near copies at a cost in
+   few pivots, and verified links merge into components. This joins groups of near copies at a cost in
    proportion to the lists.
 4. The exact round looks at what is left: lists that still hold more than one component, and in them the
    pairs of documents from different components, which are all verified, so the components are exact.
@@ -36,8 +36,10 @@ from .places import split_key
 
 SHINGLE = 5
 PERCENT = 80
-#: Star rounds before the pairs between different components are enumerated.
+#: Pivot orders of the star rounds: the first takes the members with the most frequent shingles; in the
+#: second each list has several pivots by a hash, so that a member which the first one missed meets others.
 STAR_ROUNDS = 2
+HASHED_PIVOTS = 5
 
 SCHEMA = (
     "doc_id long, n_shingles long, sig_a long, sig_b long, weight double,"
@@ -134,14 +136,16 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.select("*", split_key("key")).join(split, ["key", "rf_split"], "left_semi").drop("rf_split")
 
 
-def _star(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): at most one candidate for each member. Every key has one pivot, the member whose shingles
-    are the most frequent; a member takes the pivot that it shares the most keys with, among those in
+def _star(members: DataFrame, percent: int, orders: list[Column]) -> DataFrame:
+    """(a, b): at most one candidate for each member and order. For each order every key has one pivot,
+    the first member by it; a member takes the pivot that it shares the most keys with, among those in
     another component that sizes allow to link. What this leaves out is found by the exact round."""
-    pivot = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"), "n", "comp")).alias("p"))
+    first = [F.max(F.struct(o.alias("o"), F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"))) for o in orders]
+    pivot = members.groupBy("key").agg(F.array(*first).alias("pivots"))
     met = members.select("*", split_key("key")).join(pivot.select("*", split_key("key")), ["key", "rf_split"])
-    met = met.where((F.col("comp") != F.col("p.comp")) & _fits(F.col("n"), F.col("p.n"), percent)).select(F.col("rep").alias("x"), (-F.col("p.low")).alias("y"))
-    best = met.groupBy("x", "y").count().groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+    met = met.select(F.col("rep").alias("x"), "n", "comp", F.posexplode("pivots").alias("which", "p")).select("x", "n", "comp", "which", "p.y", "p.m", "p.comp_y")
+    met = met.where((F.col("comp") != F.col("comp_y")) & _fits(F.col("n"), F.col("m"), percent))
+    best = met.groupBy("x", "which", "y").count().groupBy("x", "which").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -177,7 +181,8 @@ def links(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = common.materialize(_spread(reps.select("rep", "n", "weight", F.col("rep").alias("comp"), F.explode("firsts").alias("key"))), "lists")
     edges = None
     for k in range(STAR_ROUNDS + 1):
-        pairs = _star(members, percent) if k < STAR_ROUNDS else _all_pairs(members, percent)
+        orders = [F.col("weight")] if k == 0 else [F.xxhash64(F.lit(k * HASHED_PIVOTS + j), "rep") for j in range(HASHED_PIVOTS)]
+        pairs = _star(members, percent, orders) if k < STAR_ROUNDS else _all_pairs(members, percent)
         found = common.materialize(_verified(pairs, sets, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
         comps = connected_components(edges)
