@@ -136,6 +136,15 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.select("*", split_key("key")).join(split, ["key", "rf_split"], "left_semi").drop("rf_split")
 
 
+def _one_of_equal_lists(rows: DataFrame) -> DataFrame:
+    """As ``_spread``, and of keys with the same members only the least one: the others would make the same
+    pairs again. Members are compared by their number and two 64-bit digests."""
+    digest = [F.bit_xor(F.xxhash64(F.lit(seed), "rep", "n")).alias(name) for seed, name in enumerate(("da", "db"))]
+    lists = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), *digest).where("lo < hi")
+    chosen = lists.groupBy("c", "da", "db").agg(F.min("key").alias("key")).select("key", split_key("key"))
+    return rows.select("*", split_key("key")).join(chosen, ["key", "rf_split"], "left_semi").drop("rf_split")
+
+
 def _star(members: DataFrame, percent: int, orders: list[Column]) -> DataFrame:
     """(a, b): at most one candidate for each member and order. For each order every key has one pivot,
     the first member by it; a member takes the pivot that it shares the most keys with, among those in
@@ -155,7 +164,7 @@ def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
     them. Large sets, and those small ones within reach of a large one, stay on the single keys."""
     size = members.groupBy("key").agg(F.count("*").alias("c"))
     sized = members.select("*", split_key("key")).join(size.select("*", split_key("key")), ["key", "rf_split"])
-    own = common.materialize(sized.groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.sum("c").alias("scan")), "own")
+    own = common.materialize(sized.groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.sum("c").alias("scan")), "own")
     n, k = F.col("n"), F.size("keys")
     size_class = F.floor(F.log(n.cast("double")) / F.log(F.lit(1.1)))
     stats = own.groupBy(size_class.alias("class")).agg(F.max("n"), F.sum((k * (k - 1) / 2).cast("long")), F.sum("scan")).collect()
@@ -168,7 +177,7 @@ def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
         F.when((n < large) & (k > 1), subset).otherwise(none),
         F.when(100 * n >= percent * large, F.transform("keys", lambda e: F.xxhash64(F.lit("single"), e))).otherwise(none),
     )
-    listed = _spread(own.select("rep", "n", "comp", F.explode(keys).alias("key")))
+    listed = _one_of_equal_lists(own.select("rep", "n", "comp", F.explode(keys).alias("key")))
     other = listed.select("key", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"))
     met = listed.withColumnRenamed("rep", "x").join(other, "key").where((F.col("x") < F.col("y")) & (F.col("comp") != F.col("comp_y")))
     return met.where(_fits(F.col("n"), F.col("m"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
