@@ -39,7 +39,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_dedup.digest(table(spark, sf_dir, "documents"))
+    return sentence_dedup.digest(table(spark, sf_dir, "documents"), both=True)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-From every sentence starts a span: the fewest consecutive sentences, two at least, that hold WORDS words
-together. What a span holds depends on its own text only, so equal passages have equal spans wherever
-they stand. All spans of all documents are hashed and joined globally; a span that also stands at an
+From every sentence starts a span, and at every sentence ends one: the fewest consecutive sentences, two
+at least, that hold WORDS words together. What a span holds depends on its own text only, so equal
+passages have equal spans wherever they stand. Any longer run is covered by the spans within it: a
+sentence too near the run's end to start one is in the span that ends there. All spans of all documents are hashed and joined globally; a span that also stands at an
 earlier place is a later repeat, and the sentences that a later repeat covers are removed. The first
 place of a span keeps its sentences.
 """
@@ -40,27 +41,30 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def spans(text: str, least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, end) of the span that starts at each sentence, as far as there are enough words."""
+def spans(text: str, least: int = SENTENCES, words: int = WORDS, both: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, begin, end) of the spans that start and that end at each sentence, as far as there are
+    enough words; a span that is both is there once. Without ``both``: those that start only."""
     own = [text[a:b].strip() for a, b, _ in sentences(text)]
     n = len(own)
     if n < least:
-        return np.empty(0, U64), np.empty(0, np.int64)
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.fromiter((xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) for s in own), U64, n)
     held = np.concatenate([[0], np.cumsum([len(s.split()) for s in own])])
     end = np.maximum(np.searchsorted(held, held[:-1] + words), np.arange(n) + least)
-    start = np.flatnonzero(end <= n)
-    end = end[start]
+    begin = np.minimum(np.searchsorted(held, held[1:] - words, "right") - 1, np.arange(1, n + 1) - least)
+    start, last = np.flatnonzero(end <= n), np.flatnonzero((begin >= 0) & both)
+    last = last[end[begin[last]] != last + 1]
+    start, end = np.concatenate([start, begin[last]]), np.concatenate([end[start], last + 1])
     # the hash of a span folds its sentences' hashes in order; spans of one length are folded together
     acc = mix(h[start] + U64(1))
     reach = start + 1
     while (open_ := np.flatnonzero(reach < end)).size:
         acc[open_] = mix(acc[open_] * U64(_BASE) ^ h[reach[open_]])
         reach[open_] += 1
-    return mix(acc ^ (end - start).astype(U64)), end
+    return mix(acc ^ (end - start).astype(U64)), start, end
 
 
-def later_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def later_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", both: bool = True) -> DataFrame:
     """(rf_doc, rf_text, i, j, first_doc): spans of sentences i to j - 1 that also stand at an earlier place."""
 
     def run(batches):
@@ -68,13 +72,13 @@ def later_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, doc
             docs_, texts_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for d, t, body in zip(docs_, texts_, batch.column(2).to_pylist(), strict=True):
-                g, end = spans(body, least, words)
+                g, begin, end = spans(body, least, words, both)
                 if not len(g):
                     continue
                 out[0].append(g.view(np.int64))
                 out[1] += [d] * len(g)
                 out[2] += [t] * len(g)
-                out[3].append(np.arange(len(g), dtype=np.int32))
+                out[3].append(begin.astype(np.int32))
                 out[4].append(end.astype(np.int32))
             g, i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out[0], out[3], out[4]))
             yield pa.record_batch(
@@ -87,7 +91,7 @@ def later_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, doc
     return later_repeats(made)
 
 
-def dedup_sentences(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", changed_only: bool = False) -> DataFrame:
+def dedup_sentences(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", changed_only: bool = False, both: bool = True) -> DataFrame:
     """``docs``, a row for each row (``changed_only``: those that lose a sentence), with the covered
     sentences cut out of ``text`` together with the white space behind them, and columns
     ``sentences_total``, ``sentences_removed`` and ``first_docs`` (where the removed spans stand first);
@@ -99,7 +103,7 @@ def dedup_sentences(docs: DataFrame, least: int = SENTENCES, words: int = WORDS,
     """
     extra = ["sentences_total", "sentences_removed", "first_docs"]
     docs = docs.drop(*extra)
-    gone = later_spans(docs, least, words, doc_id, text).groupBy(*DOC).agg(F.collect_list(F.struct("i", "j")).alias("rf_spans"), F.collect_set("first_doc").alias("rf_first"))
+    gone = later_spans(docs, least, words, doc_id, text, both).groupBy(*DOC).agg(F.collect_list(F.struct("i", "j")).alias("rf_spans"), F.collect_set("first_doc").alias("rf_first"))
     joined = same_place(docs.select("*", *doc_key(docs, doc_id, text)), gone, "inner" if changed_only else "left").drop(*DOC)
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(extra[0], T.LongType()), T.StructField(extra[1], T.LongType()), T.StructField(extra[2], T.ArrayType(T.LongType()))])
@@ -130,8 +134,8 @@ def dedup_sentences(docs: DataFrame, least: int = SENTENCES, words: int = WORDS,
     return joined.mapInArrow(cut, schema)
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, both: bool = False) -> DataFrame:
     """(doc_id, sentences_total, sentences_removed, first_docs, text_sha256) of the documents that lose
-    a sentence."""
-    out = dedup_sentences(docs.select("doc_id", "text"), changed_only=True)
+    a sentence. Without ``both``, by the spans that start at each sentence alone; the query has both."""
+    out = dedup_sentences(docs.select("doc_id", "text"), changed_only=True, both=both)
     return out.select("doc_id", "sentences_total", "sentences_removed", F.array_sort("first_docs").alias("first_docs"), F.sha2("text", 256).alias("text_sha256"))

@@ -134,6 +134,46 @@ def test_sentence_spans_equal_brute_force(spark, docs):
     assert {r.doc_id: (r.sentences_total, r.sentences_removed) for r in sentence_dedup.digest(docs).collect()} == expected
 
 
+def repeated(texts):
+    """The sentences of each text in any run of enough of them that stands at an earlier place."""
+    seen = set()
+    for own in texts:
+        held = np.concatenate([[0], np.cumsum([len(s.split()) for s in own])])
+        gone = set()
+        for i in range(len(own)):
+            for j in range(i + sentence_dedup.SENTENCES, len(own) + 1):
+                if held[j] - held[i] >= sentence_dedup.WORDS:
+                    h = hash(tuple(own[i:j]))
+                    gone |= set(range(i, j)) if h in seen else set()
+                    seen.add(h)
+        yield gone
+
+
+def test_sentences_of_every_run_equal_brute_force(spark):
+    """Every run of enough sentences and words, not the shortest alone."""
+    rnd = random.Random(5)
+    pool = [" ".join(f"w{rnd.randrange(90)}" for _ in range(n)).capitalize() + "." for n in (1, 2, 3, 5, 8, 9, 12, 18, 25, 40) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        own = [rnd.choice(pool) for _ in range(rnd.randrange(12))]
+        for _ in range(rnd.randrange(3) if texts else 0):
+            other = rnd.choice(texts)
+            a = rnd.randrange(len(other) + 1)
+            own += other[a : a + rnd.randrange(2, 9)] + [f"Own {rnd.random()} words."]
+        texts.append(own)
+    expected = {d: (" ".join(s for k, s in enumerate(own) if k not in gone), len(gone)) for d, (own, gone) in enumerate(zip(texts, repeated(texts), strict=True))}
+    got = sentence_dedup.dedup_sentences(frame(spark, [" ".join(t) for t in texts])).collect()
+    assert {r.doc_id: (r.text.strip(), r.sentences_removed) for r in got} == expected
+
+
+def test_sentence_query_removes_every_run(spark, docs):
+    short = {r.doc_id: r.text for r in docs.where("length(text) < 20000").orderBy("doc_id").collect()}
+    texts = [[t[a:b].strip() for a, b, _ in sentence_dedup.sentences(t)] for t in short.values()]
+    expected = {d: len(gone) for d, gone in zip(short, repeated(texts), strict=True) if gone}
+    got = {r.doc_id: r.sentences_removed for r in registry.queries()["op6_sentence_dedup"](spark, SF).collect()}
+    assert {d: got.get(d) for d in expected} == expected
+
+
 def test_first_place_of_a_passage_stays(spark):
     p = "One two three four five six seven. Eight nine ten eleven twelve thirteen. Fourteen fifteen sixteen seventeen eighteen nineteen twenty one."
     got = sorted(sentence_dedup.dedup_sentences(frame(spark, [f"Start here now. {p} End.", f"Other. {p} Rest stays."])).collect(), key=lambda r: r.doc_id)
