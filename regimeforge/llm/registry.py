@@ -34,7 +34,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Runs of RUN lines or more only, as in its SQL twin; the pipeline's stage has the shorter ones too."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), words=None)
     return out.select("doc_id", "lines_total", "lines_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -215,6 +215,29 @@ def test_line_runs_within_and_across(spark):
     assert got == {0: ("a\nb\nc\nd", 0), 1: ("x\n\ny", 3), 2: ("q", 3), 3: (None, 0), 4: ("", 0)}
 
 
+def test_short_line_runs_equal_brute_force(spark, docs):
+    """Every run of RUN lines or of WORDS words that stands at an earlier place, in the pipeline's stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(9)
+    pool = [" ".join(f"w{rnd.randrange(50)}" for _ in range(n)) for n in (1, 4, 9, 11, 15, 19, 20, 21, 60) for _ in range(3)]
+    made = ["\n".join(rnd.choice([*pool, "", " "]) for _ in range(rnd.randrange(1, 6))) for _ in range(40)]
+    texts = [*made, pool[-1], pool[-1], None, ""] + [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    seen, expected = set(), {}
+    for d, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        full = [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        gone = set()
+        for i in range(len(full)):
+            for n in range(1, line_dedup.RUN + 1):
+                run = tuple(lines[k] for k in full[i : i + n])
+                if len(run) == n and (n == line_dedup.RUN or sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in run) >= line_dedup.WORDS):
+                    gone |= set(full[i : i + n]) if run in seen else set()
+                    seen.add(run)
+        expected[d] = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    got = {r.doc_id: r.text for r in pipeline.cut_lines(spark, frame(spark, texts), SF).collect()}
+    assert got == expected and got[41] == ""
+
+
 def test_pipeline_runs(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, SF)
