@@ -8,8 +8,10 @@ every distinct word or n-gram is kept once, so what travels is
   packed, with their counts;
 * back from them: one number for each of these n-grams, in the order in which they were sent.
 
-Memory is bounded by the block and by the hash range, whose number follows the corpus size; a
-frequent word or n-gram is one entry in each block, so no key becomes hot.
+Memory is bounded by the block and by the hash range, whose number follows the corpus size. A block has a
+row for each range that it has n-grams in, and no work for others, so rows and work never exceed its
+distinct n-grams: with very many ranges the packing turns into one row for each of them. A frequent word
+or n-gram is one entry in each block.
 
 The documents are read twice (once to send, once to place the answers), so the input must be a
 repeatable scan such as a parquet table. Each block carries a checksum of what it sent; a block
@@ -28,7 +30,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 16 << 20
+#: Text of a block. A task holds one block at a time, with some ten times its size in arrays.
+BLOCK_BYTES = 4 << 20
 SLICE_ROWS = 256
 #: Distinct n-grams that one hash range takes on average.
 RANGE_ENTRIES = 3_000_000
@@ -92,7 +95,8 @@ def words_of(text: str, lower: bool) -> list[bytes]:
 
 
 def index_words(texts: list[str], lower: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words, slot of each word of all texts in order, words of each text)."""
+    """(distinct words, slot of each word of all texts in order, words of each text). The most frequent
+    words have the lowest slots, which makes the slots compress well."""
     index: dict[bytes, int] = defaultdict()
     index.default_factory = index.__len__
     slots, lens = [], []
@@ -100,7 +104,11 @@ def index_words(texts: list[str], lower: bool) -> tuple[list[bytes], np.ndarray,
         words = words_of(text, lower)
         slots.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
         lens.append(len(words))
-    return list(index), np.concatenate(slots) if slots else np.empty(0, np.uint32), np.array(lens, np.int64)
+    words, flat = list(index), np.concatenate(slots) if slots else np.empty(0, np.uint32)
+    order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words))
+    return [words[k] for k in order], rank[flat], np.array(lens, np.int64)
 
 
 def code_words(texts: list[str], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,18 +153,25 @@ def shingle_sets(hashes: np.ndarray, slots: np.ndarray, lens: np.ndarray, n: int
     return h[new], of[new]
 
 
-def ranges(spark_partitions: int, entries: int) -> int:
-    """Hash ranges for that many entries: by size, and enough to keep all tasks busy."""
-    return max(spark_partitions, -(-entries // RANGE_ENTRIES))
+def range_bits(spark_partitions: int, entries: int) -> int:
+    """A hash range is named by the first bits of the hash. How many: by size, and enough ranges to keep
+    all tasks busy."""
+    return (max(spark_partitions, -(-entries // RANGE_ENTRIES), 1) - 1).bit_length()
 
 
-def edges(n: int) -> np.ndarray:
-    return np.array([(1 << 64) * k // n for k in range(1, n)], U64)
+def range_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, bounds): the distinct values of sorted ``keys`` and where each one's run starts, with the end."""
+    start = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.empty(0, np.int64)
+    return keys[start], np.append(start, len(keys))
 
 
 BLOCK_SCHEMA = "block long, ids array<long>, lens binary, slots binary, hashes binary"
-SENT_SCHEMA = "range int, block long, check long, grams array<binary>, counts array<binary>"
-BACK_SCHEMA = "block long, range int, check long, totals array<binary>"
+SENT_SCHEMA = "range long, block long, check long, grams array<binary>, counts array<binary>"
+BACK_SCHEMA = "block long, range long, check long, totals array<binary>"
 
 
 def checksum(arrays: list[np.ndarray]) -> int:
@@ -190,26 +205,26 @@ def read_block(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarra
     return row["ids"][0], unpack(row["hashes"][0]), unpack(row["slots"][0]), unpack(row["lens"][0]).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame, grams_of, n_ranges: int, lower: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def corpus_counts(docs: DataFrame, grams_of, bits: int, lower: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For every block, the corpus-wide totals of its distinct n-grams.
 
     ``grams_of(hashes, slots, lens)`` lists arrays of (sorted distinct gram hash, count in the block),
     one for each table. Returns rows (block, range, check, totals): ``totals`` has a packed array for
     each table, in the order of the block's sorted grams that fall in the hash range.
     """
-    cuts = edges(n_ranges)
 
     def send(batches):
         for block, _, texts in iter_blocks(batches, block_bytes):
             found = grams_of(*code_words(texts, lower))
             check = checksum([g for g, _ in found])
-            bounds = [np.concatenate([[0], np.searchsorted(g, cuts), [len(g)]]) for g, _ in found]
-            kept = [k for k in range(n_ranges) if any(b[k] < b[k + 1] for b in bounds)]
-            grams = [[pack_sorted(g[b[k] : b[k + 1]]) for (g, _), b in zip(found, bounds, strict=True)] for k in kept]
-            counts = [[pack(narrow(c[b[k] : b[k + 1]])) for (_, c), b in zip(found, bounds, strict=True)] for k in kept]
+            kept = np.unique(np.concatenate([range_of(g, bits) for g, _ in found]))
+            cuts = kept.astype(U64) << U64(64 - bits) if bits else kept.astype(U64)
+            bounds = [np.append(np.searchsorted(g, cuts), len(g)) for g, _ in found]
+            grams = [[pack_sorted(g[b[k] : b[k + 1]]) for (g, _), b in zip(found, bounds, strict=True)] for k in range(len(kept))]
+            counts = [[pack(narrow(c[b[k] : b[k + 1]])) for (_, c), b in zip(found, bounds, strict=True)] for k in range(len(kept))]
             yield pa.record_batch(
                 [
-                    pa.array(kept, pa.int32()), pa.array([block] * len(kept), pa.int64()), pa.array([check] * len(kept), pa.int64()),
+                    pa.array(kept, pa.int64()), pa.array([block] * len(kept), pa.int64()), pa.array([check] * len(kept), pa.int64()),
                     pa.array(grams, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.binary())),
                 ],
                 ["range", "block", "check", "grams", "counts"],
@@ -235,16 +250,16 @@ def corpus_counts(docs: DataFrame, grams_of, n_ranges: int, lower: bool, block_b
                 out[k].append(pack(narrow(totals[at : at + len(part)])))
                 at += len(part)
         return pa.table(
-            {"block": pa.array(got["block"], pa.int64()), "range": pa.array(got["range"], pa.int32()), "check": pa.array(got["check"], pa.int64()), "totals": pa.array(out, pa.list_(pa.binary()))}
+            {"block": pa.array(got["block"], pa.int64()), "range": pa.array(got["range"], pa.int64()), "check": pa.array(got["check"], pa.int64()), "totals": pa.array(out, pa.list_(pa.binary()))}
         )
 
     return docs.mapInArrow(send, SENT_SCHEMA).groupBy("range").applyInArrow(total, BACK_SCHEMA)
 
 
-def with_counts(docs: DataFrame, grams_of, place, schema: str, n_ranges: int, lower: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def with_counts(docs: DataFrame, grams_of, place, schema: str, bits: int, lower: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``place(ids, hashes, slots, lens, tables)`` over every block, where ``tables`` lists (sorted
     grams, corpus-wide totals); it returns an Arrow table of ``schema``."""
-    totals = corpus_counts(docs, grams_of, n_ranges, lower, block_bytes)
+    totals = corpus_counts(docs, grams_of, bits, lower, block_bytes)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:

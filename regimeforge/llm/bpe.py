@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import base64
 import re
-import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,17 +104,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
         for block, _, texts in blocks.iter_blocks(batches, block_bytes):
             words, _, _ = _number(texts)
             raw = [w.encode() for w in words]
-            of = np.fromiter((zlib.crc32(w) % n_ranges for w in raw), np.int64, len(raw))
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_ranges for w in raw), np.int64, len(raw))
             order = np.argsort(of, kind="stable")
-            bounds = np.searchsorted(of[order], np.arange(n_ranges + 1))
+            held, bounds = blocks.runs(of[order])
             rows = []
-            for k in range(n_ranges):
-                at = order[bounds[k] : bounds[k + 1]]
-                if len(at):
-                    lens = np.fromiter((len(raw[i]) for i in at), np.uint32, len(at))
-                    rows.append((k, block, blocks.pack_sorted(at.astype(np.uint64)), blocks.pack(blocks.narrow(lens)), _squeeze(b"".join([raw[i] for i in at]))))
+            for j, k in enumerate(held.tolist()):
+                at = order[bounds[j] : bounds[j + 1]]
+                lens = np.fromiter((len(raw[i]) for i in at), np.uint32, len(at))
+                rows.append((k, block, blocks.pack_sorted(at.astype(np.uint64)), blocks.pack(blocks.narrow(lens)), _squeeze(b"".join([raw[i] for i in at]))))
             names = ["range", "block", "slots", "lens", "words"]
-            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array([r[j] for r in rows], types[j]) for j in range(5)], names)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -179,7 +178,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
             counts.append(total)
         return blocks.frame({"doc_id": (row["ids"], pa.int64()), "n_tokens": (counts, pa.int64()), "ids": (ids, pa.binary())})
 
-    asked = docs.mapInArrow(ask, "range int, block long, slots binary, lens binary, words binary")
+    asked = docs.mapInArrow(ask, "range long, block long, slots binary, lens binary, words binary")
     answered = asked.groupBy("range").applyInArrow(answer, "block long, slots binary, lens binary, ids binary")
     numbered = docs.mapInArrow(number, "block long, ids array<long>, n_words long, lens binary, numbers binary")
     return numbered.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(place, "doc_id long, n_tokens long, ids binary")

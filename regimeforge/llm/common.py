@@ -18,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's
-    checkpoint folder; a temporary one is set only where neither is (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint
+    folder. Where neither is set a local session gets a temporary one, and a cluster is an error: a folder
+    of one machine would not be seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="regimeforge-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -31,10 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends there, and a
-    lost executor costs no recomputation of what came before."""
+    lost executor costs no recomputation of what came before. ``release`` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/regimeforge/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._rf_path = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._rf_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -68,7 +81,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
     The sample is the rows with the least hash of their id, so it is the same on every run. The
     bound ``per_class`` is what lets the ids be broadcast: the texts of ``documents`` are not shuffled.
-    Null ids or labels never enter; of repeated label rows for a document the larger label counts.
+    Null ids or labels never enter; of repeated label rows for a document the larger label counts, and of
+    several documents with one id the least text, so the choice does not depend on the order of rows.
     """
     pool = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
@@ -79,4 +93,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     for y in (0, 1):
         part = pool.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

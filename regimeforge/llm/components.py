@@ -16,7 +16,7 @@ def _min_neighbour(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(rep, comp): every node that has an edge to another node, with the least node it can reach.
+    """(node, comp): every node that has an edge to another node, with the least node it can reach.
 
     Each step hangs nodes under smaller neighbours; the number of steps grows with the logarithm of
     the longest chain. A step is one aggregate with partial minima and one join, written to the shared
@@ -33,10 +33,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         hung = down.join(least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = common.materialize(small, "edges")
+        last, now = now, common.materialize(small, "edges")
+        common.release(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark
-    roots = now.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct()
-    return now.select(F.col("u").alias("rep"), F.col("v").alias("comp")).unionByName(roots)
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)

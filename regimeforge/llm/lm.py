@@ -26,6 +26,8 @@ from . import blocks, common
 
 BACKOFF = 0.4
 ORDER = 3
+#: Larger than elsewhere: what a block sends is the distinct n-grams of three orders, fewer the larger it is.
+BLOCK_BYTES = 8 << 20
 SCHEMA = "doc_id long, n_words long, n_backed_off long, score double, mean_score double"
 
 
@@ -57,7 +59,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id",
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     _, n_words = common.corpus_size(docs)
-    n_ranges = blocks.ranges(common.shuffle_partitions(docs.sparkSession), n_words * order)
+    bits = blocks.range_bits(common.shuffle_partitions(docs.sparkSession), n_words * order)
 
     def place(ids, hashes, slots, lens, tables):
         starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
@@ -93,5 +95,5 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id",
             }
         )
 
-    scored = blocks.with_counts(docs, _grams(order), place, SCHEMA, n_ranges, lower=False)
+    scored = blocks.with_counts(docs, _grams(order), place, SCHEMA, bits, lower=False, block_bytes=BLOCK_BYTES)
     return scored.withColumn("mean_score", F.nanvl("mean_score", F.lit(None).cast("double")))
