@@ -16,8 +16,7 @@ A document's set holds its distinct word 5-shingles. Two documents link when
    these are listed. In a *leader scan* one set scans each list and meets its members, which costs as
    much as the lists are long; links are verified and merge components, and a list that lies within one
    component is done. The *full scan* takes what is left: every pair of different components that still
-   meets on a list and whose sizes fit, at the first of the keys that both have next to each other. All
-   are verified, so the components are exact.
+   meets on a list and whose sizes fit, once. All are verified, so the components are exact.
 4. The boundary is the set size of least cost, from totals by size over all nodes: keys that the subsets
    need against rows of the lists that a scan reads.
 
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, common
 from .components import connected_components
-from .places import split_key
+from .places import fresh, split_key
 
 SHINGLE = 5
 PERCENT = 80
@@ -48,8 +47,12 @@ MOST_SMALL = 40
 #: by a hash, so that a member which the first one missed meets others.
 SCANS = 2
 HASHED_LEADERS = 5
+#: Keys before its own that a row of a list knows in the full scan.
+BEFORE = 8
+#: Words of 64 bits in a set's sketch.
+SKETCH = 16
 
-SCHEMA = "doc_id long, n_shingles long, sig_a long, sig_b long, weight double, shared array<long>, firsts array<long>"
+SCHEMA = "doc_id long, n_shingles long, sig_a long, sig_b long, weight double, shared array<long>, firsts array<long>, sketch array<long>"
 
 
 def need(n, percent: int = PERCENT):
@@ -74,7 +77,8 @@ def _array(values: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> pa.Array:
 def profiles(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """A row for each row of ``docs``: size and signature of its set and, where a partner is possible,
     the shingles that also occur elsewhere (``shared``) and the rare-first ones (``firsts``: those among
-    the first n - need + 1 that occur elsewhere, in order). ``weight`` is the mean log document frequency."""
+    the first n - need + 1 that occur elsewhere, in order) and a ``sketch``: a bit for each shared shingle's
+    hash. ``weight`` is the mean log document frequency."""
     _, n_words = common.corpus_size(docs)
     bits = blocks.range_bits(common.shuffle_partitions(docs.sparkSession), n_words)
 
@@ -95,11 +99,15 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bl
         order = at[np.lexsort((h[at], df[at], of[at]))]
         begin = np.searchsorted(of[order], np.arange(count))
         first = order[np.arange(len(order)) - begin[of[order]] < firsts[of[order]]]
+        sketch = np.zeros((count, SKETCH), np.uint64)
+        bit = blocks.mix(h[at]) % blocks.U64(64 * SKETCH)
+        np.bitwise_or.at(sketch, (of[at], (bit >> blocks.U64(6)).astype(np.int64)), blocks.U64(1) << (bit & blocks.U64(63)))
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "sig_a": pa.array(total(h).view(np.int64)),
                 "sig_b": pa.array(total(blocks.mix(h * blocks.U64(0x9E3779B97F4A7C15) + blocks.U64(1))).view(np.int64)), "weight": pa.array(weight),
                 "shared": _array(h[at], np.where(live, shared, 0), live), "firsts": _array(h[first], np.where(live, firsts, 0), live),
+                "sketch": _array(sketch[live].ravel(), np.where(live, SKETCH, 0), live),
             }
         )
 
@@ -134,16 +142,23 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n)
 
 
+def _with_sides(pairs: DataFrame, sets: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``pairs`` with the columns of both sets, as name_a and name_b."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), *(c.alias(f"{name}_{side}") for name, c in columns.items())), side)
+    return pairs
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link: overlap is counted on shared shingles only, sizes on whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .where(100 * both >= percent * (F.col("na") + F.col("nb") - both))
-        .select("a", "b")
-    )
+    """The pairs whose sets link: overlap is counted on shared shingles only, sizes on whole sets. Sketches go
+    first: shared shingles of two sets differ at least as often as bits of their sketches do, so pairs whose
+    overlap is too small even so never move their sets."""
+    size = {"n": F.col("n"), "k": F.size("shared"), "s": F.col("sketch")}
+    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    near = _with_sides(pairs, sets, size).where((100 + percent) * (F.col("k_a") + F.col("k_b") - differ) >= 2 * percent * (F.col("n_a") + F.col("n_b")))
+    both = F.size(F.array_intersect("shared_a", "shared_b"))
+    whole = _with_sides(near.select("a", "b"), sets, {"n": F.col("n"), "shared": F.col("shared")})
+    return whole.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def light_links(small: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -188,8 +203,8 @@ def _one_of_equal_lists(rows: DataFrame) -> DataFrame:
     pairs again. Members are compared by their number and two 64-bit digests."""
     digest = [F.bit_xor(F.xxhash64(F.lit(seed), "node", "n")).alias(name) for seed, name in enumerate(("da", "db"))]
     lists = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), *digest).where("lo < hi")
-    chosen = lists.groupBy("c", "da", "db").agg(F.min("key").alias("key")).select("key", split_key("key"), "c")
-    return rows.select("*", split_key("key")).join(chosen, ["key", "rf_split"]).drop("rf_split")
+    chosen = lists.groupBy("c", "da", "db").agg(F.min("key").alias("key")).select("key", split_key("key"))
+    return rows.select("*", split_key("key")).join(chosen, ["key", "rf_split"], "left_semi").drop("rf_split")
 
 
 def leader_scan(members: DataFrame, percent: int, orders: list[Column]) -> DataFrame:
@@ -208,28 +223,28 @@ def leader_scan(members: DataFrame, percent: int, orders: list[Column]) -> DataF
 def full_scan(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): every pair from different components that meets on a list and whose sizes fit.
 
-    A row knows the key before its own among the keys of its node, in one order for all nodes. Two members
-    with the same key before have met there already, so a pair comes out once for each stretch of keys that
-    the two have one after the other; the first key of all that they share is the beginning of such a stretch.
-    Sizes are part of the join's key: a size class spans the ratio up to which sets can link, and a member
-    asks in its own class and the one above.
+    A row knows up to BEFORE of the keys before its own among the keys of its node, by their values. Two
+    members that have one of these in common have met there or earlier, so a pair hardly ever comes out
+    twice; the first key of all that they share has no common one before it. Sizes are part of the join's
+    key: a size class spans the ratio up to which sets can link, and a member asks in its own class and the
+    one above.
     """
     kept = _one_of_equal_lists(members)
-    own = kept.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
-    listed = own.select("node", "n", "comp", F.posexplode("keys").alias("at", "k"), "keys").select("node", "n", "comp", "k.key", F.when(F.col("at") > 0, F.get("keys", F.col("at") - 1)["key"]).alias("before"))
+    own = kept.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    known = F.slice("keys", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    listed = own.select("node", "n", "comp", F.posexplode("keys").alias("at", "key"), "keys").select("node", "n", "comp", "key", known.alias("before"))
     listed = listed.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent))))
     other = listed.select("key", F.col("class").alias("asked"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"), F.col("before").alias("before_y"))
     asks = listed.withColumnRenamed("node", "x").withColumn("asked", F.explode(F.array("class", F.col("class") + 1)))
     once = (F.col("asked") > F.col("class")) | (F.col("x") < F.col("y"))
-    new = ~F.col("before").eqNullSafe(F.col("before_y")) | F.col("before").isNull()
-    met = asks.join(other, ["key", "asked"]).where(once & new & (F.col("comp") != F.col("comp_y")) & _fits(F.col("n"), F.col("m"), percent))
+    met = asks.join(other, ["key", "asked"]).where(once & (F.col("comp") != F.col("comp_y")) & _fits(F.col("n"), F.col("m"), percent) & ~F.arrays_overlap("before", "before_y"))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, percent: int = PERCENT, large: int | None = None, found: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(node, comp) of all nodes that link with another one. ``nodes``: node, n, weight, shared, firsts, only
+    """(node, comp) of all nodes that link with another one. ``nodes``: node, n, weight, shared, firsts, sketch, only
     those with firsts. ``large`` sets the boundary instead of the cost; ``found`` receives the links by branch."""
-    sets = nodes.select("node", "n", "shared")
+    sets = nodes.select("node", "n", "shared", "sketch")
     listed = nodes.select("node", "n", "weight", F.col("node").alias("comp"), F.explode("firsts").alias("key"))
     if large is None:
         small = nodes.where(F.col("n") <= MOST_SMALL)
@@ -274,10 +289,25 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     classes = known.where("n_shingles > 0").groupBy(*sig).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     # every row of a class has equal sets: its first row stands for it
     nodes = known.where("firsts is not null").join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    nodes = nodes.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "weight", "shared", "firsts")
+    nodes = nodes.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "weight", "shared", "firsts", "sketch")
     comps = links(common.materialize(nodes, "nodes"), percent, large, found)
     least = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     owner = least.groupBy("comp").agg(F.min("least").alias("component_id")).select("*", split_key("comp"))
     owner = least.select(*sig, "comp", split_key("comp")).join(owner, ["comp", "rf_split"]).select(*sig, "component_id")
     out = known.select("doc_id", *sig).join(owner, sig, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each component: that of the least doc_id (null ids last;
+    of equal ids the text with the least hash). A document without a word is a component of its own, and
+    rows of equal id and text are one document and stay once. An empty table gives an empty result."""
+    name, got = fresh(docs.columns, "rf_place", "rf_chosen")
+    place = F.xxhash64(docs[doc_id].cast("long"), docs[text])
+    found = jaccard_components(docs.select(place.alias("doc_id"), docs[text].alias("text")), **options)
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component")).withColumnRenamed("doc_id", "place")
+    ids = docs.select(place.alias("place"), docs[doc_id].cast("long").alias("id")).distinct()
+    rank = F.struct(F.col("id").isNull(), "id", "place")
+    chosen = ids.join(found, "place").groupBy("component").agg(F.min(rank)["place"].alias(got)).select(got)
+    keyed = docs.select("*", place.alias(name))
+    return keyed.join(chosen, F.col(name) == F.col(got), "left_semi").dropDuplicates([name]).drop(name)
