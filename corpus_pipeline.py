@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimeforge.llm import bpe, common, decontaminate, jaccard, line_dedup, quality
-from regimeforge.llm.places import DOC, doc_key
 from regimeforge.llm.registry import vocabulary
 
 #: SQL cannot express the classifier and the tokeniser.
@@ -30,12 +29,7 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies; equal rows once. A document without a
     word is a group of its own."""
-    found = jaccard.jaccard_components(docs)
-    first = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    keyed = docs.select("*", *doc_key(docs, "doc_id", "text"))
-    first = first.select(F.col("doc_id").alias("rf_keep"))
-    kept = keyed.join(first, keyed["rf_doc"].eqNullSafe(first["rf_keep"]), "left_semi")
-    return kept.drop(*DOC)
+    return jaccard.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,21 @@ def later_repeats(runs: DataFrame, index: str = "i") -> DataFrame:
     return runs.select("*", split_key("g")).join(first, ["g", "rf_split"]).where(place > F.col("first")).withColumn("first_doc", F.col("first.rf_doc")).drop("first", "rf_split")
 
 
-def same_place(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """``left`` joined with ``right`` on the document's place, null ids included."""
-    r = right.withColumnsRenamed({"rf_doc": "rf_doc_r", "rf_text": "rf_text_r"})
-    return left.join(r, (F.col("rf_text") == F.col("rf_text_r")) & F.col("rf_doc").eqNullSafe(F.col("rf_doc_r")), how).drop("rf_doc_r", "rf_text_r")
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``taken`` has it."""
+    held, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def at_place(docs: DataFrame, right: DataFrame, how: str, doc_id: str, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` joined with ``right`` (rf_doc, rf_text, ...) on the document's place, null ids included. The
+    second result names the further columns of ``right`` in the join, where none of ``docs`` is hidden."""
+    names = dict(zip(right.columns, fresh(docs.columns, *right.columns), strict=True))
+    r = right.withColumnsRenamed(names)
+    joined = docs.join(r, (F.xxhash64(docs[text]) == r[names["rf_text"]]) & docs[doc_id].cast("long").eqNullSafe(r[names["rf_doc"]]), how)
+    return joined.drop(names["rf_doc"], names["rf_text"]), names

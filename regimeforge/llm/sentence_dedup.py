@@ -3,9 +3,9 @@
 From every sentence starts a span, and at every sentence ends one: the fewest consecutive sentences, two
 at least, that hold WORDS words together. What a span holds depends on its own text only, so equal
 passages have equal spans wherever they stand. Any longer run is covered by the spans within it: a
-sentence too near the run's end to start one is in the span that ends there. All spans of all documents are hashed and joined globally; a span that also stands at an
-earlier place is a later repeat, and the sentences that a later repeat covers are removed. The first
-place of a span keeps its sentences.
+sentence too near the run's end to start one is in the span that ends there. All spans of all documents
+are hashed and joined globally; a span that also stands at an earlier place is a later repeat, and the
+sentences that a later repeat covers are removed. The first place of a span keeps its sentences.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import U64, mix
-from .places import DOC, doc_key, later_repeats, same_place
+from .places import DOC, at_place, doc_key, later_repeats
 
 SENTENCES = 2
 WORDS = 20
@@ -91,27 +91,27 @@ def later_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, doc
     return later_repeats(made)
 
 
-def dedup_sentences(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", changed_only: bool = False, both: bool = True) -> DataFrame:
-    """``docs``, a row for each row (``changed_only``: those that lose a sentence), with the covered
-    sentences cut out of ``text`` together with the white space behind them, and columns
-    ``sentences_total``, ``sentences_removed`` and ``first_docs`` (where the removed spans stand first);
-    columns of these names in ``docs`` are replaced.
+def dedup_sentences(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", both: bool = True) -> DataFrame:
+    """``docs``, a row for each row, with the covered sentences cut out of ``text`` together with the white
+    space behind them, and columns ``sentences_total``, ``sentences_removed`` and ``first_docs`` (where the
+    removed spans stand first, null where none is removed); columns of these names in ``docs`` are replaced.
 
     A null text stays null and has no sentences. Rows of equal id and text are one place and lose the same
     sentences; rows of equal id and other text are ordered by the text's hash; null ids come first. An
-    empty table gives an empty result.
+    empty table gives an empty result. Other columns are kept whatever their names. A very long text is one
+    row, which one task cuts.
     """
     extra = ["sentences_total", "sentences_removed", "first_docs"]
     docs = docs.drop(*extra)
     gone = later_spans(docs, least, words, doc_id, text, both).groupBy(*DOC).agg(F.collect_list(F.struct("i", "j")).alias("rf_spans"), F.collect_set("first_doc").alias("rf_first"))
-    joined = same_place(docs.select("*", *doc_key(docs, doc_id, text)), gone, "inner" if changed_only else "left").drop(*DOC)
+    joined, name = at_place(docs, gone, "left", doc_id, text)
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(extra[0], T.LongType()), T.StructField(extra[1], T.LongType()), T.StructField(extra[2], T.ArrayType(T.LongType()))])
 
     def cut(batches):
         for batch in batches:
             texts, totals, removed = [], [], []
-            for body, found in zip(batch.column(text).to_pylist(), batch.column("rf_spans").to_pylist(), strict=True):
+            for body, found in zip(batch.column(text).to_pylist(), batch.column(name["rf_spans"]).to_pylist(), strict=True):
                 own = sentences(body) if body else []
                 cover = np.zeros(len(own) + 1, np.int64)
                 for s in found or ():
@@ -128,14 +128,14 @@ def dedup_sentences(docs: DataFrame, least: int = SENTENCES, words: int = WORDS,
                 totals.append(len(own))
                 removed.append(int(hit.sum()))
             kept = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns]
-            arrays = [*kept, pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), batch.column("rf_first")]
+            arrays = [*kept, pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), batch.column(name["rf_first"])]
             yield pa.record_batch(arrays, [*columns, *extra])
 
     return joined.mapInArrow(cut, schema)
 
 
-def digest(docs: DataFrame, both: bool = False) -> DataFrame:
-    """(doc_id, sentences_total, sentences_removed, first_docs, text_sha256) of the documents that lose
-    a sentence. Without ``both``, by the spans that start at each sentence alone; the query has both."""
-    out = dedup_sentences(docs.select("doc_id", "text"), changed_only=True, both=both)
+def digest(docs: DataFrame, both: bool = True) -> DataFrame:
+    """(doc_id, sentences_total, sentences_removed, first_docs, text_sha256) of every document. Without
+    ``both``, by the spans that start at each sentence alone."""
+    out = dedup_sentences(docs.select("doc_id", "text"), both=both)
     return out.select("doc_id", "sentences_total", "sentences_removed", F.array_sort("first_docs").alias("first_docs"), F.sha2("text", 256).alias("text_sha256"))

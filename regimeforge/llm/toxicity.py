@@ -40,6 +40,8 @@ LANDMARKS = 256
 ROUNDS = 4
 LEAST = 6
 SEEDS, BALANCE, TRUSTED = 64, 0.5, 0.8
+#: Nystrom directions of less than this share of the largest are left out.
+EIGEN = 1e-5
 #: How many of a text's worst parts its score looks at.
 TOP = 3
 PER_CLASS = 800
@@ -71,24 +73,35 @@ def _folding() -> np.ndarray:
 _FOLD = _folding()
 
 
-def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol of each character, sentence number of each character)."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+def symbols(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol of each character, where units start, which units go on in the next one). A unit is a
+    sentence, or SENTENCE_WORDS // 2 words of a longer one. The text stands between gaps, so that no
+    subsequence runs from one text into another."""
+    codes = np.frombuffer(("\0" * SPAN + "\n" + text + "\n" + "\0" * SPAN).encode("utf-32-le", "replace"), np.uint32)
     letters = np.where(codes < len(_FOLD), _FOLD[np.minimum(codes, len(_FOLD) - 1)], (27 + codes % 4).astype(np.uint8))
+    lone = letters > 0
+    lone[1:-1] &= (letters[:-2] == 0) & (letters[2:] == 0)
+    keep = np.ones(len(codes), bool)
+    keep[1:-1] = ~(lone[:-2] & lone[2:] & (codes[1:-1] != 10))
+    codes, letters = codes[keep], letters[keep]
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     letters[space] = BORDER
     stop = (codes == 46) | (codes == 33) | (codes == 63)
-    ends = np.zeros(len(codes), bool)
-    ends[1:] = (stop[:-1] & space[1:]) | (codes[:-1] == 10)
-    starts = np.flatnonzero(ends)
-    words = np.cumsum(space)
-    since = np.zeros(len(codes), np.int64)
-    since[starts] = np.diff(words[starts], prepend=0)
-    part = (words - np.cumsum(since)) // SENTENCE_WORDS
-    number = np.cumsum(ends).astype(np.int64)
-    new = np.zeros(len(codes), bool)
-    new[1:] = (number[1:] != number[:-1]) | (part[1:] != part[:-1])
-    return letters, np.cumsum(new)
+    ends = codes == 10
+    ends[1:] |= stop[:-1] & space[1:]
+    ends[0] = True
+    number, words = np.cumsum(ends) - 1, np.cumsum(space)
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    part = (words - words[first][number]) // (SENTENCE_WORDS // 2)
+    starts = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+    return letters, starts, np.append(number[starts[1:]] == number[starts[:-1]], False)
+
+
+def windows(of_unit: np.ndarray, onward: np.ndarray) -> np.ndarray:
+    """Sums over each unit and the one it goes on in; a last unit is in the window of the one before."""
+    both = of_unit.copy()
+    both[:-1][onward[:-1]] += of_unit[1:][onward[:-1]]
+    return both[onward | ~np.append(False, onward[:-1])]
 
 
 def subsequences(letters: np.ndarray):
@@ -102,10 +115,11 @@ def subsequences(letters: np.ndarray):
         yield high[second][:n] | pair[last - third][third : third + n], weight
 
 
-def size_of(letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """What each part's kernel value is divided by: the root of its letters, which the kernel of a part
-    with itself grows with. A part counts as LEAST symbols at least."""
-    return np.sqrt(np.maximum(np.add.reduceat((letters > 0).astype(np.float32), starts), LEAST))
+def size_of(letters: np.ndarray, starts: np.ndarray, onward: np.ndarray) -> np.ndarray:
+    """What each window's kernel value is divided by: the root of its letters, which the kernel of a part
+    with itself grows with. A window counts as LEAST letters at least; one without a letter is infinite."""
+    own = windows(np.add.reduceat(((letters > 0) & (letters < BORDER)).astype(np.float32), starts), onward)
+    return np.where(own > 0, np.sqrt(np.maximum(own, LEAST)), np.inf)
 
 
 def no_gaps() -> np.ndarray:
@@ -123,9 +137,8 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, curve: list[float]):
         self.weights, self.bias, self.curve = weights.astype(np.float32), bias, curve
 
-    def values(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(the machine's value of each part, where the parts start)."""
-        letters, sentence = symbols(text)
+    def values(self, letters: np.ndarray) -> np.ndarray:
+        """The machine's weight of the subsequences that start at each character."""
         values = np.zeros(len(letters), np.float32)
         for at in range(0, len(letters), STEP):
             part = letters[at : at + STEP + SPAN]
@@ -139,29 +152,26 @@ class Model:
                 np.take(self.weights, index[:n], out=got, mode="clip")
                 same += got
             values[at : at + n] = acc + same * np.float32(held)
-        starts = np.flatnonzero(np.diff(sentence, prepend=-1))
-        return np.add.reduceat(values, starts, dtype=np.float64) / size_of(letters, starts) + self.bias, starts
+        return values
 
     def tops(self, texts: list[str | None]) -> np.ndarray:
-        """The values of the TOP worst parts of each text, the worst first; ``bias`` where there are fewer."""
+        """The values of the TOP worst windows of each text, the worst first; ``bias`` where there are fewer.
+        Short texts are scored together; what a text scores does not depend on the others."""
         out = np.full((len(texts), TOP), self.bias)
         k = 0
         while k < len(texts):
             group, size, first = [], 0, k
-            while k < len(texts) and (not group or size < STEP):  # short texts are scored together
-                group.append(texts[k] or "")
-                size += len(group[-1]) + 1
+            while k < len(texts) and (not group or size < STEP):
+                group.append(symbols(texts[k] or ""))
+                size += len(group[-1][0])
                 k += 1
-            values, starts = self.values("\n".join(group) + "\n")
-            ends = np.cumsum([len(t) + 1 for t in group])
-            cuts = np.searchsorted(starts, ends)
-            lo = 0
-            for i, hi in enumerate(cuts):
-                own = values[lo:hi]
-                if len(own) and group[i]:
-                    best = np.sort(own if len(own) <= TOP else np.partition(own, len(own) - TOP)[-TOP:])[::-1]
-                    out[first + i, : len(best)] = np.maximum(best, self.bias)
-                lo = hi
+            values, at = self.values(np.concatenate([g[0] for g in group])), 0
+            for i, (letters, starts, onward) in enumerate(group):
+                unit = np.add.reduceat(values[at : at + len(letters)], starts, dtype=np.float64)
+                own = windows(unit, onward) / size_of(letters, starts, onward) + self.bias
+                best = np.sort(own if len(own) <= TOP else np.partition(own, len(own) - TOP)[-TOP:])[::-1]
+                out[first + i, : len(best)] = np.maximum(best, self.bias)
+                at += len(letters)
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -193,7 +203,7 @@ class Nystrom:
         feats = []
         for mark in marks:
             own: Counter = Counter()
-            for index, weight in subsequences(symbols(f" {mark} ")[0]):
+            for index, weight in subsequences(symbols(mark)[0]):
                 for i in index[letters_only[index]].tolist():
                     own[i] += weight
             feats.append(own)
@@ -205,21 +215,29 @@ class Nystrom:
             phi[k, self.compact[list(f)]] = list(f.values())
         phi /= np.maximum(np.linalg.norm(phi, axis=1, keepdims=True), 1e-9)
         values, vectors = np.linalg.eigh(phi @ phi.T)
-        keep = values > 1e-3 * values.max(initial=1e-9)
+        keep = values > EIGEN * values.max(initial=1e-9)
         root = vectors[:, keep] / np.sqrt(values[keep])
         self.map = (phi.T @ root).astype(np.float32)  # subsequence -> Nystrom coordinates
 
     def sentences(self, text: str) -> np.ndarray:
-        """Coordinates of every sentence of a text."""
-        letters, sentence = symbols(text)
-        if not len(letters):
-            return np.zeros((0, self.map.shape[1]), np.float32)
-        out = np.zeros((int(sentence[-1]) + 1, self.map.shape[1]), np.float32)
+        """Coordinates of every window of a text that has a letter."""
+        letters, starts, onward = symbols(text)
+        unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(letters))))
+        found, worth = [], []
         for index, weight in subsequences(letters):
             known = self.compact[index]
             at = np.flatnonzero(known >= 0)
-            np.add.at(out, sentence[at], np.float32(weight) * self.map[known[at]])
-        return out / size_of(letters, np.flatnonzero(np.diff(sentence, prepend=-1)))[:, None]
+            found.append(unit[at] * len(self.used) + known[at])
+            worth.append(np.full(len(at), weight, np.float32))
+        key, place = np.unique(np.concatenate(found), return_inverse=True)
+        rows = self.map[key % len(self.used)] * np.bincount(place, np.concatenate(worth), len(key)).astype(np.float32)[:, None]
+        out = np.zeros((len(starts), self.map.shape[1]), np.float32)
+        if len(key):
+            of = key // len(self.used)
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            out[of[first]] = np.add.reduceat(rows, first, axis=0)
+        size = size_of(letters, starts, onward)
+        return (windows(out, onward) / size[:, None])[np.isfinite(size)]
 
     def weights(self, w: np.ndarray) -> np.ndarray:
         full = np.zeros(ALPHABET**K, np.float32)
@@ -227,14 +245,6 @@ class Nystrom:
         return full
 
 
-def nearest(parts: np.ndarray) -> np.ndarray:
-    """The LEARN_PARTS parts with the largest coordinates; the others are far from every landmark."""
-    if len(parts) <= LEARN_PARTS:
-        return parts
-    size = np.einsum("ij,ij->i", parts, parts)
-    return parts[np.sort(np.argpartition(size, len(parts) - LEARN_PARTS)[-LEARN_PARTS:])]
-
-
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss in the primal, by Newton steps."""
     z = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
@@ -273,11 +283,12 @@ def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     marks = landmarks(texts, labels, LANDMARKS)
     toxic_words = set(marks[: LANDMARKS // 2])
     space = Nystrom(marks)
-    bags = [nearest(space.sentences(t[:LEARN_CHARS])) for t in texts]
+    bags = [space.sentences(t) for t in texts]
     negative = np.concatenate([b for b, y in zip(bags, labels, strict=True) if not y])
     positive = [b for b, y in zip(bags, labels, strict=True) if y and len(b)]
     # the landmarks that stand out in toxic documents are positive examples from the start and stay so
-    seeds = [max(space.sentences(f" {m} "), key=lambda x: float(x @ x)) for m in marks[:SEEDS] if m in toxic_words]
+    alone = [space.sentences(m) for m in marks[:SEEDS] if m in toxic_words]
+    seeds = [max(x, key=lambda v: float(v @ v)) for x in alone if len(x)]
     chosen = np.stack(seeds) if seeds else np.concatenate(positive)
     for _ in range(ROUNDS):
         x = np.concatenate([negative, chosen])
