@@ -101,7 +101,7 @@ def edge_quality(trades: DataFrame, *keys: str, least: int = 1, fold: str = "fol
     for name in ("quality", "consistency"):
         rank = F.dense_rank().over(group.orderBy(F.round(f"{name}_score", 9).desc()))
         share = 1 - (F.col(f"{name}_rank") - 1) / F.count("*").over(group).cast("double")
-        s = s.withColumn(f"{name}_rank", rank).withColumn(f"{name}_percentile", F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+        s = s.withColumn(f"{name}_group_size", F.count("*").over(group)).withColumn(f"{name}_rank", rank).withColumn(f"{name}_percentile", F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
     return s
 
 

@@ -66,3 +66,30 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.year("l_shipdate").alias("fold_id"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("trade_order"),
     )
+
+
+def setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade-like rows with the transition they were entered on."""
+    return trades(spark, sf_dir).withColumn("entry_transition_setup", F.concat_ws(">", "entry_state", "exit_reason"))
+
+
+#: Trades up to this year are the past of the candidates, which come after it.
+PAST_YEAR = 1998
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal candidates after the past trades, from order lines: some flat, some in a state that the past
+    never saw, some without a transition."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), F.pmod(n, F.lit(len(names))).cast("int") + 1)
+    state = F.concat_ws("|", "l_linestatus", F.col("l_linenumber").cast("string"))
+    signal = pick(("flat", "short", "long", "long", "long"), supp)
+    return table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") > PAST_YEAR).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("symbol"), F.when(F.col("l_returnflag") == "R", "crypto").otherwise("equity").alias("asset_class"),
+        F.when(F.pmod(part, F.lit(11)) == 0, "unseen").otherwise(state).alias("state"),
+        F.when(F.pmod(part, F.lit(13)) != 0, F.concat_ws(">", state, pick(("state_change", "time_exit", "signal_flip"), F.col("l_linenumber")))).alias("transition_setup"),
+        F.col("l_linestatus").alias("state_family"), signal.alias("candidate_signal"),
+        F.when(signal == "flat", pick(("insufficient_observations", "low_confidence", "negative_expected_value"), part)).alias("block_reason"),
+        F.col("l_quantity").cast("int").alias("observations"), (F.col("l_discount") / 5 - 0.002).alias("base_score"), F.concat(F.lit("m"), F.pmod(supp, F.lit(2)).cast("string")).alias("model_name"),
+        F.when(F.year("l_shipdate") == PAST_YEAR + 1, "validation").otherwise("test").alias("split"), F.col("l_shipdate").alias("ts"),
+    )
