@@ -6,7 +6,8 @@ only, and every piece is compressed with either. The features are the size diffe
 sum of sizes and by the raw size, and the better size by the raw size (text that says little); a logistic
 regression on other labelled texts turns them into a calibrated probability of label 1.
 
-Learning is on a sample of at most ``per_class`` rows of either label; this is a parameter of the method.
+Learning is on the whole texts of a sample of at most ``per_class`` rows of either label; this is a
+parameter of the method.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ LEVEL = 3
 PER_CLASS = 1500
 FOLDS, HELD_OUT = 4, 2
 ACCEPT = 0.7
-#: A text longer than this is compressed whole but learned from by its pieces up to here.
-LEARN_BYTES = 8 * PIECE
 
 
 def pieces(raw: bytes) -> list[bytes]:
@@ -80,8 +79,8 @@ def expand(x: np.ndarray) -> np.ndarray:
 
 
 def train_dictionary(texts: list[str]) -> bytes:
-    """A dictionary of the texts; where there are too few for the trainer, the texts themselves."""
-    samples = [p for t in texts for p in pieces(t.encode()[:LEARN_BYTES])]
+    """A dictionary of the whole texts, by pieces; where there are too few for the trainer, the texts themselves."""
+    samples = [p for t in texts for p in pieces(t.encode())]
     total = sum(map(len, samples))
     if len(samples) >= 64 and total >= 16 * DICTIONARY:
         return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
@@ -151,12 +150,15 @@ def score(docs: DataFrame, model, folds: int = FOLDS, held_out: int = HELD_OUT,
     return scored.select("doc_id", (common.fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, model, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``accept``."""
+def accepted(docs: DataFrame, model, accept: float = ACCEPT, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose whole text scores at least ``accept``.
+
+    Null and empty texts have the score of a text that tells nothing. Repeated rows and ids are each judged
+    for themselves; an empty table gives an empty result."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([held.value.score(t) >= accept for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s >= accept for s in held.value.scores(batch.column(text).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
