@@ -23,24 +23,30 @@ def breakout(bars: DataFrame, n: int = 15, volume: float = 1.2) -> DataFrame:
     return out.where(hit).select("symbol", "ts", "level", "close", (F.col("volume") / nullif(F.col("mean_volume"))).alias("relative_volume"))
 
 
-def session_signals(bars: DataFrame, opening: int = 3, lookback: int = 5) -> DataFrame:
-    """Session VWAP, fast and slow mean, relative volume, opening range, breakout and recovery; all windows
-    are within a symbol's session."""
+def session_signals(bars: DataFrame, opening: int = 3, lookback: int = 5, atr: int = 14, volume: float = 1.2, price: float = 5.0, dollars: float = 100_000.0) -> DataFrame:
+    """Session VWAP, fast and slow mean, relative volume, opening range, true range, breakout and recovery; all
+    windows are within a symbol's session. An entry also needs the least price, traded value and relative
+    volume, and a true range mean over ``atr`` bars."""
     keys = ("symbol", "session")
     so_far = order(*keys).rowsBetween(Window.unboundedPreceding, 0)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     n = F.row_number().over(order(*keys))
+    close, back = F.col("close"), lambda x: F.lag(x).over(order(*keys))
+    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - back("close")), F.abs(F.col("low") - back("close")))
     out = bars.withColumns({
         "minute": n, "vwap": F.sum(typical * F.col("volume")).over(so_far) / nullif(F.sum("volume").over(so_far)),
-        "fast": ewm(F.col("close"), 2 / 10, 1, *keys), "slow": ewm(F.col("close"), 2 / 22, 1, *keys),
+        "fast": ewm(F.col("close"), 2 / 10, 1, *keys), "slow": ewm(F.col("close"), 2 / 22, 1, *keys), "_tr": reach,
         "relative_volume": F.col("volume") / nullif(F.when(F.count("*").over(_before(lookback, *keys)) == lookback, F.avg("volume").over(_before(lookback, *keys)))),
         "opening_high": F.max(F.when(n <= opening, F.col("high"))).over(so_far),
     })
-    close, back = F.col("close"), lambda x: F.lag(x).over(order(*keys))
+    recent = order(*keys).rowsBetween(-(atr - 1), 0)
+    out = out.withColumn("atr", F.when(F.count("_tr").over(recent) == atr, F.avg("_tr").over(recent))).drop("_tr")
     broke = (close > F.col("opening_high")) & (back("close") <= back("opening_high"))
     recovered = (close > F.col("vwap")) & (back("close") <= back("vwap")) & (F.col("fast") > back("fast"))
-    ready = (F.col("minute") > max(opening, lookback)) & (F.col("fast") > F.col("slow")) & (close > F.col("vwap"))
-    return out.withColumns({"breakout": F.coalesce(broke, F.lit(False)), "recovery": F.coalesce(recovered, F.lit(False))}).withColumn("entry", F.coalesce(ready & (F.col("breakout") | F.col("recovery")), F.lit(False)))
+    liquid = (close >= price) & (close * F.col("volume") >= dollars) & (F.col("relative_volume") >= volume) & (F.col("atr") > 0)
+    ready = (F.col("minute") > max(opening, lookback)) & (F.col("fast") > F.col("slow")) & (close > F.col("vwap")) & liquid
+    out = out.withColumns({"breakout": F.coalesce(broke, F.lit(False)), "recovery": F.coalesce(recovered, F.lit(False))})
+    return out.withColumns({"entry": F.coalesce(ready & (F.col("breakout") | F.col("recovery")), F.lit(False)), "setup": F.when(F.col("breakout"), "opening_breakout").otherwise("vwap_recovery")})
 
 
 def momentum(bars: DataFrame, horizon: int = 20) -> DataFrame:
@@ -88,28 +94,74 @@ def channel(bars: DataFrame, enter: int = 20, leave: int = 10) -> DataFrame:
     return bars.select("symbol", "ts", (ready & (close > up)).alias("enter"), (ready & (close < down)).alias("leave"))
 
 
-def reversion(bars: DataFrame, n: int = 20, threshold: float = -2.0, efficiency: float = 0.25) -> DataFrame:
-    """Bars far below their mean, rising, in a market without direction, with the first reason that speaks
-    against the others."""
-    close = F.col("close")
-    out = bars.withColumns({"z": zscore(close, n), "_d": F.abs(close - previous(close)), "rising": close > previous(close)})
-    out = out.withColumn("path", F.abs(close - previous(close, n)) / nullif(rolling(F.sum, F.col("_d"), n)))
-    reason = F.when(F.col("z").isNull() | F.col("path").isNull(), "insufficient_history").when(F.col("z") > threshold, "not_extended").when(~F.col("rising"), "not_rising").when(F.col("path") > efficiency, "directional").otherwise("qualified")
-    return out.select("symbol", "ts", "z", "path", reason.alias("reason"))
-
-
-def pair_features(bars: DataFrame, a: str, b: str, n: int = 60) -> DataFrame:
-    """Rolling regression of log prices over the n days before, and how far the day lies off it."""
-    left = bars.where(F.col("symbol") == a).select("ts", F.log("close").alias("y"), F.col("open").alias("open_a"))
-    right = bars.where(F.col("symbol") == b).select("ts", F.log("close").alias("x"), F.col("open").alias("open_b"))
-    joined = left.join(right, "ts").withColumn("pair", F.lit(f"{a}/{b}"))
-    w = Window.partitionBy("pair").orderBy("ts").rowsBetween(-n, -1)
-    full = F.count("*").over(w) == n
-    mx, my, mxy, mxx = (F.avg(c).over(w) for c in (F.col("x"), F.col("y"), F.col("x") * F.col("y"), F.col("x") * F.col("x")))
-    out = joined.withColumns({"_mx": mx, "_my": my, "_cov": mxy - mx * my, "_var": mxx - mx * mx, "_full": full})
-    out = out.withColumn("beta", F.when(F.col("_full") & (F.col("_var") > 1e-12), F.col("_cov") / nullif(F.col("_var"))))
+def session_reversion(bars: DataFrame, n: int = 30, atr: int = 14, step_s: int = 60, opens: int = 630, closes: int = 870, threshold: float = -2.0, efficiency: float = 0.25) -> DataFrame:
+    """Session bars far below the session's VWAP in units of the log price's deviation over n bars, rising, in a
+    market without direction, with the first reason that speaks against the others. A decision is known one step
+    after its bar begins and must fall between two minutes of the day; a gap or a malformed bar earlier in the
+    session rules out all that follow. All windows are within a symbol's session and look back only."""
+    keys = ("symbol", "session")
+    w, close, volume = order(*keys), F.col("close"), F.col("volume")
+    so_far, recent = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(-(n - 1), 0)
+    full = lambda x, size, f: F.when(F.count(x).over(w.rowsBetween(-(size - 1), 0)) == size, f(x).over(w.rowsBetween(-(size - 1), 0)))
+    last = F.lag("close").over(w)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    sound = finite("high") & finite("low") & finite("close") & finite("volume") & (F.least("high", "low", "close") > 0) & (volume >= 0)
+    gap = F.coalesce((F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) != step_s * 1_000_000).cast("int"), F.lit(0))
+    out = bars.withColumns({
+        "_n": F.row_number().over(w), "_move": F.abs(close - last), "_log": F.log("close"), "last_close": last, "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last)),
+        "_gap": gap, "_bad": (~sound).cast("int"), "_sold": F.sum("volume").over(so_far), "vwap": F.sum(close * volume).over(so_far) / nullif(F.sum("volume").over(so_far)),
+    })
+    known = F.col("ts") + F.expr(f"INTERVAL {step_s} SECONDS")
+    out = out.withColumns({
+        "sigma": full(F.col("_log"), n, F.stddev_samp), "_path": full(F.col("_move"), n, F.sum), "atr": full(F.col("_tr"), atr, F.avg), "_gaps": F.sum("_gap").over(so_far), "_bads": F.sum("_bad").over(so_far),
+        "minute": F.hour(known) * 60 + F.minute(known), "_far": F.abs(close - F.lag("close", n).over(w)),
+    })
+    out = out.withColumns({"z": (F.col("_log") - F.log("vwap")) / nullif(F.col("sigma")), "path": F.col("_far") / nullif(F.col("_path"))})
+    zero = (F.col("_sold") <= 0) | F.coalesce(F.col("sigma") <= 0, F.lit(False)) | F.coalesce(F.col("_path") <= 0, F.lit(False))
+    chosen = F.coalesce((F.col("z") <= threshold) & (close > F.col("last_close")) & (F.col("path") <= efficiency) & (F.col("atr") > 0), F.lit(False))
+    reason = (
+        F.when(~F.col("minute").between(opens, closes), "outside_signal_window").when(F.col("_n") <= n, "insufficient_history").when(F.col("_gaps") > 0, "missing_minute")
+        .when(F.col("_bads") > 0, "invalid_observation").when(zero, "zero_denominator").when(~chosen, "signal_filter").otherwise("qualified")
+    )
+    return out.select("symbol", "ts", "z", "path", "vwap", "atr", reason.alias("reason"), F.coalesce(-F.col("z"), F.lit(0.0)).alias("score"))
+
+
+def pair_forecasts(bars: DataFrame, pairs: DataFrame, n: int = 60, lag: int = 6, training: int = 120, least: int = 40) -> DataFrame:
+    """Forecasts of pair spreads. ``pairs``: a, b (symbols); ``bars``: symbol, ts, open, close.
+
+    A rolling regression of log closes over the n sessions before gives beta, kept within 0.5 to 1.5, and the
+    feature: how far the session lies off it. The label is the spread's return from the next open to the open
+    ``lag`` sessions ahead. A second regression of labels on features, over the last ``training`` sessions whose
+    labels are complete, gives the forecast and its standard error; it needs ``least`` labels.
+    """
+    side = lambda s, x: bars.select(F.col("symbol").alias(s), "ts", F.log("close").alias(x), F.col("open").alias(f"open_{s}"))
+    joined = pairs.join(side("a", "y"), "a").join(side("b", "x"), ["b", "ts"])
+    w = Window.partitionBy("a", "b").orderBy("ts")
+    past = w.rowsBetween(-n, -1)
+    mean = lambda c, frame: F.avg(c).over(frame)
+    out = joined.withColumns({"_n": F.count("*").over(past), "_mx": mean("x", past), "_my": mean("y", past)})
+    out = out.withColumns({
+        "_xx": mean(F.col("x") * F.col("x"), past) - F.col("_mx") * F.col("_mx"), "_xy": mean(F.col("x") * F.col("y"), past) - F.col("_mx") * F.col("_my"), "_yy": mean(F.col("y") * F.col("y"), past) - F.col("_my") * F.col("_my"),
+    })
+    slope = F.when((F.col("_n") == n) & (F.col("_xx") * n > 1e-12), F.col("_xy") / nullif(F.col("_xx")))
+    out = out.withColumn("_slope", slope)
+    noise = F.sqrt(F.greatest(F.col("_yy") - F.col("_slope") * F.col("_xy"), F.lit(0.0)) * n / (n - 2))
+    out = out.withColumn("beta", F.when(F.col("_slope").between(0.5, 1.5) & (noise > 1e-10), F.col("_slope")))
     gap = F.col("y") - F.col("_my") - F.col("beta") * (F.col("x") - F.col("_mx"))
-    return out.withColumn("feature", -gap / nullif(1 + F.col("beta"))).select("pair", "ts", "beta", "feature", "open_a", "open_b")
+    gain = lambda s: F.lead(f"open_{s}", lag).over(w) / F.lead(f"open_{s}", 1).over(w) - 1
+    out = out.withColumns({"feature": -gap / (1 + F.col("beta")), "label": (gain("a") - F.col("beta") * gain("b")) / (1 + F.col("beta")), "_ready": F.lead("ts", lag).over(w)})
+    has = F.col("feature").isNotNull() & F.col("label").isNotNull()
+    f, g = F.when(has, F.col("feature")), F.when(has, F.col("label"))
+    seen = w.rowsBetween(-(lag + training - 1), -lag)
+    out = out.withColumns({"labels": F.count(f).over(seen), "_mf": mean(f, seen), "_mg": mean(g, seen), "_ff": mean(f * f, seen), "_fg": mean(f * g, seen), "_gg": mean(g * g, seen), "last_label_at": F.max(F.when(has, F.col("_ready"))).over(seen)})
+    m, df, dg = F.col("labels"), F.col("_ff") - F.col("_mf") * F.col("_mf"), F.col("_gg") - F.col("_mg") * F.col("_mg")
+    cov = F.col("_fg") - F.col("_mf") * F.col("_mg")
+    b = cov / nullif(df)
+    sigma = F.sqrt(F.greatest(dg - b * cov, F.lit(0.0)) * m / nullif(m - 2))
+    off = F.col("feature") - F.col("_mf")
+    out = out.withColumns({"prediction": F.col("_mg") + b * off, "standard_error": sigma * F.sqrt(1 / m + off * off / nullif(df * m)), "pair": F.concat_ws("/", "a", "b")})
+    usable = F.col("feature").isNotNull() & (m >= least) & (df * m > 1e-14)
+    return out.where(usable).select("pair", F.col("ts").alias("signal_at"), "feature", "beta", "prediction", "standard_error", "labels", "last_label_at", "label", F.when(F.col("label").isNotNull(), F.col("_ready")).alias("label_at"))
 
 
 def correlations(bars: DataFrame) -> DataFrame:
@@ -121,10 +173,15 @@ def correlations(bars: DataFrame) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """The rows of all groups interleaved: first of each, second of each, and so on."""
+    """The rows of all groups interleaved: first of each, second of each, and so on. A row's place follows from
+    the group sizes: before it come min(size, turn - 1) rows of every group, and one more of each group before
+    its own that is large enough. So no task orders all rows; the sizes are one array, an entry a group."""
     w = Window.partitionBy(group).orderBy(score, tie)
-    out = rows.withColumn("turn", F.row_number().over(w))
-    return out.withColumn("place", F.row_number().over(Window.orderBy("turn", group)))
+    sizes = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("g", "n")).alias("_sizes"))
+    out = rows.withColumn("turn", F.row_number().over(w).cast("long")).crossJoin(F.broadcast(sizes))  # one row
+    earlier = F.aggregate("_sizes", F.lit(0).cast("long"), lambda acc, x: acc + F.least(x["n"], F.col("turn") - 1))
+    same = F.size(F.filter("_sizes", lambda x: (x["g"] < F.col(group)) & (x["n"] >= F.col("turn"))))
+    return out.withColumn("place", earlier + same + 1).drop("_sizes")
 
 
 def cost_levels(trades: DataFrame, levels: tuple[float, ...] = (2.0, 5.0, 7.0, 10.0)) -> DataFrame:

@@ -186,10 +186,6 @@ add("wf_slice", "fold_id part symbol bars mean_close:4", lambda s, d: portfolio.
 add("brk_candidate", "symbol ts level:6 close:6 relative_volume:8", lambda s, d: strategies.breakout(sources.hourly_bars(s, d)),
     "(SELECT symbol, ts, level, close, volume / nullif(mv, 0) AS relative_volume FROM (SELECT *, max(high) OVER w AS level, avg(volume) OVER w AS mv, count(*) OVER w AS seen, min(ts) OVER w AS since, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS lc FROM hours WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)) WHERE seen = 15 AND since = ts - INTERVAL 15 HOURS AND close > level AND close > lc AND volume >= 1.2 * mv)", "hours")
 _E = "list_reduce(list(close) OVER (PARTITION BY symbol, session ORDER BY ts ROWS UNBOUNDED PRECEDING), lambda a, x: a * (1 - {0}) + x * {0})"
-add("id_signals", "symbol ts vwap:6 fast:6 slow:6 relative_volume:8 opening_high:6 breakout recovery entry", lambda s, d: strategies.session_signals(sources.hourly_bars(s, d)),
-    f"""(SELECT *, coalesce(minute > 5 AND fast > slow AND close > vwap AND (breakout OR recovery), false) AS entry FROM (SELECT *, coalesce(close > opening_high AND lag(close) OVER w <= lag(opening_high) OVER w, false) AS breakout, coalesce(close > vwap AND lag(close) OVER w <= lag(vwap) OVER w AND fast > lag(fast) OVER w, false) AS recovery FROM
-    (SELECT *, sum((high + low + close) / 3 * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vwap, {_E.format('(2 / 10.0::DOUBLE)')} AS fast, {_E.format('(2 / 22.0::DOUBLE)')} AS slow, volume / nullif(CASE WHEN count(*) OVER b = 5 THEN avg(volume) OVER b END, 0) AS relative_volume, max(CASE WHEN minute <= 3 THEN high END) OVER w AS opening_high
-    FROM (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY ts) AS minute FROM hours) WINDOW w AS (PARTITION BY symbol, session ORDER BY ts ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY symbol, session ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) WINDOW w AS (PARTITION BY symbol, session ORDER BY ts)))""", "hours")
 add("mom_daily", "symbol ts momentum:8 volatility:8 score:7 atr:4", lambda s, d: strategies.momentum(_daily(s, d)),
     f"(SELECT symbol, ts, momentum, volatility, momentum / nullif(volatility, 0) AS score, atr_14 AS atr FROM (SELECT *, return_20 AS momentum, {sql.full('stddev_samp', 'return_1', 20)} AS volatility FROM f2) WHERE momentum > 0 AND volatility > 0 AND atr_14 > 0)", "f2")
 add("h_feature", "symbol ts trend rotation:8 breakout breakdown volatility:8", lambda s, d: strategies.daily_features(_daily(s, d)), "daily", "daily")
@@ -197,9 +193,6 @@ add("h_due", "ts month_end week_end", lambda s, d: strategies.due(_daily(s, d)),
 add("h_weights", "symbol ts weight:8", lambda s, d: strategies.inverse_volatility(strategies.daily_features(_daily(s, d))), "(SELECT symbol, ts, least(0.10, 0.25 * (1 / volatility) / sum(1 / volatility) OVER (PARTITION BY ts)) AS weight FROM daily WHERE volatility > 0)", "daily")
 add("h_rotation", "ts symbol place rotation:8", lambda s, d: strategies.rotation(strategies.daily_features(_daily(s, d))), "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY rotation DESC, symbol) AS place FROM daily WHERE rotation IS NOT NULL) WHERE place <= 2 AND rotation > 0)", "daily")
 add("don20", "symbol ts enter leave", lambda s, d: strategies.channel(_daily(s, d)), "(SELECT symbol, ts, coalesce(n = 20 AND close > hi, false) AS enter, coalesce(n = 20 AND close < lo, false) AS leave FROM (SELECT *, max(close) OVER w AS hi, count(*) OVER w AS n, min(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS lo FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)))", "bars")
-add("mr_session", "symbol ts z:6 path:8 reason", lambda s, d: strategies.reversion(_daily(s, d)), "(SELECT symbol, ts, zscore_close_20 AS z, range_efficiency_20 AS path, CASE WHEN zscore_close_20 IS NULL OR range_efficiency_20 IS NULL THEN 'insufficient_history' WHEN zscore_close_20 > -2 THEN 'not_extended' WHEN NOT delta > 0 THEN 'not_rising' WHEN range_efficiency_20 > 0.25 THEN 'directional' ELSE 'qualified' END AS reason FROM f2)", "f2")
-add("rv_forecast", "pair ts beta:6 feature:6", lambda s, d: strategies.pair_features(_daily(s, d), "1-URGENT", "2-HIGH"),
-    "(SELECT pair, ts, beta, -(y - my - beta * (x - mx)) / nullif(1 + beta, 0) AS feature FROM (SELECT *, CASE WHEN n = 60 AND mxx - mx * mx > 1e-12 THEN (mxy - mx * my) / (mxx - mx * mx) END AS beta FROM (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, avg(x * y) OVER w AS mxy, avg(x * x) OVER w AS mxx, count(*) OVER w AS n FROM (SELECT '1-URGENT/2-HIGH' AS pair, a.ts, ln(a.close) AS y, ln(b.close) AS x FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol = '1-URGENT' AND b.symbol = '2-HIGH') WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))))", "bars")
 add("div_corr", "a b days correlation:7", lambda s, d: strategies.correlations(_daily(s, d)), "(SELECT x.symbol AS a, y.symbol AS b, count(*) AS days, covar_pop(x.return_1, y.return_1) / nullif(stddev_pop(x.return_1) * stddev_pop(y.return_1), 0) AS correlation FROM f2 x JOIN f2 y ON x.ts = y.ts AND x.symbol < y.symbol WHERE x.return_1 IS NOT NULL AND y.return_1 IS NOT NULL GROUP BY ALL)", "f2")
 add("opt_sample", "p_partkey p_brand turn place", lambda s, d: strategies.round_robin(sources.table(s, d, "part"), "p_brand", "p_retailprice", "p_partkey"), "(SELECT p_partkey, p_brand, turn, row_number() OVER (ORDER BY turn, p_brand) AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS turn FROM part))")
 add("cost_audit", "symbol cost_bps net:2 break_even_bps:6", lambda s, d: strategies.cost_levels(sources.trades(s, d)), "(SELECT symbol, c AS cost_bps, sum(pnl) - sum(entry_notional) * c / 10000 AS net, sum(pnl) / sum(entry_notional) * 10000 AS break_even_bps FROM trades CROSS JOIN (SELECT unnest([2, 5, 7, 10]::DOUBLE[]) AS c) GROUP BY symbol, c)", "trades")
@@ -207,15 +200,12 @@ add("scen_envelope", "bucket n mean:6 least:6 median:6 greatest:6", lambda s, d:
     "(SELECT least(floor((l_discount - lo) / (hi - lo) * 4), 3)::BIGINT AS bucket, count(*) AS n, avg(l_extendedprice) AS mean, min(l_extendedprice) AS least, median(l_extendedprice) AS median, max(l_extendedprice) AS greatest FROM lineitem CROSS JOIN (SELECT min(l_discount) AS lo, max(l_discount) AS hi FROM lineitem) GROUP BY 1)")
 add("rep_pivot", "entry_state state_change:8 time_exit:8 signal_flip:8", lambda s, d: sources.trades(s, d).groupBy("entry_state").pivot("exit_reason", ["state_change", "time_exit", "signal_flip"]).agg(F.avg("return_pct")),
     "(SELECT entry_state, avg(return_pct) FILTER (exit_reason = 'state_change') AS state_change, avg(return_pct) FILTER (exit_reason = 'time_exit') AS time_exit, avg(return_pct) FILTER (exit_reason = 'signal_flip') AS signal_flip FROM trades GROUP BY entry_state)", "trades")
-add("lg_fifo", "symbol buy_id sell_id quantity pnl:2", lambda s, d: ledger.fifo(_fills(s, d)),
+add("lg_fifo", "symbol buy_id sell_id quantity pnl:2", lambda s, d: ledger.fifo(_fills(s, d), F.to_date("ts")),
     "(SELECT symbol, buy_id, sell_id, sum(quantity)::BIGINT AS quantity, sum(pnl) AS pnl FROM (SELECT b.symbol, b.id AS buy_id, s.id AS sell_id, least(b.hi, s.hi) - greatest(b.hi - b.quantity, s.hi - s.quantity) AS quantity, (least(b.hi, s.hi) - greatest(b.hi - b.quantity, s.hi - s.quantity)) * (s.price - b.price) AS pnl FROM lots b JOIN lots s ON b.symbol = s.symbol AND b.side = 'buy' AND s.side = 'sell' AND b.hi - b.quantity < s.hi AND s.hi - s.quantity < b.hi) GROUP BY ALL)", "lots")
 add("lg_reconcile", "symbol opening moved ending difference", lambda s, d: ledger.reconcile(f := _fills(s, d), f.groupBy("symbol").agg(F.lit(100).cast("long").alias("quantity")), f.groupBy("symbol").agg((F.sum(F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))) + 90).alias("quantity"))),
     "(SELECT symbol, 100::BIGINT AS opening, m AS moved, m + 90 AS ending, 10::BIGINT AS difference FROM (SELECT symbol, sum(CASE side WHEN 'buy' THEN quantity ELSE -quantity END)::BIGINT AS m FROM fills GROUP BY symbol))", "fills")
-add("lg_chain", "o_custkey o_orderkey link_hash", lambda s, d: ledger.chained(sources.table(s, d, "orders").withColumn("content", F.concat_ws("|", "o_orderkey", "o_orderstatus")), "o_custkey", "o_orderkey", "content"),
-    "(SELECT o_custkey, o_orderkey, sha256(coalesce(lag(h) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), '') || h) AS link_hash FROM (SELECT *, sha256(o_orderkey || '|' || o_orderstatus) AS h FROM orders))")
 add("ss_ingest", "symbol ts seq price:6 n", lambda s, d: live.latest(_ticks(s, d)), "(SELECT symbol, max(ts) AS ts, arg_max(seq, row(ts, seq)) AS seq, arg_max(price, row(ts, seq)) AS price, count(*) AS n FROM ticks GROUP BY symbol)", "ticks")
 add("ss_ooo", "symbol out_of_order seen", lambda s, d: live.out_of_order(_ticks(s, d)), "(SELECT symbol, count(*) FILTER (late) AS out_of_order, count(*) AS seen FROM (SELECT *, coalesce(ts < max(ts) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM ticks) GROUP BY symbol)", "ticks")
-add("ss_snapshot", "symbol age_s status", lambda s, d: live.snapshot(live.latest(_ticks(s, d)), "1995-02-01 00:00:00", 60, 180), "(SELECT symbol, a AS age_s, CASE WHEN a <= 60 THEN 'fresh' WHEN a <= 180 THEN 'stale' ELSE 'retained' END AS status FROM (SELECT symbol, (epoch_us(TIMESTAMP '1995-02-01') - epoch_us(max(ts))) // 1000000 AS a FROM ticks GROUP BY symbol))", "ticks")
 add("ss_health", "symbol first_ts last_ts n", lambda s, d: live.gaps(_ticks(s, d), 3600), "(SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts, seq) AS run FROM (SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY symbol ORDER BY ts, seq))) // 1000000 > 3600 OR lag(ts) OVER (PARTITION BY symbol ORDER BY ts, seq) IS NULL THEN 1 ELSE 0 END AS new FROM ticks)) GROUP BY symbol, run)", "ticks")
 
 

@@ -112,4 +112,4 @@ def compose(final: str, *names: str) -> str:
 
     for name in names:
         visit(name)
-    return ("WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" if order else "") + final
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" if order else "") + final

@@ -93,3 +93,36 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("observations"), (F.col("l_discount") / 5 - 0.002).alias("base_score"), F.concat(F.lit("m"), F.pmod(supp, F.lit(2)).cast("string")).alias("model_name"),
         F.when(F.year("l_shipdate") == PAST_YEAR + 1, "validation").otherwise("test").alias("split"), F.col("l_shipdate").alias("ts"),
     )
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream observations of two channels, with some prices missing and three generations of the stream."""
+    odd = F.pmod("user_id", F.lit(2)) == 0
+    return table(spark, sf_dir, "events").select(
+        F.when(odd, "bars").otherwise("quotes").alias("channel"), F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("symbol"), "ts", F.col("event_id").alias("seq"),
+        F.when(F.pmod("event_id", F.lit(50)) != 0, F.col("value")).alias("price"), F.pmod("user_id", F.lit(3)).cast("int").alias("generation"),
+    )
+
+
+def pair_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars, and BASKET: the mean of two symbols, which moves with both."""
+    b = daily_bars(spark, sf_dir).select("symbol", "ts", "open", "close")
+    two = b.where(F.col("symbol").isin("1-URGENT", "2-HIGH")).groupBy("ts").agg(F.lit("BASKET").alias("symbol"), F.avg("open").alias("open"), F.avg("close").alias("close"), F.count("*").alias("n")).where("n = 2")
+    return b.unionByName(two.select("symbol", "ts", "open", "close"))
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quote envelopes from events, with every kind of fault."""
+    n, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("double")
+    when = lambda m, odd, x: F.when(F.pmod(n, F.lit(m)) == 0, odd).otherwise(x)
+    text = lambda x: x.cast("decimal(18,6)").cast("string")
+    plus = lambda x: F.timestamp_add("SECOND", x, F.col("ts"))
+    payload = F.struct(
+        when(43, F.lit(None).cast("timestamp_ntz"), F.col("ts")).alias("t"), when(37, F.lit("x"), when(41, F.lit("0.000000"), text(F.col("value")))).alias("bp"), text(when(31, F.col("value") * 0.9, F.col("value") * (1 + k / 10000))).alias("ap"),
+        when(29, F.lit(None).cast("string"), text(F.pmod(n, F.lit(5)).cast("double"))).alias("bs"), text(F.pmod(n, F.lit(7)).cast("double")).alias("as"),
+    )
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("symbol"), when(19, F.lit("view"), F.col("event_type")).alias("expected_symbol"), when(23, F.lit("iex"), F.lit("sip")).alias("feed"),
+        when(47, F.lit(None).cast("timestamp_ntz"), plus(F.pmod(n, F.lit(6)) - 2)).alias("received_at"), plus(F.pmod(n, F.lit(6)) - 2 + when(13, F.pmod(n, F.lit(4)) * 10 - 5, F.pmod(n, F.lit(4)))).alias("decision_at"),
+        F.when(F.pmod(n, F.lit(17)) != 0, payload).alias("payload"),
+    )
