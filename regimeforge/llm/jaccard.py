@@ -149,13 +149,18 @@ def _with_sides(pairs: DataFrame, sets: DataFrame, columns: dict[str, Column]) -
     return pairs
 
 
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches of two sets, structs of n, k (number of shared shingles) and s, allow them to link:
+    shared shingles of two sets differ at least as often as bits of their sketches do."""
+    a, b = F.col(a), F.col(b)
+    differ = F.aggregate(F.zip_with(a["s"], b["s"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return (100 + percent) * (a["k"] + b["k"] - differ) >= 2 * percent * (a["n"] + b["n"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets link: overlap is counted on shared shingles only, sizes on whole sets. Sketches go
-    first: shared shingles of two sets differ at least as often as bits of their sketches do, so pairs whose
-    overlap is too small even so never move their sets."""
-    size = {"n": F.col("n"), "k": F.size("shared"), "s": F.col("sketch")}
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    near = _with_sides(pairs, sets, size).where((100 + percent) * (F.col("k_a") + F.col("k_b") - differ) >= 2 * percent * (F.col("n_a") + F.col("n_b")))
+    first, so pairs whose overlap is too small even by them never move their sets."""
+    near = _with_sides(pairs, sets, {"p": F.col("sketch")}).where(_near("p_a", "p_b", percent))
     both = F.size(F.array_intersect("shared_a", "shared_b"))
     whole = _with_sides(near.select("a", "b"), sets, {"n": F.col("n"), "shared": F.col("shared")})
     return whole.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
@@ -220,24 +225,25 @@ def leader_scan(members: DataFrame, percent: int, orders: list[Column]) -> DataF
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def full_scan(members: DataFrame, percent: int) -> DataFrame:
+def full_scan(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): every pair from different components that meets on a list and whose sizes fit.
 
     A row knows up to BEFORE of the keys before its own among the keys of its node, by their values. Two
     members that have one of these in common have met there or earlier, so a pair hardly ever comes out
     twice; the first key of all that they share has no common one before it. Sizes are part of the join's
     key: a size class spans the ratio up to which sets can link, and a member asks in its own class and the
-    one above.
+    one above. Rows carry the sketches of their sets, and the join itself leaves out pairs that these rule
+    out, so what it puts out are pairs that link or nearly do.
     """
     kept = _one_of_equal_lists(members)
-    own = kept.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    own = kept.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(sets.select("node", "sketch"), "node")
     known = F.slice("keys", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
-    listed = own.select("node", "n", "comp", F.posexplode("keys").alias("at", "key"), "keys").select("node", "n", "comp", "key", known.alias("before"))
+    listed = own.select("node", "n", "comp", "sketch", F.posexplode("keys").alias("at", "key"), "keys").select("node", "n", "comp", "sketch", "key", known.alias("before"))
     listed = listed.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent))))
-    other = listed.select("key", F.col("class").alias("asked"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"), F.col("before").alias("before_y"))
+    other = listed.select("key", F.col("class").alias("asked"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"), F.col("before").alias("before_y"), F.col("sketch").alias("sketch_y"))
     asks = listed.withColumnRenamed("node", "x").withColumn("asked", F.explode(F.array("class", F.col("class") + 1)))
     once = (F.col("asked") > F.col("class")) | (F.col("x") < F.col("y"))
-    met = asks.join(other, ["key", "asked"]).where(once & (F.col("comp") != F.col("comp_y")) & _fits(F.col("n"), F.col("m"), percent) & ~F.arrays_overlap("before", "before_y"))
+    met = asks.join(other, ["key", "asked"]).where(once & (F.col("comp") != F.col("comp_y")) & _fits(F.col("n"), F.col("m"), percent) & ~F.arrays_overlap("before", "before_y") & _near("sketch", "sketch_y", percent))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -263,7 +269,7 @@ def links(nodes: DataFrame, percent: int = PERCENT, large: int | None = None, fo
             last, members = members, common.materialize(_spread(moved), "members")
             common.release(last)
         orders = [F.col("weight")] if k == 0 else [F.xxhash64(F.lit(k * HASHED_LEADERS + j), "node") for j in range(HASHED_LEADERS)]
-        pairs = leader_scan(members, percent, orders) if k < SCANS else full_scan(members, percent)
+        pairs = leader_scan(members, percent, orders) if k < SCANS else full_scan(members, sets, percent)
         linked = common.materialize(_verified(pairs, sets, percent), "links")
         if found is not None:
             found[f"leader {k + 1}" if k < SCANS else "full"] = linked
@@ -289,7 +295,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     classes = known.where("n_shingles > 0").groupBy(*sig).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     # every row of a class has equal sets: its first row stands for it
     nodes = known.where("firsts is not null").join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    nodes = nodes.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "weight", "shared", "firsts", "sketch")
+    nodes = nodes.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "weight", "shared", "firsts", F.struct(F.col("n_shingles").alias("n"), F.size("shared").alias("k"), F.col("sketch").alias("s")).alias("sketch"))
     comps = links(common.materialize(nodes, "nodes"), percent, large, found)
     least = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     owner = least.groupBy("comp").agg(F.min("least").alias("component_id")).select("*", split_key("comp"))
