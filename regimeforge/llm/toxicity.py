@@ -39,17 +39,15 @@ BORDER = 31
 LANDMARKS = 256
 ROUNDS = 4
 LEAST = 6
-SEEDS, BALANCE, TRUSTED = 64, 0.5, 0.8
+SEEDS, BALANCE, TRUSTED = 24, 0.5, 0.8
 #: Nystrom directions of less than this share of the largest are left out.
-EIGEN = 1e-5
+EIGEN = 1e-3
 #: How many of a text's worst parts its score looks at.
 TOP = 3
 PER_CLASS = 800
-#: Of a text the machine learns from this many characters, and of these from the parts nearest to the landmarks.
-LEARN_CHARS, LEARN_PARTS = 20_000, 32
+#: What a clean document weighs in learning: all of its stretches share this weight, whatever its length.
+WEIGHT = 32
 FOLDS, HELD_OUT = 3, 1
-#: A sentence of more words is judged in parts of so many.
-SENTENCE_WORDS = 1
 #: Characters that are scored at a time, to stay within the processor's cache.
 STEP = 1 << 16
 
@@ -73,9 +71,9 @@ def _folding() -> np.ndarray:
 _FOLD = _folding()
 
 
-def symbols(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol of each character, where units start, which units go on in the next one). A unit is a
-    sentence, or SENTENCE_WORDS // 2 words of a longer one. The text stands between gaps, so that no
+def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol of each character, where stretches start). A stretch is a word with the white space before it;
+    a subsequence belongs to the stretch that it starts in. The text stands between gaps, so that no
     subsequence runs from one text into another."""
     codes = np.frombuffer(("\0" * SPAN + "\n" + text + "\n" + "\0" * SPAN).encode("utf-32-le", "replace"), np.uint32)
     letters = np.where(codes < len(_FOLD), _FOLD[np.minimum(codes, len(_FOLD) - 1)], (27 + codes % 4).astype(np.uint8))
@@ -86,22 +84,7 @@ def symbols(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes, letters = codes[keep], letters[keep]
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     letters[space] = BORDER
-    stop = (codes == 46) | (codes == 33) | (codes == 63)
-    ends = codes == 10
-    ends[1:] |= stop[:-1] & space[1:]
-    ends[0] = True
-    number, words = np.cumsum(ends) - 1, np.cumsum(space)
-    first = np.flatnonzero(np.diff(number, prepend=-1))
-    part = (words - words[first][number]) // (SENTENCE_WORDS // 2)
-    starts = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-    return letters, starts, np.append(number[starts[1:]] == number[starts[:-1]], False)
-
-
-def windows(of_unit: np.ndarray, onward: np.ndarray) -> np.ndarray:
-    """Sums over each unit and the one it goes on in; a last unit is in the window of the one before."""
-    both = of_unit.copy()
-    both[:-1][onward[:-1]] += of_unit[1:][onward[:-1]]
-    return both[onward | ~np.append(False, onward[:-1])]
+    return letters, np.append(0, np.flatnonzero(space))
 
 
 def subsequences(letters: np.ndarray):
@@ -115,10 +98,10 @@ def subsequences(letters: np.ndarray):
         yield high[second][:n] | pair[last - third][third : third + n], weight
 
 
-def size_of(letters: np.ndarray, starts: np.ndarray, onward: np.ndarray) -> np.ndarray:
-    """What each window's kernel value is divided by: the root of its letters, which the kernel of a part
-    with itself grows with. A window counts as LEAST letters at least; one without a letter is infinite."""
-    own = windows(np.add.reduceat(((letters > 0) & (letters < BORDER)).astype(np.float32), starts), onward)
+def size_of(letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What each stretch's kernel value is divided by: the root of its letters, which the kernel of a part with
+    itself grows with. A stretch counts as LEAST letters at least; one without a letter is infinite."""
+    own = np.add.reduceat(((letters > 0) & (letters < BORDER)).astype(np.float32), starts)
     return np.where(own > 0, np.sqrt(np.maximum(own, LEAST)), np.inf)
 
 
@@ -155,7 +138,7 @@ class Model:
         return values
 
     def tops(self, texts: list[str | None]) -> np.ndarray:
-        """The values of the TOP worst windows of each text, the worst first; ``bias`` where there are fewer.
+        """The values of the TOP worst stretches of each text, the worst first; ``bias`` where there are fewer.
         Short texts are scored together; what a text scores does not depend on the others."""
         out = np.full((len(texts), TOP), self.bias)
         k = 0
@@ -166,9 +149,8 @@ class Model:
                 size += len(group[-1][0])
                 k += 1
             values, at = self.values(np.concatenate([g[0] for g in group])), 0
-            for i, (letters, starts, onward) in enumerate(group):
-                unit = np.add.reduceat(values[at : at + len(letters)], starts, dtype=np.float64)
-                own = windows(unit, onward) / size_of(letters, starts, onward) + self.bias
+            for i, (letters, starts) in enumerate(group):
+                own = np.add.reduceat(values[at : at + len(letters)], starts, dtype=np.float64) / size_of(letters, starts) + self.bias
                 best = np.sort(own if len(own) <= TOP else np.partition(own, len(own) - TOP)[-TOP:])[::-1]
                 out[first + i, : len(best)] = np.maximum(best, self.bias)
                 at += len(letters)
@@ -220,8 +202,8 @@ class Nystrom:
         self.map = (phi.T @ root).astype(np.float32)  # subsequence -> Nystrom coordinates
 
     def sentences(self, text: str) -> np.ndarray:
-        """Coordinates of every window of a text that has a letter."""
-        letters, starts, onward = symbols(text)
+        """Coordinates of every stretch of a text that has a letter."""
+        letters, starts = symbols(text)
         unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(letters))))
         found, worth = [], []
         for index, weight in subsequences(letters):
@@ -236,8 +218,8 @@ class Nystrom:
             of = key // len(self.used)
             first = np.flatnonzero(np.diff(of, prepend=-1))
             out[of[first]] = np.add.reduceat(rows, first, axis=0)
-        size = size_of(letters, starts, onward)
-        return (windows(out, onward) / size[:, None])[np.isfinite(size)]
+        size = size_of(letters, starts)
+        return (out / size[:, None])[np.isfinite(size)]
 
     def weights(self, w: np.ndarray) -> np.ndarray:
         full = np.zeros(ALPHABET**K, np.float32)
@@ -268,6 +250,18 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     return w[:-1], float(w[-1])
 
 
+def rising_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic curve whose weights are not negative: a worse stretch never lowers a score."""
+    used = np.ones(x.shape[1], bool)
+    out = np.zeros(x.shape[1] + 1)
+    while True:
+        fitted = quality.logistic(np.hstack([np.ones((len(x), 1)), x[:, used]]), y, ridge=1e-4)
+        if (fitted[1:] >= 0).all():
+            out[0], out[1:][used] = fitted[0], fitted[1:]
+            return out
+        used[np.flatnonzero(used)[np.argmin(fitted[1:])]] = False
+
+
 def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     """rows: (doc_id, text, label). Two of three rows train the machine, the third calibrates. Without
     rows of both labels every score is the prior."""
@@ -284,7 +278,9 @@ def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     toxic_words = set(marks[: LANDMARKS // 2])
     space = Nystrom(marks)
     bags = [space.sentences(t) for t in texts]
-    negative = np.concatenate([b for b, y in zip(bags, labels, strict=True) if not y])
+    clean = [b for b, y in zip(bags, labels, strict=True) if not y]
+    negative = np.concatenate(clean)
+    weight = np.concatenate([np.full(len(b), min(1.0, WEIGHT / max(len(b), 1))) for b in clean])
     positive = [b for b, y in zip(bags, labels, strict=True) if y and len(b)]
     # the landmarks that stand out in toxic documents are positive examples from the start and stay so
     alone = [space.sentences(m) for m in marks[:SEEDS] if m in toxic_words]
@@ -293,7 +289,7 @@ def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     for _ in range(ROUNDS):
         x = np.concatenate([negative, chosen])
         y = np.concatenate([-np.ones(len(negative)), np.ones(len(chosen))])
-        cost = np.where(y > 0, BALANCE * len(negative) / max(len(chosen), 1), 1.0)
+        cost = np.concatenate([weight, np.full(len(chosen), BALANCE * weight.sum() / max(len(chosen), 1))])
         w, bias = squared_hinge(x, y, cost)
         best = [b[np.argmax(b @ w)] for b in positive]
         order = np.argsort([-float(x @ w) for x in best], kind="stable")
@@ -302,7 +298,7 @@ def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     model = Model(space.weights(w), bias, [0.0] * (TOP + 1))
     tops = model.tops([t for t, _ in curve])
     y = np.array([y for _, y in curve], float)
-    fitted = quality.logistic(np.hstack([np.ones((len(tops), 1)), tops]), y, ridge=1e-4)
+    fitted = rising_curve(tops, y)
     fitted[0] += math.log(prior / (1 - prior)) - math.log(y.mean() / (1 - y.mean()))
     model.curve = fitted.tolist()
     return model
