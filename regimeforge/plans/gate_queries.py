@@ -38,7 +38,7 @@ def _quality(key: str) -> str:
 
 #: The policy of the queries: limits that some candidates pass and some do not.
 STRICT = GatePolicy(
-    state=KindLimits(0.4, 0.2, 5, 20, 3, 0.4, 0.001, 10.0), transition=KindLimits(0.35, 0.15, 6, 5, 2, 0.3, None, None), min_consistency_score=0.3, min_consistency_percentile=0.2, max_consistency_rank=6,
+    state=KindLimits(0.4, 0.2, 5, 20, 3, 0.4, 0.001, 10.0), transition=KindLimits(0.35, 0.15, 9, 5, 2, 0.3, None, None), min_consistency_score=0.3, min_consistency_percentile=0.2, max_consistency_rank=11,
     min_sample_score=0.2, min_observations=5, family_mode="top_count", top_count=1, top_percentile=0.6, bottom_count=1, bottom_percentile=0.4, min_family_consistency=0.3, components=("state", "consistency"),
     hard=("transition", "sample_size", "state", "consistency", "family"), mode="hybrid", per_time=3, per_class=2, per_model=2,
 )
@@ -67,8 +67,8 @@ sql.CTES |= {
         FROM cands c LEFT JOIN q_state s ON s.asset_class = c.asset_class AND s.key = c.state LEFT JOIN q_transition t ON t.asset_class = c.asset_class AND t.key = c.transition_setup LEFT JOIN q_family f ON f.asset_class = c.asset_class AND f.key = c.state_family"""),
     "checked": (("looked",), """SELECT *, (0.20 * opportunity_score + 0.20 * greatest(state_quality_score, 0) + 0.20 * greatest(transition_quality_score, 0) + 0.15 * greatest(fold_consistency_score, 0) + 0.10 * sample_size_score + 0.15 * tradability_score) / 1.0 AS signal_score,
         state_quality_score >= 0.4 AND s_pct >= 0.2 AND s_rank <= 5 AND s_n >= 20 AND s_folds >= 3 AND s_pos >= 0.4 AND s_ev <= 0.001 AND s_sv <= 10 AS state_gate_pass,
-        transition_quality_score >= 0.35 AND t_pct >= 0.15 AND t_rank <= 6 AND t_n >= 5 AND t_folds >= 2 AND t_pos >= 0.3 AS transition_gate_pass,
-        fold_consistency_score >= 0.3 AND consistency_percentile >= 0.2 AND consistency_rank <= 6 AS consistency_gate_pass, sample_size_score >= 0.2 AND observations >= 5 AND s_n >= 20 AND t_n >= 5 AS sample_size_gate_pass,
+        transition_quality_score >= 0.35 AND t_pct >= 0.15 AND t_rank <= 9 AND t_n >= 5 AND t_folds >= 2 AND t_pos >= 0.3 AS transition_gate_pass,
+        fold_consistency_score >= 0.3 AND consistency_percentile >= 0.2 AND consistency_rank <= 11 AS consistency_gate_pass, sample_size_score >= 0.2 AND observations >= 5 AND s_n >= 20 AND t_n >= 5 AS sample_size_gate_pass,
         f_rank <= 1 AS family_mode_pass, coalesce(f_pct >= 0.6, false) AS family_top_percentile_pass, f_size <= 0 OR f_rank < greatest(f_size - 1 + 1, 1) AS family_bottom_exclusion_pass, coalesce(f_pct > 0.4, false) AS family_bottom_percentile_pass,
         coalesce(family_consistency_score >= 0.3, false) AS family_consistency_pass FROM (SELECT *, (greatest(state_quality_score, 0) + greatest(transition_quality_score, 0) + fold_consistency_score + sample_size_score + greatest(state_family_quality_score, 0)) / 5 AS tradability_score FROM looked)"""),
     "chosen": (("checked",), """SELECT *, hard_block_reason IS NULL AS selection_passed, CASE WHEN hard_block_reason IS NULL THEN candidate_signal ELSE 'flat' END AS signal FROM (SELECT *,
@@ -116,7 +116,7 @@ add("sg_sample_score", f"{_ID} sample_size_score:7", _gated, "looked", "looked")
 add("sg_gate_state", f"{_ID} state_gate_pass state_quality_rank_pass state_active_folds_pass state_expectancy_variance_pass", _gated, "(SELECT *, s_rank <= 5 AS state_quality_rank_pass, s_folds >= 3 AS state_active_folds_pass, s_ev <= 0.001 AS state_expectancy_variance_pass FROM checked)", "checked")
 add("sg_gate_transition", f"{_ID} transition_gate_pass transition_quality_score_pass transition_trade_count_pass", _gated, "(SELECT *, transition_quality_score >= 0.35 AS transition_quality_score_pass, t_n >= 5 AS transition_trade_count_pass FROM checked)", "checked")
 add("sg_gate_consistency", f"{_ID} consistency_gate_pass consistency_score_pass consistency_percentile_pass consistency_rank_pass", _gated,
-    "(SELECT *, fold_consistency_score >= 0.3 AS consistency_score_pass, consistency_percentile >= 0.2 AS consistency_percentile_pass, consistency_rank <= 6 AS consistency_rank_pass FROM checked)", "checked")
+    "(SELECT *, fold_consistency_score >= 0.3 AS consistency_score_pass, consistency_percentile >= 0.2 AS consistency_percentile_pass, consistency_rank <= 11 AS consistency_rank_pass FROM checked)", "checked")
 add("sg_gate_family", f"{_ID} family_mode_pass family_top_percentile_pass family_bottom_exclusion_pass family_bottom_percentile_pass family_consistency_pass", _gated, "checked", "checked")
 add("sg_gate_sample", f"{_ID} sample_size_gate_pass", _gated, "checked", "checked")
 add("sg_hard_filters", f"{_ID} signal hard_block_category hard_block_reason", _gated, "chosen", "chosen")

@@ -244,9 +244,14 @@ add("wf_purge", "fold_id part symbol signal_ts label_end_ts", lambda s, d: evide
 _SPACE = {"states.bins": [3, 5], "signals.cost_bps": [2.0, 5.0, 10.0], "signals.shorts": [True, False]}
 add("cfg_grid", "bins cost_bps shorts", lambda s, d: evidence.parameter_grid(s, _SPACE, 12).select(*(F.col(f"`{k}`").alias(k.split(".")[1]) for k in _SPACE)),
     "(SELECT * FROM (SELECT unnest([3, 5]) AS bins) CROSS JOIN (SELECT unnest([2, 5, 10]::DOUBLE[]) AS cost_bps) CROSS JOIN (SELECT unnest([true, false]) AS shorts))")
-_SIDE = F.element_at(F.array(*map(F.lit, ("flat", "long", "short"))), F.pmod("l_suppkey", F.lit(3)).cast("int") + 1)
+
+
+def _side():
+    return F.element_at(F.array(*map(F.lit, ("flat", "long", "short"))), F.pmod("l_suppkey", F.lit(3)).cast("int") + 1)
+
+
 add("bt_slippage", "l_orderkey l_linenumber l_partkey entry_price:6 exit_price:6", lambda s, d: (x := sources.table(s, d, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey",
-    *(evidence.slipped(F.col("l_extendedprice"), _SIDE, F.lit(e), F.when(F.col("l_returnflag") == "R", 10.0).otherwise(5.0)).alias(n) for e, n in ((True, "entry_price"), (False, "exit_price")))),
+    *(evidence.slipped(F.col("l_extendedprice"), _side(), F.lit(e), F.when(F.col("l_returnflag") == "R", 10.0).otherwise(5.0)).alias(n) for e, n in ((True, "entry_price"), (False, "exit_price")))),
     """(SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * CASE l_suppkey % 3 WHEN 1 THEN 1 + b WHEN 2 THEN 1 - b ELSE 1 END AS entry_price, l_extendedprice * CASE l_suppkey % 3 WHEN 1 THEN 1 - b WHEN 2 THEN 1 + b ELSE 1 END AS exit_price
     FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 10 / 10000.0::DOUBLE ELSE 5 / 10000.0::DOUBLE END AS b FROM lineitem))""")
 _STATS = "count(*) AS trade_count, avg((pnl > 0)::INT) AS win_rate, avg(return_pct) AS expectancy, avg(return_pct) FILTER (pnl > 0) AS average_win, avg(return_pct) FILTER (pnl < 0) AS average_loss, avg(hold_bars) AS average_hold_bars, sum(abs(entry_notional) + abs(entry_notional + pnl)) AS traded_notional"
@@ -340,4 +345,10 @@ add("cmp_score", "model_name sparsity_score:7 tradability_score:7 comparison_ran
     """(SELECT *, row_number() OVER (ORDER BY tradability_score DESC, mean_return DESC, trades DESC, model_name) AS comparison_rank FROM (SELECT *, ((trades - min(trades) OVER ()) / (max(trades) OVER () - min(trades) OVER ()) + (hold - min(hold) OVER ()) / (max(hold) OVER () - min(hold) OVER ())) / 2 AS sparsity_score,
     (0.7 * (mean_return - min(mean_return) OVER ()) / (max(mean_return) OVER () - min(mean_return) OVER ()) + 0.3 * (trades - min(trades) OVER ()) / (max(trades) OVER () - min(trades) OVER ())) / 1.0 AS tradability_score
     FROM (SELECT symbol || '/' || entry_state_family AS model_name, avg(return_pct) AS mean_return, count(*) AS trades, avg(hold_bars) AS hold FROM trades GROUP BY ALL)))""", "trades")
-add("sel_funnel", "asset_class gate_order gate_name candidate_count rejected_count remaining_count", lambda s, d: signals.gate_breakdown(_universe(s, d), "asset_class", gates.GATE_CHECK_ORDER))
+_OKS = (
+    "true, true, f_rank <= 1, family_bottom_exclusion_pass, state_quality_score >= 0.4, s_pct >= 0.2, s_rank <= 5, s_n >= 20, s_folds >= 3, s_pos >= 0.4, s_ev <= 0.001, s_sv <= 10, transition_quality_score >= 0.35, "
+    "t_pct >= 0.15, t_rank <= 9, t_n >= 5, t_folds >= 2, t_pos >= 0.3, true, true, fold_consistency_score >= 0.3, consistency_percentile >= 0.2, consistency_rank <= 11"
+)
+add("sel_funnel", "asset_class gate_order gate_name candidate_count rejected_count remaining_count", lambda s, d: signals.gate_breakdown(_universe(s, d), "asset_class", gates.GATE_CHECK_ORDER),
+    f"""(SELECT asset_class, k - 1 AS gate_order, {list(gates.GATE_CHECK_ORDER)}[k] AS gate_name, count(*) AS candidate_count, count(*) FILTER (NOT oks[k] AND list_bool_and(list_prepend(true, oks[1:k - 1]))) AS rejected_count, count(*) FILTER (list_bool_and(oks[1:k])) AS remaining_count
+    FROM (SELECT asset_class, unnest(range(1, 24)) AS k, [{_OKS}] AS oks FROM ranked_universe) GROUP BY ALL)""", "ranked_universe")
