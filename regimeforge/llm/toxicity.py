@@ -39,7 +39,7 @@ BORDER = 31
 LANDMARKS = 256
 ROUNDS = 4
 LEAST = 6
-SEEDS, BALANCE, TRUSTED = 24, 0.5, 0.8
+SEEDS, BALANCE, TRUSTED = 12, 0.5, 0.8
 #: Nystrom directions of less than this share of the largest are left out.
 EIGEN = 1e-3
 #: How many of a text's worst parts its score looks at.
@@ -48,6 +48,8 @@ PER_CLASS = 800
 #: What a clean document weighs in learning: all of its stretches share this weight, whatever its length.
 WEIGHT = 32
 FOLDS, HELD_OUT = 3, 1
+#: Rows of a Newton step that are summed at a time.
+ROWS = 1 << 15
 #: Characters that are scored at a time, to stay within the processor's cache.
 STEP = 1 << 16
 
@@ -205,19 +207,14 @@ class Nystrom:
         """Coordinates of every stretch of a text that has a letter."""
         letters, starts = symbols(text)
         unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(letters))))
-        found, worth = [], []
+        out = np.zeros((len(starts), self.map.shape[1]), np.float32)
         for index, weight in subsequences(letters):
             known = self.compact[index]
             at = np.flatnonzero(known >= 0)
-            found.append(unit[at] * len(self.used) + known[at])
-            worth.append(np.full(len(at), weight, np.float32))
-        key, place = np.unique(np.concatenate(found), return_inverse=True)
-        rows = self.map[key % len(self.used)] * np.bincount(place, np.concatenate(worth), len(key)).astype(np.float32)[:, None]
-        out = np.zeros((len(starts), self.map.shape[1]), np.float32)
-        if len(key):
-            of = key // len(self.used)
-            first = np.flatnonzero(np.diff(of, prepend=-1))
-            out[of[first]] = np.add.reduceat(rows, first, axis=0)
+            if len(at):
+                of = unit[at]  # rises along the text
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                out[of[first]] += np.float32(weight) * np.add.reduceat(self.map[known[at]], first, axis=0)
         size = size_of(letters, starts)
         return (out / size[:, None])[np.isfinite(size)]
 
@@ -228,19 +225,31 @@ class Nystrom:
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss in the primal, by Newton steps."""
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w = np.zeros(z.shape[1])
-    shrink = np.full(z.shape[1], ridge)
+    """A linear support vector machine with squared hinge loss in the primal, by Newton steps. Sums are taken
+    over ROWS rows at a time, so beside ``x`` only these are in memory."""
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    shrink = np.full(n, ridge)
     shrink[-1] = 1e-6
-    value = lambda w: 0.5 * (shrink * w * w).sum() + 0.5 * (cost * np.maximum(0, 1 - y * (z @ w)) ** 2).sum()
+    parts = [slice(k, k + ROWS) for k in range(0, len(x), ROWS)]
+
+    def left(w: np.ndarray, part: slice) -> np.ndarray:
+        return 1 - y[part] * (x[part] @ w[:-1] + w[-1])
+
+    def value(w: np.ndarray) -> float:
+        return 0.5 * (shrink * w * w).sum() + 0.5 * sum(float((cost[p] * np.maximum(0, left(w, p)) ** 2).sum()) for p in parts)
+
     now = value(w)
     for _ in range(steps):
-        margin = y * (z @ w)
-        inside = margin < 1
-        a = z[inside] * cost[inside, None]
-        gradient = shrink * w - a.T @ (y[inside] * (1 - margin[inside]))
-        step = np.linalg.solve(a.T @ z[inside] + np.diag(shrink), gradient)
+        gradient, hessian = shrink * w, np.diag(shrink)
+        for part in parts:
+            rest = left(w, part)
+            inside = np.flatnonzero(rest > 0)
+            z = np.hstack([x[part][inside], np.ones((len(inside), 1), x.dtype)]).astype(np.float64)
+            weighted = z * cost[part][inside, None]
+            gradient -= weighted.T @ (y[part][inside] * rest[inside])
+            hessian += weighted.T @ z
+        step = np.linalg.solve(hessian, gradient)
         rate = 1.0
         while rate > 1e-4 and (new := value(w - rate * step)) > now:
             rate /= 2
@@ -282,6 +291,7 @@ def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     negative = np.concatenate(clean)
     weight = np.concatenate([np.full(len(b), min(1.0, WEIGHT / max(len(b), 1))) for b in clean])
     positive = [b for b, y in zip(bags, labels, strict=True) if y and len(b)]
+    del bags, clean
     # the landmarks that stand out in toxic documents are positive examples from the start and stay so
     alone = [space.sentences(m) for m in marks[:SEEDS] if m in toxic_words]
     seeds = [max(x, key=lambda v: float(v @ v)) for x in alone if len(x)]

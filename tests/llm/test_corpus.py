@@ -1,10 +1,12 @@
 """Corpus operators against SQL, brute force, round trips and held-out rows, with odd inputs."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -131,7 +133,9 @@ def test_sentence_spans_equal_brute_force(spark, docs):
             seen.setdefault(tuple(text[i:j]), r.doc_id)
         if gone:
             expected[r.doc_id] = (len(text), len(gone))
-    assert {r.doc_id: (r.sentences_total, r.sentences_removed) for r in sentence_dedup.digest(docs).collect()} == expected
+    got = sentence_dedup.digest(docs, both=False)
+    assert got.count() == docs.count()
+    assert {r.doc_id: (r.sentences_total, r.sentences_removed) for r in got.where("sentences_removed > 0").collect()} == expected
 
 
 def repeated(texts):
@@ -180,6 +184,178 @@ def test_first_place_of_a_passage_stays(spark):
     assert got[0].sentences_removed == 0 and got[1].text == "Other. Rest stays." and got[1].first_docs == [0]
 
 
+def test_sentence_query_texts_and_first_places(spark):
+    """Texts and first documents of the query's rows, from every run of sentences that stands at an earlier place."""
+    p, q = ("A%d one two three four five six. B%d seven eight nine ten eleven. C%d twelve thirteen fourteen fifteen sixteen seventeen." % ((k,) * 3) for k in (1, 2))
+    texts = [f"{p} Own end.", f"{q} Other end.", f"{p} {q} Third end.", "Nothing here.", None]
+    got = {r.doc_id: r for r in sentence_dedup.digest(frame(spark, texts)).collect()}
+    left = {0: texts[0], 1: texts[1], 2: "Third end.", 3: texts[3]}
+    assert {k: r.text_sha256 for k, r in got.items()} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in left.items()} | {4: None}
+    assert got[2].first_docs == [0, 1] and all(got[k].first_docs is None and got[k].sentences_removed == 0 for k in (0, 1, 3, 4))
+
+
+def components_of(texts):
+    """Least index reachable over links, by comparing all pairs of shingle sets."""
+    sets = []
+    for t in texts:
+        w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: find(k) for k in range(len(sets))}
+
+
+@pytest.mark.parametrize("large", [0, 7, 12, None, 100])
+def test_jaccard_on_either_side_of_the_boundary(spark, large):
+    """Families of near copies, by subsets, by lists, and by both; which branch finds the links follows the boundary."""
+    rnd, texts = random.Random(4), []
+    for f in range(12):
+        base = [f"f{f}w{k}" for k in range(rnd.choice([3, 5, 6, 8, 10, 12, 14, 20, 40]))]
+        for _ in range(8):
+            t = list(base)
+            for _ in range(rnd.randrange(3)):
+                k, r = rnd.randrange(len(t)), rnd.random()
+                if r < 0.4:
+                    t[k] = f"x{rnd.random()}"
+                elif r < 0.7:
+                    t.insert(k if r < 0.6 else len(t), f"y{rnd.randrange(3)}")
+                elif len(t) > 1:
+                    t.pop()
+            texts.append(" ".join(t))
+    found = {}
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, texts), large=large, found=found).collect()}
+    assert got == components_of(texts)
+    counts = {k: v.count() for k, v in found.items()}
+    assert (counts["light"] == 0) == (large == 0) and (sum(counts.values()) == counts["light"]) == (large == 100)
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    near = lambda t: " ".join([*t[:-1], "zz"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (3, near(a)), (9, near(b)), (None, near(b) + " yy"), (None, "alone in the world here")]
+    got = [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(7, 3), (7, 7), (3, 3), (9, 7), (None, 7), (None, None)], key=str)
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = " ".join(f"t{k}" for k in range(60))
+    texts = [(5, base), (5, base), (4, base + " more"), (None, base), (None, None), (None, None), (8, "other words of its own"), (6, None)]
+    d = frame(spark, texts).withColumn("rf_place", F.lit("mine")).withColumn("rf_chosen", F.lit(1))
+    kept = jaccard.keep_one(d)
+    assert kept.columns == d.columns and {r.rf_place for r in kept.collect()} == {"mine"}
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(4, base + " more"), (None, None), (8, "other words of its own"), (6, None)], key=str)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    lines = "\n".join(f"line number {k} with some words" for k in range(5))
+    own = {c: F.lit(f"own {c}") for c in ("rf_doc", "rf_text", "rf_starts", "rf_spans", "rf_first", "rf_lines", "rf_full", "rf_gone", "i", "j", "gram", "comp")}
+    d = frame(spark, [lines, lines + "\nmore", "short text"]).withColumns(own)
+    bench = spark.createDataFrame([(1, "line number 4 with some words")], "item_id long, text string")
+    model = quality.Model(b"", b"", [1.0] + [0.0] * 8)
+    for made in (line_dedup.dedup_lines(d), sentence_dedup.dedup_sentences(d), decontaminate.decontaminate(d, bench), jaccard.keep_one(d), quality.accepted(d, model)):
+        assert made.columns[: len(d.columns)] == d.columns
+        assert all(r[c] == f"own {c}" for r in made.collect() for c in own)
+
+
+def test_items_under_a_seed_are_found_whole(spark):
+    d = frame(spark, ["the alpha beta stands here", "alpha and beta apart", "ALPHA, beta!", None])
+    bench = spark.createDataFrame([(1, "Alpha beta"), (2, "gamma"), (3, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.covered) for r in decontaminate.digest(d, bench).collect()) == [(0, 1, 2), (2, 1, 2)]
+
+
+def test_tiling_of_repeated_tokens_is_fast_and_greedy():
+    def tiles(doc, item, seed=5):
+        h = lambda t, k: hash(tuple(t[k : k + seed]))
+        own = [h(item, k) for k in range(len(item) - seed + 1)]
+        places = [(p, h(doc, p)) for p in range(len(doc) - seed + 1) if h(doc, p) in set(own)]
+        return decontaminate.Tiles([p for p, _ in places], [x for _, x in places], own, len(item), seed).run()
+
+    began = time.perf_counter()
+    assert sum(t[2] for t in tiles((["a"] * 8 + ["x"]) * 200, ["a"] * 1600)) == 1600
+    assert time.perf_counter() - began < 5
+    rnd = random.Random(1)
+    for _ in range(150):
+        v = rnd.choice([1, 2, 3, 8])
+        item, doc = [rnd.randrange(v) for _ in range(rnd.randrange(5, 40))], [rnd.randrange(v + 1) for _ in range(rnd.randrange(50))]
+        doc += item[len(item) // 2 :] + item[: len(item) // 2]
+        got = tiles(doc, item)
+        assert all(item[q : q + k] == doc[p : p + k] for q, p, k in got) and sum(t[2] for t in got) == greedy(doc, item, 5)
+
+
+def kernel(a, b):
+    """The gapped kernel of two symbol strings by enumeration of all subsequences."""
+    def phi(x):
+        out = {}
+        for at in itertools.combinations(range(len(x)), toxicity.K):
+            if at[-1] - at[0] < toxicity.SPAN and all(x[k] for k in at):
+                key = tuple(x[k] for k in at)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    x, y = phi(a), phi(b)
+    return sum(v * y.get(k, 0) for k, v in x.items())
+
+
+def test_toxicity_kernel_equals_enumeration():
+    marks = ["idiot", "stupid", "i-d.iot", "wonder"]
+    space = toxicity.Nystrom(marks)
+    strings = [toxicity.symbols(m)[0].tolist() for m in marks]
+    gram = np.array([[kernel(a, b) for b in strings] for a in strings])
+    size = np.sqrt(np.diag(gram))
+    values, vectors = np.linalg.eigh(gram / np.outer(size, size))
+    keep = values > toxicity.EIGEN * values.max()
+    got, expected = [], []
+    for word in ("idiot", "idxiot", "stuppid", "thing", "wonder"):
+        letters, starts = toxicity.symbols(word)
+        got.append(space.sentences(word).sum(axis=0) * toxicity.size_of(letters, starts)[1])
+        expected.append((np.array([kernel(letters.tolist(), s) for s in strings]) / size) @ (vectors[:, keep] / np.sqrt(values[keep])))
+    # the directions of equal eigenvalues are free, products of coordinates are not
+    got, expected = np.array(got), np.array(expected)
+    np.testing.assert_allclose(got @ got.T, expected @ expected.T, atol=1e-3)
+
+
+def test_toxicity_reads_letters_drawn_apart_and_scores_each_text_alone():
+    assert all(toxicity.symbols(t)[0].tolist() == toxicity.symbols("an idiot here")[0].tolist() for t in ("an i d i o t here", "an i.d.i.o.t here"))
+    rows = [(k, " ".join(["some", "plain", "words", f"of{k}"] + (["idiot", "moron"] if k % 2 else [])), k % 2) for k in range(60)]
+    model = toxicity.train(rows, 0.5)
+    texts = ["an idiot and a moron", None, "plain words", "", "i d i o t and m.o.r.o.n", "of some plain words " * 400]
+    together = model.scores(texts)
+    np.testing.assert_allclose(together, [model.score(t) for t in texts], rtol=1e-5)
+    assert min(together[0], together[4]) > 0.7 > 0.3 > max(together[1], together[2], together[3], together[5])
+
+
+def test_quality_features_are_compressed_sizes():
+    import zstandard
+
+    texts = {y: [" ".join(random.Random(100 * y + k).choices([f"{'good' if y else 'bad'}{j}" for j in range(40)], k=60)) for k in range(90)] for y in (0, 1)}
+    model = quality.train([(100 * y + k, t, y) for y in (0, 1) for k, t in enumerate(texts[y])], 0.5)
+    text = texts[1][0] * 12
+
+    def size(dictionary):
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        raw = text.encode()
+        return sum(len(c.compress(raw[k : k + quality.PIECE])) for k in range(0, len(raw), quality.PIECE))
+
+    good, bad = size(model.good), size(model.bad)
+    assert model.features(text)[:2] == pytest.approx([(bad - good) / (bad + good), (bad - good) / len(text.encode())], abs=0.01)
+    assert model.score(texts[1][5]) > 0.7 > model.score(texts[0][5])
+
+
+def test_learnt_text_of_a_repeated_id_does_not_depend_on_the_order(spark):
+    rows = [(1, "b text"), (1, "a text"), (2, "c")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for order in (rows, rows[::-1]):
+        got = common.labelled_sample(spark.createDataFrame(order, "doc_id long, text string"), labels, "quality", 4, 99, 10).collect()
+        assert sorted(map(tuple, got)) == [(1, "a text", 1), (2, "c", 0)]
+
+
 def test_jaccard_links_and_chains(spark):
     base = [f"t{k}" for k in range(60)]
     texts = [" ".join(base), " ".join(base[:-1] + ["zz"]), " ".join(base[:-2] + ["zz", "yy"]), "only four words here", "Only FOUR words here", "a b"] + [f"lone{k} text of its own number {k}" for k in range(3)]
