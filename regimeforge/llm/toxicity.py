@@ -39,14 +39,14 @@ BORDER = 31
 LANDMARKS = 256
 ROUNDS = 4
 LEAST = 6
-SEEDS, BALANCE, TRUSTED = 12, 0.5, 0.8
+SEEDS, BALANCE, TRUSTED = 24, 0.5, 0.8
 #: Nystrom directions of less than this share of the largest are left out.
 EIGEN = 1e-3
 #: How many of a text's worst parts its score looks at.
 TOP = 3
 PER_CLASS = 800
-#: What a clean document weighs in learning: all of its stretches share this weight, whatever its length.
-WEIGHT = 32
+#: Of a text the machine learns from this many stretches: of the whole text those nearest to the landmarks.
+LEARN_PARTS = 32
 FOLDS, HELD_OUT = 3, 1
 #: Rows of a Newton step that are summed at a time.
 ROWS = 1 << 15
@@ -224,6 +224,15 @@ class Nystrom:
         return full
 
 
+def nearest(parts: np.ndarray) -> np.ndarray:
+    """The LEARN_PARTS stretches with the largest coordinates; the others are far from every landmark, say the
+    same as each other, and would outweigh these by their number."""
+    if len(parts) <= LEARN_PARTS:
+        return parts
+    size = np.einsum("ij,ij->i", parts, parts)
+    return parts[np.sort(np.argpartition(size, len(parts) - LEARN_PARTS)[-LEARN_PARTS:])]
+
+
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss in the primal, by Newton steps. Sums are taken
     over ROWS rows at a time, so beside ``x`` only these are in memory."""
@@ -286,12 +295,9 @@ def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     marks = landmarks(texts, labels, LANDMARKS)
     toxic_words = set(marks[: LANDMARKS // 2])
     space = Nystrom(marks)
-    bags = [space.sentences(t) for t in texts]
-    clean = [b for b, y in zip(bags, labels, strict=True) if not y]
-    negative = np.concatenate(clean)
-    weight = np.concatenate([np.full(len(b), min(1.0, WEIGHT / max(len(b), 1))) for b in clean])
+    bags = [nearest(space.sentences(t)) for t in texts]
+    negative = np.concatenate([b for b, y in zip(bags, labels, strict=True) if not y])
     positive = [b for b, y in zip(bags, labels, strict=True) if y and len(b)]
-    del bags, clean
     # the landmarks that stand out in toxic documents are positive examples from the start and stay so
     alone = [space.sentences(m) for m in marks[:SEEDS] if m in toxic_words]
     seeds = [max(x, key=lambda v: float(v @ v)) for x in alone if len(x)]
@@ -299,7 +305,7 @@ def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     for _ in range(ROUNDS):
         x = np.concatenate([negative, chosen])
         y = np.concatenate([-np.ones(len(negative)), np.ones(len(chosen))])
-        cost = np.concatenate([weight, np.full(len(chosen), BALANCE * weight.sum() / max(len(chosen), 1))])
+        cost = np.where(y > 0, BALANCE * len(negative) / max(len(chosen), 1), 1.0)
         w, bias = squared_hinge(x, y, cost)
         best = [b[np.argmax(b @ w)] for b in positive]
         order = np.argsort([-float(x @ w) for x in best], kind="stable")
