@@ -80,4 +80,68 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesc
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.doc_id = t.doc_id GROUP BY t.doc_id, n.n
 """
 
-ORACLE = {"op5_line_dedup": OP5, "op7_lm_scoring": OP7, "op8_url_filter": OP8, "op10_ngram_jaccard": OP10}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _crc32(text: str) -> str:
+    """Bit by bit over the UTF-8 bytes: a byte comes in at every eighth step."""
+    digit = lambda k: f"(strpos('0123456789ABCDEF', substr(hex(encode({text})), {k}, 1)) - 1)"
+    byte = f"(16 * {digit('2 * (k // 8) + 1')} + {digit('2 * (k // 8) + 2')})"
+    came = f"CASE WHEN k % 8 = 0 THEN xor(acc, {byte}) ELSE acc END"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], range(8 * strlen({text}))), lambda acc, k: xor(({came}) // 2, CASE WHEN ({came}) % 2 = 1 THEN 3988292384 ELSE 0 END)))"
+
+
+_TREE = """{t} AS (SELECT 0 AS k, g, row_number() OVER (PARTITION BY g ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, h FROM {source}
+      UNION ALL SELECT k + 1, g, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {t} WHERE n > 1 GROUP BY k, g, i // 3)"""
+
+OP11 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf("replace(text, chr(10), '')")} AS cut, {_crc32('doc_id::VARCHAR')} % 2 = 0 AS odd FROM documents),
+e AS (SELECT *, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+{_TREE.format(t="tree", order="doc_id NULLS FIRST, h", source="e")},
+subs AS (SELECT g AS sub, '' AS g, h FROM tree WHERE n = 1),
+{_TREE.format(t="over_", order="sub", source="subs")},
+places AS (SELECT e.doc_id, e.leaf, e.g, e.i, coalesce(CASE WHEN odd THEN cut END, leaf) AS start, s.h AS subroot, r.h AS root, row_number() OVER (PARTITION BY e.g ORDER BY e.i) AS pos, s.j
+           FROM e JOIN (SELECT sub, h, row_number() OVER (ORDER BY sub) - 1 AS j FROM subs) s ON s.sub = e.g CROSS JOIN (SELECT h FROM over_ WHERE n = 1) r),
+pow AS (SELECT k, pow(3, k)::BIGINT AS p FROM range(14) t(k)),
+way AS (SELECT g, i, k, p, 0 AS over FROM places JOIN (SELECT g, max(k) AS top FROM tree GROUP BY g) USING (g) JOIN pow ON k < top),
+side AS (SELECT w.g, w.i, w.k, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < w.i // p), '') AS l, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > w.i // p), '') AS r
+         FROM way w JOIN tree t ON t.g = w.g AND t.k = w.k AND t.i // 3 = w.i // p // 3 GROUP BY ALL),
+up2 AS (SELECT j, pow.k, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < j // p), '') AS l, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > j // p), '') AS r
+        FROM (SELECT DISTINCT j FROM places) JOIN pow ON k < (SELECT max(k) FROM over_) JOIN over_ t ON t.k = pow.k AND t.i // 3 = j // p // 3 GROUP BY ALL),
+path AS (SELECT g, i, row_number() OVER (PARTITION BY g, i ORDER BY over, k) AS s, l, r FROM
+         (SELECT g, i, k, 0 AS over, l, r FROM side UNION ALL SELECT g, i, k, 1 AS over, l, r FROM places JOIN up2 USING (j))),
+fold AS (SELECT g, i, 0 AS s, start AS h FROM places UNION ALL SELECT fold.g, fold.i, path.s, sha256(path.l || fold.h || path.r) FROM fold JOIN path ON path.g = fold.g AND path.i = fold.i AND path.s = fold.s + 1),
+ends AS (SELECT g, i, arg_max(h, s) AS folded_root FROM fold GROUP BY g, i),
+proof AS (SELECT g, i, string_agg(l || r, '' ORDER BY s) AS p FROM path GROUP BY g, i)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM places JOIN ends USING (g, i) LEFT JOIN proof USING (g, i)
+"""
+
+_PLAIN = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid, {_PLAIN} AS ws FROM documents),
+w AS (SELECT rid, unnest(ws) AS f FROM t), q AS (SELECT unnest({_PLAIN}) AS f FROM benchmark),
+b AS (SELECT f, {_crc32('f')} % 10000 AS b FROM (SELECT f FROM w UNION SELECT f FROM q)),
+raw AS (SELECT b, count(*) AS s FROM w JOIN b USING (f) GROUP BY b), want AS (SELECT b, count(*) AS t FROM q JOIN b USING (f) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM w) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM q) + 10000)::DOUBLE)))::BIGINT AS gain FROM raw FULL JOIN want USING (b)),
+m AS (SELECT rid, sum(gain)::BIGINT AS weight FROM w JOIN b USING (f) JOIN gain USING (b) GROUP BY rid),
+h AS (SELECT doc_id, len(coalesce(ws, [])) AS n, coalesce(weight, 0) AS weight, list_reduce(list_transform(range(1, 9), lambda k: strpos('0123456789abcdef', substr(sha256('2024:' || doc_id), k, 1))::BIGINT - 1), lambda x, y: 16 * x + y) AS h FROM t LEFT JOIN m USING (rid)),
+s AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
+r AS (SELECT *, CASE WHEN n >= 20 AND doc_id IS NOT NULL THEN row_number() OVER (PARTITION BY n >= 20 AND doc_id IS NOT NULL ORDER BY score DESC, doc_id, n) END AS k FROM s)
+SELECT doc_id, n AS n_words, n AS n_features, weight, score, CASE WHEN k <= 10 * (SELECT count(*) FROM s WHERE n >= 20 AND doc_id IS NOT NULL) // 100 THEN k END AS rank FROM r
+"""
+
+OP13 = """
+WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, rid, list_transform(e, lambda x: x / len_) AS e FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len_ FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE len_ > 0),
+p AS (SELECT a.rid AS x, b.rid AS y, b.vec_id AS other FROM u a JOIN u b ON a.rid <> b.rid AND list_dot_product(a.e, b.e) >= 0.95),
+reach AS (SELECT x, y, other FROM p UNION SELECT reach.x, p.y, p.other FROM reach JOIN p ON p.x = reach.y)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM v LEFT JOIN (SELECT x, count(*) AS n FROM p GROUP BY x) c ON c.x = v.rid LEFT JOIN (SELECT x, min(other) AS m FROM reach GROUP BY x) r ON r.x = v.rid
+"""
+
+ORACLE = {"op5_line_dedup": OP5, "op7_lm_scoring": OP7, "op8_url_filter": OP8, "op10_ngram_jaccard": OP10, "op11_merkle_manifest": OP11, "op12_importance_resampling": OP12, "op13_embedding_neardup": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, line_dedup, lm, oracle, quality, rules, sentence_dedup, toxicity, urls
+from . import bpe, decontaminate, jaccard, line_dedup, lm, merkle, neardup, oracle, quality, resample, rules, sentence_dedup, toxicity, urls
 from .common import table
 
 
@@ -63,8 +63,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    found = (op1_decontamination, op2_byte_bpe, op3_quality_classifier, op4_quality_rules, op5_line_dedup, op6_sentence_dedup, op7_lm_scoring, op8_url_filter, op9_toxicity, op10_ngram_jaccard)
+    found = (op1_decontamination, op2_byte_bpe, op3_quality_classifier, op4_quality_rules, op5_line_dedup, op6_sentence_dedup, op7_lm_scoring, op8_url_filter, op9_toxicity, op10_ngram_jaccard, op11_merkle_manifest, op12_importance_resampling, op13_embedding_neardup)
     return {f.__name__: f for f in found}
 
 
