@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import nullif, order
@@ -78,3 +80,34 @@ def confusion(samples: DataFrame, m: DataFrame) -> DataFrame:
 def accuracy(samples: DataFrame, m: DataFrame) -> DataFrame:
     n = F.col("n")
     return confusion(samples, m).groupBy("symbol").agg((F.sum(F.when(F.col("predicted") == F.col("actual"), n).otherwise(0)) / nullif(F.sum(n).cast("double"))).alias("accuracy"))
+
+
+def certainty(weighted: Column, total: Column, states: Column) -> Column:
+    """1 less the normalised entropy of a smoothed row: ``weighted`` is the sum of w * ln w over its weights,
+    ``total`` their sum. At least 0; a row of one state is certain."""
+    raw = (F.log(total) - weighted / total) / nullif(F.log(states.cast("double")))
+    return F.when(states <= 1, 1.0).otherwise(F.greatest(1 - raw, F.lit(0.0)))
+
+
+def statistics(labelled: DataFrame, keys: Sequence[str], smoothing: float = SMOOTHING) -> DataFrame:
+    """(keys, state, observations, mean_return, confidence, predicted) from **one** aggregate of the rows by keys, state
+    and next state; the rest works on that small table. A row counts for its transition if it has a next
+    state, for its return if it has one."""
+    counts = labelled.groupBy(*keys, "state", "next_state").agg(F.count("*").alias("c"), F.sum("forward_return").alias("r"), F.count("forward_return").alias("m"))
+    # each state that some transition leaves or enters is a row and a column of the matrix
+    ends = counts.where("next_state is not null").select(*keys, F.explode(F.array("state", "next_state")).alias("state"))
+    matrix = ends.groupBy(*keys).agg(F.count_distinct("state").alias("states"), F.min("state").alias("_first"))
+    w = F.col("c") + smoothing
+    there = F.col("next_state").isNotNull()
+    rows = counts.groupBy(*keys, "state").agg(
+        F.sum("m").alias("observations"), (F.sum("r") / nullif(F.sum("m").cast("double"))).alias("mean_return"), F.sum(F.when(there, F.col("c"))).alias("_n"), F.count_if(there).alias("_seen"),
+        F.sum(F.when(there, w * F.log(w))).alias("_wlog"), F.min(F.when(there, F.struct(-F.col("c"), F.col("next_state").alias("next")))).alias("_top"),
+    )
+    # a state that is only entered has a row of the matrix as well, with nothing observed
+    rows = ends.distinct().join(rows, [*keys, "state"], "full").join(matrix, list(keys), "left")
+    inside = F.col("states").isNotNull()
+    base = smoothing * F.log(F.lit(smoothing)) if smoothing > 0 else F.lit(0.0)
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    entropy = certainty(zero("_wlog").cast("double") + base * (F.col("states") - zero("_seen")), zero("_n").cast("double") + smoothing * F.col("states"), F.col("states"))
+    lone = zero("_n") + smoothing * F.col("states") <= 0
+    return rows.select(*keys, "state", zero("observations").alias("observations"), "mean_return", F.when(inside & ~lone, entropy).alias("confidence"), F.when(inside, F.coalesce("_top.next", "_first")).alias("predicted"))

@@ -33,13 +33,18 @@ def bounded(x: Column) -> Column:
 
 
 def frozen_signals(frame: DataFrame, samples: DataFrame, c: SignalConfig = DEFAULT) -> DataFrame:
-    """Every bar scored against the statistics of its state: expected values of both sides after costs,
-    confidence, direction, base score and the reason of a block. States without statistics are flat."""
-    m = markov.matrix(samples)
-    stats = markov.state_returns(samples).select("symbol", "state", "mean_return", "observations")
-    known = stats.join(markov.entropy(m).select("symbol", "state", "confidence"), ["symbol", "state"], "left").join(markov.predicted(m), ["symbol", "state"], "left")
-    out = frame.select("symbol", "asset_class", "ts", "state", "state_family", F.coalesce("realized_vol_20", F.lit(0.0)).alias("volatility"), F.coalesce("dollar_volume_20", F.lit(0.0)).alias("dollar_volume"))
-    out = out.join(known, ["symbol", "state"], "left")
+    """Every bar scored against the statistics of its state in all of ``samples``. States without statistics are
+    flat. ``walkforward.historical_signals`` scores each bar by what came before it."""
+    known = markov.statistics(samples, ["symbol"])
+    known = known.withColumn("observations", F.when(F.col("observations") > 0, F.col("observations")))
+    return decided(frame.join(known, ["symbol", "state"], "left"), c)
+
+
+def decided(frame: DataFrame, c: SignalConfig = DEFAULT, *keys: str) -> DataFrame:
+    """Bars with the statistics of their state (observations, mean_return, confidence, predicted) as signals: expected
+    values of both sides after costs, confidence, direction, base score and the reason of a block. ``keys`` are kept."""
+    stats = ["observations", "mean_return", "confidence", "predicted"]
+    out = frame.select(*keys, "symbol", "asset_class", "ts", "state", "state_family", F.coalesce("realized_vol_20", F.lit(0.0)).alias("volatility"), F.coalesce("dollar_volume_20", F.lit(0.0)).alias("dollar_volume"), *stats)
     n = F.coalesce(F.col("observations"), F.lit(0)).cast("double")
     scale = F.log1p(n) / F.log1p(F.lit(float(max(c.min_observations * 5, 2))))
     confidence = F.least(F.greatest(F.coalesce(F.col("confidence"), F.lit(0.0)) * scale, F.lit(0.0)), F.lit(1.0))

@@ -219,7 +219,7 @@ add("bt_event", "account symbol side entry_ts exit_ts entry_price:4 exit_price:4
 add("boot_stationary", "block_length lower:8 centre:8", lambda s, d: simulate.bootstrap(portfolio.marked(_equity(s, d)).where("symbol = '1-URGENT' and ret is not null"), "ret"))
 
 
-from . import gate_queries, more_queries  # noqa: E402, F401  (they add their queries)
+from . import gate_queries, more_queries, research_queries  # noqa: E402, F401  (they add their queries)
 
 
 def queries() -> dict[str, Build]:
