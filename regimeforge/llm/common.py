@@ -32,6 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has written and not released.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends there, and a
     lost executor costs no recomputation of what came before. ``release`` deletes it."""
@@ -39,15 +43,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._rf_path = path
+    _WRITTEN.append(path)
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if name in _WRITTEN:
+        _WRITTEN.remove(name)
+
+
 def release(*written: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in written:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._rf_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._rf_path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table that this process has written and not released. A result of an operator reads its
+    tables when it is run, so call this once the results are stored."""
+    for name in list(_WRITTEN):
+        _delete(spark, name)
 
 
 def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
