@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,30 +132,3 @@ def simulate(signals: DataFrame, account: str, c: BacktestConfig = BacktestConfi
 
     needed = ["account", "symbol", "ts", "open", "high", "low", "close", "atr", "state", "signal", "score"]
     return signals.withColumn("account", F.col(account).cast("string")).select(*needed).groupBy("account").applyInPandas(run, TRADES)
-
-
-def bootstrap(series: DataFrame, value: str, resamples: int = 2000, block: int = 5, alpha: float = 0.05, seed: int = 20260923, batch: int = 250) -> DataFrame:
-    """(block_length, lower): a lower bound of the mean by the stationary bootstrap with geometric blocks.
-
-    The resamples are rows of a range and run in parallel; the observed series (one value for each session)
-    goes to them with a broadcast. The seed of a resample is its number, so results do not depend on how
-    the rows are dealt.
-    """
-    spark = series.sparkSession
-    held = spark.sparkContext.broadcast(np.array([r[0] for r in series.orderBy("ts").select(value).collect()], float))
-
-    def run(batches):
-        x = held.value
-        n = len(x)
-        for pdf in batches:
-            means = []
-            for k in pdf["id"]:
-                rng = np.random.default_rng([seed, block, int(k)])
-                fresh, restart = rng.integers(0, n, n), rng.random(n) < 1 / block
-                restart[0] = True
-                start = np.maximum.accumulate(np.where(restart, np.arange(n), 0))
-                means.append(x[(fresh[start] + np.arange(n) - start) % n].mean())
-            yield pd.DataFrame({"mean": means})
-
-    draws = spark.range(0, resamples, 1, max(1, resamples // batch)).mapInPandas(run, "mean double")
-    return draws.agg(F.percentile("mean", F.lit(float(alpha))).alias("lower"), F.avg("mean").alias("centre")).withColumn("block_length", F.lit(block))

@@ -216,7 +216,6 @@ def _accounts(s, d):
 
 
 add("bt_event", "account symbol side entry_ts exit_ts entry_price:4 exit_price:4 quantity:6 pnl:4 return_pct:8 hold_bars exit_reason cash_after:4", lambda s, d: simulate.simulate(_accounts(s, d), "asset_class", simulate.BacktestConfig(daily_loss=0.5)))
-add("boot_stationary", "block_length lower:8 centre:8", lambda s, d: simulate.bootstrap(portfolio.marked(_equity(s, d)).where("symbol = '1-URGENT' and ret is not null"), "ret"))
 
 
 from . import gate_queries, more_queries, research_queries  # noqa: E402, F401  (they add their queries)

@@ -82,12 +82,6 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
 
 
-def test_bootstrap_does_not_depend_on_partitions(spark):
-    s = spark.createDataFrame([(k, 0.01 * ((k * 37) % 11 - 4)) for k in range(60)], "ts int, r double")
-    a, b = (simulate.bootstrap(s, "r", resamples=200, batch=n).first() for n in (50, 100))
-    assert a.lower == b.lower and a.lower < a.centre
-
-
 def test_models_label_rows_by_what_they_were_fitted_on(spark):
     f = features.features(sources.daily_bars(spark, SF))
     cut = F.lit(dt.datetime(1999, 1, 1))
