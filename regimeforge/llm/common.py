@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -47,6 +48,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def only_last(spark: SparkSession):
+    """Of the tables that are written within only the last one stays: it was made of the others. Where the block
+    fails all stay, for a look."""
+    before = set(_WRITTEN)
+    yield
+    for name in [x for x in _WRITTEN if x not in before][:-1]:
+        _delete(spark, name)
+
+
 def _delete(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -93,13 +104,14 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, y) of at most ``per_class`` learnable rows of either label.
 
     The sample is the rows with the least hash of their id, so it is the same on every run. The
     bound ``per_class`` is what lets the ids be broadcast: the texts of ``documents`` are not shuffled.
     Null ids or labels never enter; of repeated label rows for a document the larger label counts, and of
-    several documents with one id the least text, so the choice does not depend on the order of rows.
+    several documents with one id the least text, so the choice does not depend on the order of rows. ``doc_id`` and
+    ``text`` are the columns of ``docs``.
     """
     pool = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
@@ -110,4 +122,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     for y in (0, 1):
         part = pool.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

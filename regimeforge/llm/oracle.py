@@ -6,16 +6,25 @@ from . import line_dedup
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
+_AHEAD = ", ".join(f"lead(line, {j}) OVER o AS l{j}, lead(k_words, {j}) OVER o AS w{j}" for j in range(line_dedup.RUN))
+
+
+def _windows(n: int) -> str:
+    """Every window of n lines, if n is the whole run or the window holds enough words."""
+    words = " + ".join(f"w{j}" for j in range(n))
+    enough = "" if n == line_dedup.RUN else f" AND {words} >= {line_dedup.WORDS}"
+    return f"SELECT doc_id, k, {n} AS n, [{', '.join(f'l{j}' for j in range(n))}] AS g FROM w WHERE l{n - 1} IS NOT NULL{enough}"
+
+
 OP5 = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents),
 l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM d WHERE text IS NOT NULL),
-f AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l
+f AS (SELECT doc_id, line, i, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS k_words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l
       WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
-w AS (SELECT doc_id, k, {", ".join(f"lead(line, {j}) OVER o AS l{j}" for j in range(line_dedup.RUN))} FROM f
-      WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY {", ".join(f"l{j}" for j in range(line_dedup.RUN))} ORDER BY doc_id, k) AS n
-      FROM w WHERE l{line_dedup.RUN - 1} IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, k + j AS k FROM r, range({line_dedup.RUN}) t(j) WHERE n > 1),
+w AS (SELECT doc_id, k, {_AHEAD} FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+g AS ({" UNION ALL ".join(_windows(n) for n in range(1, line_dedup.RUN + 1))}),
+r AS (SELECT doc_id, k, n, row_number() OVER (PARTITION BY g ORDER BY doc_id, k) AS place FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS k FROM r WHERE place > 1),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text FROM l
          LEFT JOIN f ON f.doc_id = l.doc_id AND f.i = l.i LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.k = f.k
          WHERE g.k IS NULL GROUP BY l.doc_id),

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECE = 4096
-DICTIONARY = 64 << 10
+#: Bytes of the pieces a dictionary is trained on, and of the dictionary.
+SAMPLE, LEAST, DICTIONARY = 1024, 256, 64 << 10
 LEVEL = 3
 PER_CLASS = 1500
 FOLDS, HELD_OUT = 4, 2
@@ -79,12 +80,14 @@ def expand(x: np.ndarray) -> np.ndarray:
 
 
 def train_dictionary(texts: list[str]) -> bytes:
-    """A dictionary of the whole texts, by pieces; where there are too few for the trainer, the texts themselves."""
-    samples = [p for t in texts for p in pieces(t.encode())]
-    total = sum(map(len, samples))
-    if len(samples) >= 64 and total >= 16 * DICTIONARY:
-        return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
-    return b"".join(samples)[-DICTIONARY:]
+    """A dictionary of the whole texts, trained on pieces; its size follows theirs, up to DICTIONARY. Where the trainer
+    finds too few pieces for any dictionary, a few kilobytes, these are the dictionary, all of them."""
+    samples = [raw[k : k + SAMPLE] for raw in (t.encode() for t in texts) for k in range(0, len(raw), SAMPLE)]
+    size = min(DICTIONARY, max(LEAST, sum(map(len, samples)) // 16))
+    try:
+        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 100) -> np.ndarray:
@@ -126,11 +129,11 @@ def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from at most ``per_class`` learnable rows of either label, the same ones on every run."""
     learnable = labels.where(F.col(label).isin(0, 1) & (common.fold(F.col("doc_id"), folds) != held_out))
     share = learnable.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    rows = common.labelled_sample(docs, labels, label, folds, held_out, per_class).select("doc_id", "text", "y").collect()
+    rows = common.labelled_sample(docs, labels, label, folds, held_out, per_class, doc_id, text).select("doc_id", "text", "y").collect()
     return train([(r[0], r[1], r[2]) for r in rows], 0.5 if share is None else share)
 
 

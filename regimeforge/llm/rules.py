@@ -3,12 +3,16 @@
 Each rule looks at a few counts of the whole text and votes good (1), bad (-1) or abstains (0). All
 documents' vote patterns are counted; there are at most 3 ** len(RULES) of them, whatever the corpus, so
 this table is the whole input of the EM on the driver. The model is a mixture of a good and a bad class
-with P(vote | class) for each rule; accuracies follow from it. A document is kept if it passes the base
-conditions and its posterior probability of the good class is at least KEEP.
+with P(vote | class) for each rule; accuracies follow from it. Prior votes say that rules are right more often than
+wrong (BELIEF of all documents' weight, in the shares of GOOD and BAD), which names the classes and keeps them from drifting to
+some other split of the corpus; the data decide how much each rule is worth. A document is kept if it passes the base
+conditions and its posterior probability of the good class is at least KEEP (a tie is kept).
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,12 +23,13 @@ from . import common
 WINDOW = 5
 KEEP = 0.5
 EM_STEPS = 200
-#: Pseudo-counts of a vote's frequency: keeps probabilities off 0 and 1.
-SMOOTH = 1.0
+#: Prior votes of each rule, as a share of all documents, and how those of good and of bad documents fall on bad,
+#: none and good: a good document rarely has a bad vote, a bad one has some.
+BELIEF, GOOD, BAD = 0.05, (0.02, 0.08, 0.9), (0.3, 0.1, 0.6)
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\r\x0b\x0c"
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bare")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bare", "n_marked", "n_ends")
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
@@ -34,7 +39,8 @@ def _vote(bad: Column, good: Column) -> Column:
 
 def rules() -> dict[str, Column]:
     """Name -> vote. n_bare counts words without a letter or digit, n_upper the words that have letters
-    and no small one among them, if of two letters or more."""
+    and no small one among them, if of two letters or more, n_marked words that hold a symbol, n_ends words that end
+    a sentence."""
     n, chars = F.col("n_words"), F.col("word_chars")
     return {
         "word_length": _vote((chars < 2 * n) | (chars > 15 * n), (chars >= 3 * n) & (chars <= 10 * n)),
@@ -44,6 +50,8 @@ def rules() -> dict[str, Column]:
         "case": _vote(4 * F.col("n_upper") > n, 10 * F.col("n_upper") <= n),
         "bare_words": _vote(5 * F.col("n_bare") > n, 20 * F.col("n_bare") <= n),
         "length": _vote(n < 10, n >= 50),
+        "marked_words": _vote(10 * F.col("n_marked") > n, 50 * F.col("n_marked") <= n),
+        "sentences": _vote(200 * F.col("n_ends") < n, 50 * F.col("n_ends") >= n),
     }
 
 
@@ -79,10 +87,15 @@ def repeat_words(words: list, window: int = WINDOW) -> int:
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
+_MARKED = re.compile(rb"[^\s#*$%&|<>]*[#*$%&|<>]\S*")
+_END = re.compile(rb"[.!?](?=\s|$)")
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """COUNTS of one text; a null text has no words."""
     text = text or ""
-    words = text.encode().split()
+    raw = text.encode()
+    words = raw.split()
     full = [line for line in text.split("\n") if line.strip(_SPACE)]
     upper = sum(1 for w in words if w.isupper() and sum(c > 64 for c in w) > 1)
     bare = sum(1 for w in words if not w.isalnum() and not any(48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127 for c in w))
@@ -95,6 +108,8 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(full),
         upper,
         bare,
+        len(_MARKED.findall(raw)),
+        len(_END.findall(raw)),
     )
 
 
@@ -109,20 +124,19 @@ def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def expectation_maximisation(votes: np.ndarray, weight: np.ndarray, steps: int = EM_STEPS) -> tuple[float, np.ndarray]:
-    """(prior of good, P[rule, class, vote + 1]) from distinct vote patterns and their counts. It starts
-    from "bad if any rule votes bad", which also names the classes; class 1 is the good one."""
+    """(prior of good, P[rule, class, vote + 1]) from distinct vote patterns and their counts; class 1 is the good one.
+    It starts from the prior votes alone, with either class as likely."""
     onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
-    good = np.where((votes == -1).any(axis=1), 0.05, 0.95)
+    belief = BELIEF * weight.sum() * np.array([BAD, GOOD]) + np.finfo(float).tiny
+    prior, p, good = 0.5, np.broadcast_to(belief / belief.sum(axis=1, keepdims=True), (votes.shape[1], 2, 3)), None
     for _ in range(steps):
-        prior = (weight @ good + 1) / (weight.sum() + 2)
-        p = np.empty((votes.shape[1], 2, 3))
-        for y, share in ((0, 1 - good), (1, good)):
-            mass = np.einsum("p,prv->rv", weight * share, onehot) + SMOOTH
-            p[:, y, :] = mass / mass.sum(axis=1, keepdims=True)
         new = posterior(votes, prior, p)
-        if np.abs(new - good).max(initial=0) < 1e-9:
+        if good is not None and np.abs(new - good).max(initial=0) < 1e-9:
             break
         good = new
+        prior = (weight @ good + 1) / (weight.sum() + 2)
+        p = np.stack([np.einsum("p,prv->rv", weight * share, onehot) + belief[y] for y, share in ((0, 1 - good), (1, good))], axis=1)
+        p = p / p.sum(axis=2, keepdims=True)
     return float(prior), p
 
 
@@ -138,7 +152,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     a row for each row of ``docs``; ``quality`` is the posterior.
 
     Null and empty texts have no words and fail the base conditions. Repeated rows and null ids are kept
-    as rows. An empty table gives an empty result; other columns are ignored.
+    as rows. An empty table gives an empty result; other columns are ignored. Long texts are read whole: a text's
+    counts need memory in proportion to it, and all that is kept of it are the counts.
     """
     named = rules()
     measured = common.materialize(counts(docs, doc_id, text), "rules")

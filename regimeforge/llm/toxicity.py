@@ -10,11 +10,16 @@ As the kernel has an explicit feature for each letter subsequence, the trained m
 weight for each of the ALPHABET ** K subsequences, and a text is scored by table look-ups over its gap
 patterns, exactly and in time proportional to its length.
 
-A document is as toxic as its worst sentence. Labels are of documents, so sentence labels are learned:
-all sentences of clean documents are negative; in a toxic one the sentence that the current machine
-finds the worst is the positive example (a few rounds). A logistic curve on documents that the machine
-did not see makes the score a probability. Learning is on a sample of at most ``per_class`` rows of
-either label; this is a parameter of the method.
+A sentence or text is judged by all of its stretches, a stretch being a word with the white space before it: its value
+is the logarithm of 1 plus the sum of exp(SOFT * margin) - 1 over the stretches whose margin is positive. So it rises with
+every insult, however faint, and clean words add nothing, however many they are.
+
+Labels are of documents, so labels of stretches are learned: all stretches of clean documents are negative; in a
+toxic one the stretch that the current machine finds the worst is the positive example (a few rounds). The machine is
+a least-squares support vector machine: what it needs of the negative stretches, all of them, is one matrix of
+sums, taken on the executors; no document's stretches reach the driver. A logistic curve on documents that the
+machine did not see makes the value a score. Learning is on at most ``per_class`` rows of either label, whole texts; this
+is a parameter of the method.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +45,14 @@ BORDER = 31
 LANDMARKS = 256
 ROUNDS = 4
 LEAST = 6
-SEEDS, BALANCE, TRUSTED = 24, 0.5, 0.8
+SEEDS, BALANCE, RIDGE = 24, 0.1, 1.0
 #: Nystrom directions of less than this share of the largest are left out.
 EIGEN = 1e-3
-#: How many of a text's worst parts its score looks at.
-TOP = 3
+SOFT = 2.0
 PER_CLASS = 800
-#: Of a text the machine learns from this many stretches: of the whole text those nearest to the landmarks.
-LEARN_PARTS = 32
 FOLDS, HELD_OUT = 3, 1
-#: Rows of a Newton step that are summed at a time.
-ROWS = 1 << 15
+#: Stretches whose coordinates are in memory at a time.
+BLOCK = 1 << 13
 #: Characters that are scored at a time, to stay within the processor's cache.
 STEP = 1 << 16
 
@@ -81,8 +84,16 @@ def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
     letters = np.where(codes < len(_FOLD), _FOLD[np.minimum(codes, len(_FOLD) - 1)], (27 + codes % 4).astype(np.uint8))
     lone = letters > 0
     lone[1:-1] &= (letters[:-2] == 0) & (letters[2:] == 0)
-    keep = np.ones(len(codes), bool)
-    keep[1:-1] = ~(lone[:-2] & lone[2:] & (codes[1:-1] != 10))
+    # letters drawn apart are put together where what is between them is the same as before or after the next letter:
+    # "i.d.i.o.t s.c.u.m" is two words, as is "i d i o t.s.c.u.m"
+    between = np.zeros(len(codes), bool)
+    between[1:-1] = lone[:-2] & lone[2:] & (codes[1:-1] != 10)
+    before, after = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+    before[2:] = between[:-2] & (codes[2:] == codes[:-2])
+    after[:-2] = between[2:] & (codes[2:] == codes[:-2])
+    first = np.ones(len(codes), bool)
+    first[2:] = ~between[:-2]
+    keep = ~(between & (before | (after & first)))
     codes, letters = codes[keep], letters[keep]
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     letters[space] = BORDER
@@ -139,44 +150,44 @@ class Model:
             values[at : at + n] = acc + same * np.float32(held)
         return values
 
-    def tops(self, texts: list[str | None]) -> np.ndarray:
-        """The values of the TOP worst stretches of each text, the worst first; ``bias`` where there are fewer.
-        Short texts are scored together; what a text scores does not depend on the others."""
-        out = np.full((len(texts), TOP), self.bias)
+    def margins(self, texts: list[str | None]):
+        """The machine's value of each stretch of each text. Short texts are looked up together; what a text gets
+        does not depend on the others."""
         k = 0
         while k < len(texts):
-            group, size, first = [], 0, k
+            group, size = [], 0
             while k < len(texts) and (not group or size < STEP):
                 group.append(symbols(texts[k] or ""))
                 size += len(group[-1][0])
                 k += 1
             values, at = self.values(np.concatenate([g[0] for g in group])), 0
-            for i, (letters, starts) in enumerate(group):
-                own = np.add.reduceat(values[at : at + len(letters)], starts, dtype=np.float64) / size_of(letters, starts) + self.bias
-                best = np.sort(own if len(own) <= TOP else np.partition(own, len(own) - TOP)[-TOP:])[::-1]
-                out[first + i, : len(best)] = np.maximum(best, self.bias)
+            for letters, starts in group:
+                yield np.add.reduceat(values[at : at + len(letters)], starts, dtype=np.float64) / size_of(letters, starts) + self.bias
                 at += len(letters)
-        return out
+
+    def toxic_values(self, texts: list[str | None]) -> np.ndarray:
+        """One value for each text: see the module. A text without letters has 0."""
+        return np.array([math.log1p(np.expm1(SOFT * np.maximum(0, own)).sum()) for own in self.margins(texts)])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = self.curve[0] + self.tops(texts) @ np.array(self.curve[1:])
+        z = self.curve[0] + self.curve[1] * self.toxic_values(texts)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def score(self, text: str | None) -> float:
         return float(self.scores([text])[0])
 
 
-def landmarks(texts: list[str], y: list[int], count: int) -> list[str]:
-    """Words as landmarks: half are those whose share of toxic documents is the most significantly above
-    the average, half the words in most clean documents."""
-    df = [Counter(), Counter()]
-    for text, label in zip(texts, y, strict=True):
-        df[label].update(set(text.lower().split()))
-    share = sum(y) / len(y)
-    odds = {w: (n - (n + df[0][w]) * share) / math.sqrt(n + df[0][w]) for w, n in df[1].items() if len(w) >= K}
-    toxic = sorted(odds, key=lambda w: (-odds[w], w))[: count // 2]
-    clean = sorted((w for w in df[0] if len(w) >= K and w not in set(toxic)), key=lambda w: (-df[0][w], w))[: count - len(toxic)]
-    return toxic + clean
+def landmarks(rows: DataFrame, count: int) -> tuple[list[str], int]:
+    """Words as landmarks, and how many of them are toxic: half are those whose share of toxic documents is the most
+    significantly above the average, half the words in most clean documents. Documents of each word are counted by
+    Spark; ``count`` words come back. Ties go by the word."""
+    words = rows.select("y", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+', 0)"))).alias("w")).where(F.length("w") >= K)
+    df = words.groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("toxic"))
+    share = rows.agg(F.avg("y")).first()[0]
+    odd = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n").cast("double"))
+    toxic = [r[0] for r in df.where("toxic > 0").orderBy(odd.desc(), "w").limit(count // 2).collect()]
+    clean = [r[0] for r in df.where("n > toxic").where(~F.col("w").isin(toxic)).orderBy((F.col("n") - F.col("toxic")).desc(), "w").limit(count - len(toxic)).collect()]
+    return toxic + clean, len(toxic)
 
 
 class Nystrom:
@@ -203,20 +214,26 @@ class Nystrom:
         root = vectors[:, keep] / np.sqrt(values[keep])
         self.map = (phi.T @ root).astype(np.float32)  # subsequence -> Nystrom coordinates
 
-    def sentences(self, text: str) -> np.ndarray:
-        """Coordinates of every stretch of a text that has a letter."""
+    def stretches(self, text: str, only: int | None = None):
+        """Blocks of the coordinates of a text's stretches that have a letter, or of stretch ``only`` alone."""
         letters, starts = symbols(text)
-        unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(letters))))
-        out = np.zeros((len(starts), self.map.shape[1]), np.float32)
-        for index, weight in subsequences(letters):
-            known = self.compact[index]
-            at = np.flatnonzero(known >= 0)
-            if len(at):
-                of = unit[at]  # rises along the text
-                first = np.flatnonzero(np.diff(of, prepend=-1))
-                out[of[first]] += np.float32(weight) * np.add.reduceat(self.map[known[at]], first, axis=0)
-        size = size_of(letters, starts)
-        return (out / size[:, None])[np.isfinite(size)]
+        ends = np.append(starts, len(letters))
+        at = [(k, min(k + BLOCK, len(starts))) for k in range(0, len(starts), BLOCK)] if only is None else [(only, only + 1)]
+        for lo, hi in at:
+            # a subsequence belongs to the stretch that it starts in, and may end in the next one
+            n = ends[hi] - ends[lo]
+            part = letters[ends[lo] : ends[hi] + SPAN]
+            unit = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+            out = np.zeros((hi - lo, self.map.shape[1]), np.float32)
+            for index, weight in subsequences(part):
+                known = self.compact[index[:n]]
+                used = np.flatnonzero(known >= 0)
+                if len(used):
+                    of = unit[used]  # rises along the text
+                    first = np.flatnonzero(np.diff(of, prepend=-1))
+                    out[of[first]] += np.float32(weight) * np.add.reduceat(self.map[known[used]], first, axis=0)
+            size = size_of(part[:n], starts[lo:hi] - ends[lo])
+            yield (out / size[:, None])[np.isfinite(size)]
 
     def weights(self, w: np.ndarray) -> np.ndarray:
         full = np.zeros(ALPHABET**K, np.float32)
@@ -224,108 +241,109 @@ class Nystrom:
         return full
 
 
-def nearest(parts: np.ndarray) -> np.ndarray:
-    """The LEARN_PARTS stretches with the largest coordinates; the others are far from every landmark, say the
-    same as each other, and would outweigh these by their number."""
-    if len(parts) <= LEARN_PARTS:
-        return parts
-    size = np.einsum("ij,ij->i", parts, parts)
-    return parts[np.sort(np.argpartition(size, len(parts) - LEARN_PARTS)[-LEARN_PARTS:])]
-
-
-def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss in the primal, by Newton steps. Sums are taken
-    over ROWS rows at a time, so beside ``x`` only these are in memory."""
-    n = x.shape[1] + 1
-    w = np.zeros(n)
-    shrink = np.full(n, ridge)
+def _gram(rows: DataFrame, space: Nystrom) -> np.ndarray:
+    """Sums of products of the coordinates (and a constant) of all stretches of all texts. Each task adds up its own;
+    as many small matrices as tasks come back, and the rows are a bounded sample."""
+    width = space.map.shape[1] + 1
+    spread = rows.sparkSession.sparkContext.broadcast(space)
+
+    def run(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            for text in batch.column(0):
+                for block in spread.value.stretches(text.as_py() or ""):
+                    z = np.hstack([block, np.ones((len(block), 1), np.float32)])
+                    total += z.T.astype(np.float64) @ z.astype(np.float64)
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+    parts = rows.select("text").mapInArrow(run, "m binary").collect()
+    return sum((np.frombuffer(r[0]).reshape(width, width) for r in parts), np.zeros((width, width)))
+
+
+def _worst(rows: DataFrame, space: Nystrom, model: Model) -> np.ndarray:
+    """Coordinates of the stretch of each text that the machine finds the worst, if it finds one on the wrong side; of
+    all texts if there is none. One vector for each row of the bounded sample comes back."""
+    spread = rows.sparkSession.sparkContext.broadcast((space, model))
+
+    def run(batches):
+        space, model = spread.value
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                own = next(model.margins([text]))
+                k = int(np.argmax(own))
+                block = np.concatenate(list(space.stretches(text or "", k)))
+                if len(block):
+                    out.append((float(own[k]), block[0].tobytes()))
+            yield pa.record_batch([pa.array([m for m, _ in out], pa.float64()), pa.array([v for _, v in out], pa.binary())], ["margin", "v"])
+
+    found = rows.select("text").mapInArrow(run, "margin double, v binary").collect()
+    found = [r for r in found if r[0] > 0] or found
+    # the order of rows must not matter to the last digit
+    return np.array(sorted(np.frombuffer(r[1], np.float32).tolist() for r in found), np.float64).reshape(-1, space.map.shape[1])
+
+
+def solve(gram: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, float]:
+    """A least-squares support vector machine: targets 1 for the positive rows, -1 for the rows that ``gram`` sums up;
+    together the positive rows weigh ``BALANCE`` of the others."""
+    z = np.hstack([positive, np.ones((len(positive), 1))])
+    cost = BALANCE * gram[-1, -1] / max(len(z), 1)
+    shrink = np.full(len(gram), RIDGE)
     shrink[-1] = 1e-6
-    parts = [slice(k, k + ROWS) for k in range(0, len(x), ROWS)]
-
-    def left(w: np.ndarray, part: slice) -> np.ndarray:
-        return 1 - y[part] * (x[part] @ w[:-1] + w[-1])
-
-    def value(w: np.ndarray) -> float:
-        return 0.5 * (shrink * w * w).sum() + 0.5 * sum(float((cost[p] * np.maximum(0, left(w, p)) ** 2).sum()) for p in parts)
-
-    now = value(w)
-    for _ in range(steps):
-        gradient, hessian = shrink * w, np.diag(shrink)
-        for part in parts:
-            rest = left(w, part)
-            inside = np.flatnonzero(rest > 0)
-            z = np.hstack([x[part][inside], np.ones((len(inside), 1), x.dtype)]).astype(np.float64)
-            weighted = z * cost[part][inside, None]
-            gradient -= weighted.T @ (y[part][inside] * rest[inside])
-            hessian += weighted.T @ z
-        step = np.linalg.solve(hessian, gradient)
-        rate = 1.0
-        while rate > 1e-4 and (new := value(w - rate * step)) > now:
-            rate /= 2
-        if rate <= 1e-4 or now - new < 1e-7 * now:
-            break
-        w, now = w - rate * step, new
+    w = np.linalg.solve(gram + cost * z.T @ z + np.diag(shrink), cost * z.sum(axis=0) - gram[-1])
     return w[:-1], float(w[-1])
 
 
-def rising_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A logistic curve whose weights are not negative: a worse stretch never lowers a score."""
-    used = np.ones(x.shape[1], bool)
-    out = np.zeros(x.shape[1] + 1)
-    while True:
-        fitted = quality.logistic(np.hstack([np.ones((len(x), 1)), x[:, used]]), y, ridge=1e-4)
-        if (fitted[1:] >= 0).all():
-            out[0], out[1:][used] = fitted[0], fitted[1:]
-            return out
-        used[np.flatnonzero(used)[np.argmin(fitted[1:])]] = False
-
-
-def train(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
-    """rows: (doc_id, text, label). Two of three rows train the machine, the third calibrates. Without
-    rows of both labels every score is the prior."""
-    rows = sorted((i, t or "", y) for i, t, y in rows)
-    seen, machine, curve = [0, 0], [], []
-    for _, text, y in rows:
-        (curve if seen[y] % 3 == 2 else machine).append((text, y))
-        seen[y] += 1
+def rising(values: np.ndarray, y: np.ndarray) -> list[float]:
+    """A logistic curve that does not fall: where the labels fall with the value it is level."""
+    fitted = quality.logistic(np.stack([np.ones(len(values)), values], axis=1), y, ridge=1e-4)
+    return fitted.tolist() if fitted[1] >= 0 else [math.log(y.mean() / (1 - y.mean())), 0.0]
+
+
+def train(rows: DataFrame, prior: float) -> Model:
+    """``rows``: (doc_id, text, y), a bounded sample of labelled documents. Two of three rows (by a hash of the id) train the
+    machine, the third calibrates. Without rows of both labels in both parts every score is the prior."""
     prior = min(max(prior, 1e-3), 1 - 1e-3)
-    if len({y for _, y in machine}) < 2 or len({y for _, y in curve}) < 2:
-        return Model(np.zeros(ALPHABET**K), 0.0, [math.log(prior / (1 - prior))] + [0.0] * TOP)
-    texts, labels = [t for t, _ in machine], [y for _, y in machine]
-    marks = landmarks(texts, labels, LANDMARKS)
-    toxic_words = set(marks[: LANDMARKS // 2])
+    rows = rows.select("text", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 2).alias("curve"))
+    rows = common.materialize(rows.repartition(common.shuffle_partitions(rows.sparkSession), F.xxhash64("text")), "labelled")
+    machine, curve = rows.where("not curve"), rows.where("curve")
+    seen = {(r[0], r[1]) for r in rows.select("curve", "y").distinct().collect()}
+    if len(seen) < 4:
+        common.release(rows)
+        return Model(np.zeros(ALPHABET**K), 0.0, [math.log(prior / (1 - prior)), 0.0])
+    marks, toxic = landmarks(machine, LANDMARKS)
     space = Nystrom(marks)
-    bags = [nearest(space.sentences(t)) for t in texts]
-    negative = np.concatenate([b for b, y in zip(bags, labels, strict=True) if not y])
-    positive = [b for b, y in zip(bags, labels, strict=True) if y and len(b)]
+    gram = _gram(machine.where("y = 0"), space)
     # the landmarks that stand out in toxic documents are positive examples from the start and stay so
-    alone = [space.sentences(m) for m in marks[:SEEDS] if m in toxic_words]
+    alone = [np.concatenate(list(space.stretches(m))) for m in marks[: min(SEEDS, toxic)]]
     seeds = [max(x, key=lambda v: float(v @ v)) for x in alone if len(x)]
-    chosen = np.stack(seeds) if seeds else np.concatenate(positive)
+    positive = np.array(seeds, np.float64).reshape(-1, space.map.shape[1])
     for _ in range(ROUNDS):
-        x = np.concatenate([negative, chosen])
-        y = np.concatenate([-np.ones(len(negative)), np.ones(len(chosen))])
-        cost = np.where(y > 0, BALANCE * len(negative) / max(len(chosen), 1), 1.0)
-        w, bias = squared_hinge(x, y, cost)
-        best = [b[np.argmax(b @ w)] for b in positive]
-        order = np.argsort([-float(x @ w) for x in best], kind="stable")
-        # some documents are labelled toxic without a sentence to show for it
-        chosen = np.stack(seeds + [best[k] for k in order[: math.ceil(TRUSTED * len(best))]])
-    model = Model(space.weights(w), bias, [0.0] * (TOP + 1))
-    tops = model.tops([t for t, _ in curve])
-    y = np.array([y for _, y in curve], float)
-    fitted = rising_curve(tops, y)
+        w, bias = solve(gram, positive)
+        model = Model(space.weights(w), bias, [0.0, 0.0])
+        positive = np.vstack([positive[: len(seeds)], _worst(machine.where("y = 1"), space, model)])
+    w, bias = solve(gram, positive)
+    model = Model(space.weights(w), bias, [0.0, 0.0])
+    spread = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array(spread.value.toxic_values(batch.column(0).to_pylist())), batch.column(1)], ["v", "y"])
+
+    pairs = sorted(map(tuple, curve.select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "v double, y int").collect()))
+    values, y = (np.array(x, float) for x in zip(*pairs, strict=True))
+    fitted = rising(values, y)
     fitted[0] += math.log(prior / (1 - prior)) - math.log(y.mean() / (1 - y.mean()))
-    model.curve = fitted.tolist()
+    model.curve = fitted
+    common.release(rows)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from at most ``per_class`` learnable rows of either label, the same ones on every run."""
     learnable = labels.where(F.col(label).isin(0, 1) & (common.fold(F.col("doc_id"), folds) != held_out))
     share = learnable.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    rows = common.labelled_sample(docs, labels, label, folds, held_out, per_class).select("doc_id", "text", "y").collect()
-    return train([(r[0], r[1], r[2]) for r in rows], 0.5 if share is None else share)
+    return train(common.labelled_sample(docs, labels, label, folds, held_out, per_class, doc_id, text), 0.5 if share is None else share)
 
 
 def score(docs: DataFrame, model: Model, **names) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -81,6 +82,38 @@ def test_rules_equal_brute_force(spark, docs):
         assert r.base_failed == (len(words) < 10 or 100 * len(hit) > 20 * len(words)) and not (r.kept and r.base_failed)
 
 
+def test_rules_weigh_votes_as_an_em_over_documents(spark, docs):
+    """The posterior of each document, from an expectation-maximisation that walks documents one by one."""
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    votes = {r.doc_id: r.v for r in rules.counts(docs).select("doc_id", F.array(*(v.cast("int") for v in rules.rules().values())).alias("v")).collect()}
+    size, n = len(next(iter(votes.values()))), len(votes)
+    shares = [[[rules.BELIEF * n * s for s in side] for side in (rules.BAD, rules.GOOD)] for _ in range(size)]
+    p, prior, good = [[[x / sum(c) for x in c] for c in rule] for rule in shares], 0.5, {}
+    for _ in range(rules.EM_STEPS):
+        new = {}
+        for d, v in votes.items():
+            like = [math.log(w) + sum(math.log(p[k][y][x + 1]) for k, x in enumerate(v)) for y, w in ((0, 1 - prior), (1, prior))]
+            new[d] = 1 / (1 + math.exp(min(500, like[0] - like[1])))
+        if good and max(abs(new[d] - good[d]) for d in new) < 1e-9:
+            break
+        good, prior = new, (sum(new.values()) + 1) / (n + 2)
+        mass = [[list(c) for c in rule] for rule in shares]
+        for d, v in votes.items():
+            for k, x in enumerate(v):
+                mass[k][0][x + 1] += 1 - good[d]
+                mass[k][1][x + 1] += good[d]
+        p = [[[x / sum(c) for x in c] for c in rule] for rule in mass]
+    for d, r in got.items():
+        assert abs(r.quality - good[d]) < 1e-6 and (abs(r.quality - rules.KEEP) < 1e-6 or r.kept == (not r.base_failed and good[d] >= rules.KEEP))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_rules_reject_what_is_labelled_bad(spark, sf):
+    judged = rules.judge(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", F.col("quality").alias("label")), "doc_id").toPandas()
+    passed = judged[~judged.base_failed]
+    assert (passed[passed.label == 0].kept.mean() if (passed.label == 0).any() else 0) < 0.1 and passed[passed.label == 1].kept.mean() > 0.98
+
+
 def greedy(doc, item, least):
     """Greedy string tiling by looking at all pairs of positions; tokens covered."""
     free_d, free_i, covered = [True] * len(doc), [True] * len(item), 0
@@ -314,23 +347,69 @@ def test_toxicity_kernel_equals_enumeration():
     got, expected = [], []
     for word in ("idiot", "idxiot", "stuppid", "thing", "wonder"):
         letters, starts = toxicity.symbols(word)
-        got.append(space.sentences(word).sum(axis=0) * toxicity.size_of(letters, starts)[1])
+        got.append(np.concatenate(list(space.stretches(word))).sum(axis=0) * toxicity.size_of(letters, starts)[1])
         expected.append((np.array([kernel(letters.tolist(), s) for s in strings]) / size) @ (vectors[:, keep] / np.sqrt(values[keep])))
     # the directions of equal eigenvalues are free, products of coordinates are not
     got, expected = np.array(got), np.array(expected)
     np.testing.assert_allclose(got @ got.T, expected @ expected.T, atol=1e-3)
 
 
-def test_toxicity_reads_letters_drawn_apart_and_scores_each_text_alone():
+INSULTS = ["idiot", "moron", "worthless", "stupid", "loser", "trash"]
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    """Learned from prose, of which the toxic half has one to four insults."""
+    draw = random.Random(9)
+    prose = ["the", "river", "runs", "under", "old", "bridges", "while", "people", "walk", "and", "talk", "about", "weather", "lost", "mornings", "statistics", "ideas", "studio", "morning", "closer"]
+    rows = []
+    for k in range(400):
+        words = draw.choices(prose, k=draw.randrange(20, 120))
+        for _ in range(draw.randrange(1, 5) if k % 2 else 0):
+            words.insert(draw.randrange(len(words)), draw.choice(INSULTS))
+        rows.append((k, " ".join(words), k % 2))
+    return toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, y int"), 0.2)
+
+
+def drawn_apart(word, how):
+    return {"plain": word, "dotted": ".".join(word), "spaced": " ".join(word), "inserted": word[:3] + "x" + word[3:], "starred": word[:2] + "*" + word[2:]}[how]
+
+
+@pytest.mark.parametrize("how", ["plain", "dotted", "spaced", "inserted", "starred"])
+def test_every_insult_raises_a_score(toxic_model, how):
+    prose = "people walk under old bridges and talk about the weather while the river runs"
+    made = [prose + "".join(f" {drawn_apart(w, how)} and" for w in INSULTS[:n]) for n in (0, 1, 2, 4)]
+    scores = toxic_model.scores(made)
+    assert scores[0] < scores[1] < scores[2] < scores[3] and scores[0] < 0.3 and scores[3] > 0.7
+    # clean words, however many, take nothing away
+    assert toxic_model.score(" ".join([made[3]] + [prose] * 50)) >= scores[3] - 1e-6
+
+
+def test_toxicity_reads_letters_drawn_apart_and_scores_each_text_alone(toxic_model):
     assert all(toxicity.symbols(t)[0].tolist() == toxicity.symbols("an idiot here")[0].tolist() for t in ("an i d i o t here", "an i.d.i.o.t here"))
-    rows = [(k, " ".join(["some", "plain", "words", f"of{k}"] + (["idiot", "moron"] if k % 2 else [])), k % 2) for k in range(60)]
-    model = toxicity.train(rows, 0.5)
-    texts = ["an idiot and a moron", None, "plain words", "", "i d i o t and m.o.r.o.n", "of some plain words " * 400]
-    together = model.scores(texts)
-    np.testing.assert_allclose(together, [model.score(t) for t in texts], rtol=1e-5)
+    assert len(toxicity.symbols("w.o.r.t.h.l.e.s.s i d i o t")[1]) == len(toxicity.symbols("worthless idiot")[1])
+    texts = ["an idiot and a moron", None, "plain words", "", "i d i o t and m.o.r.o.n", "of the river and the weather " * 20_000]
+    together = toxic_model.scores(texts)
+    np.testing.assert_allclose(together, [toxic_model.score(t) for t in texts], rtol=1e-5)
     assert min(together[0], together[4]) > 0.7 > 0.3 > max(together[1], together[2], together[3], together[5])
 
 
+def test_toxic_learning_does_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(k, f"plain words of {k}" + (" you idiot moron" if k % 2 else ""), k % 2) for k in range(60)], "doc_id long, text string, y int")
+    a, b = (toxicity.train(r, 0.5) for r in (rows, rows.repartition(7)))
+    np.testing.assert_allclose(a.weights, b.weights, atol=1e-4)
+    one = toxicity.train(rows.where("y = 0"), 0.2)
+    assert one.scores(["idiot", None]).round(6).tolist() == [0.2, 0.2]
+
+
+def test_fit_takes_column_names(spark):
+    d = frame(spark, [f"word{k} text" for k in range(12)]).withColumnsRenamed({"doc_id": "key", "text": "body"})
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(12)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        model = module.fit(d, labels, doc_id="key", text="body")
+        assert module.score(d, model, doc_id="key", text="body").count() == 12
+
+
 def test_quality_features_are_compressed_sizes():
     import zstandard
 
@@ -414,6 +493,43 @@ def test_short_line_runs_equal_brute_force(spark, docs):
     assert got == expected and got[41] == ""
 
 
+def test_a_copy_of_two_lines_goes(spark):
+    line = " ".join(f"word{k}" for k in range(11))
+    got = line_dedup.dedup_lines(frame(spark, [f"{line} a\n{line} b"] * 2)).orderBy("doc_id").collect()
+    assert [(r.lines_removed, r.text) for r in got] == [(0, f"{line} a\n{line} b"), (2, "")]
+
+
+def test_pipeline_on_planted_documents(spark):
+    """Each stage takes what is planted for it and leaves the rest; null, empty and repeated rows pass or go as stated."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.01"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
+    clean = [r.text for r in base.join(labels, "doc_id").where("lang = 'en' and length(text) between 900 and 3000").orderBy("doc_id").limit(12).collect()]
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect() if r.text and len(r.text.split()) >= 20)
+    plain = lambda k: clean[k].replace("\n", " ")
+    near = " ".join(w if k != 40 else "changed" for k, w in enumerate(plain(1).split()))
+    rows = [
+        (1, plain(0)), (2, plain(1)), (3, near), (4, plain(1)), (5, plain(2) + " " + item), (6, " ".join(f"{w}{m}" for w, m in zip(plain(3).split(), itertools.cycle(["***", "###", "", "&&&", "$$$", "", "%%%"])))), (7, plain(4) + "\n" + plain(5)), (8, plain(6) + "\n" + plain(5)), (9, None), (10, ""), (11, "word " * 40), (1, plain(0)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], base.schema)
+    good = pipeline.keep_quality(spark, docs, sf)
+    kept = sorted(r.doc_id for r in good.collect())
+    assert good.columns == docs.columns and {1, 2, 3, 4, 5, 7, 8} <= set(kept) and 6 not in kept and kept.count(1) == 2
+    cut = pipeline.cut_lines(spark, docs, sf)
+    texts = {r.doc_id: (r.text, r.n_chars) for r in cut.collect()}
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    assert texts[8] == (plain(6), len(plain(6))) and texts[7][0] == rows[6][1] and texts[9] == (None, None) and texts[10] == ("", 0) and texts[4][0] == ""
+    one = pipeline.one_of_each_group(spark, docs, sf)
+    ids = sorted(r.doc_id for r in one.collect())
+    assert one.columns == docs.columns and {2, 9, 10, 5, 7, 8} <= set(ids) and not {3, 4} & set(ids) and ids.count(1) == 1
+    free = pipeline.drop_benchmark(spark, docs, sf)
+    ids = sorted(r.doc_id for r in free.collect())
+    assert free.columns == docs.columns and 5 not in ids and {1, 2, 3, 4, 6, 7, 8, 9, 10} <= set(ids)
+    tokens = pipeline.tokenise(spark, docs, sf).collect()
+    assert len(tokens) == len(rows) and all(r.decoded_sha256 == hashlib.sha256((dict(rows)[r.doc_id] or "").encode()).hexdigest() for r in tokens)
+
+
 def test_pipeline_runs(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, SF)
