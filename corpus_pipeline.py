@@ -52,7 +52,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage's table is deleted when the next one is written, with what the
+    operators wrote for it; the last stage's own are left to ``common.release_all``."""
+    docs, made = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        with common.only_last(spark):
+            new = common.materialize(stage(spark, docs, sf_dir), name)
+        if made is not None:
+            common.release(made)
+        docs = made = new
     return STAGES[-1][1](spark, docs, sf_dir)
