@@ -146,7 +146,7 @@ r AS (SELECT *, sum(units) OVER w AS hi, sum(units) OVER w - units AS lo FROM x
 m AS (SELECT o.symbol, o.dir, o.id AS open_id, k.id AS close_id, least(o.hi, k.hi) - greatest(o.lo, k.lo) AS n, o.price AS op, k.price AS cp, o.multiplier, o.fee AS ofee, abs(o.q) AS oq, k.fee AS kfee, abs(k.q) AS kq FROM r o JOIN r k ON o.role = 'open' AND k.role = 'close' AND o.symbol = k.symbol AND o.dir = k.dir AND o.lo < k.hi AND k.lo < o.hi)
 SELECT symbol, dir::INT AS direction, open_id, close_id, n AS quantity, dir * n * (cp - op) * multiplier AS gross, ((ofee * n)::DOUBLE / oq)::DECIMAL(38, 12) + ((kfee * n)::DOUBLE / kq)::DECIMAL(38, 12) AS fees FROM m
 UNION ALL SELECT symbol, dir::INT, id, NULL, units - coalesce(n, 0), NULL, ((fee * (units - coalesce(n, 0)))::DOUBLE / abs(q))::DECIMAL(38, 12) FROM r LEFT JOIN (SELECT open_id AS id, dir, sum(n) AS n FROM m GROUP BY ALL) USING (id, dir) WHERE role = 'open' AND units > coalesce(n, 0))"""
-add("lg_fifo_signed", "symbol direction open_id close_id quantity:4 gross:4 fees:9", lambda s, d: accounts.signed_lots(evidence.signed_fills(s, d), evidence.opening_lots(s, d)), _LOTS, "activities", "instruments")
+add("lg_fifo_signed", "symbol direction open_id close_id quantity:4 gross:4 fees:12", lambda s, d: accounts.signed_lots(evidence.signed_fills(s, d), evidence.opening_lots(s, d)), _LOTS, "activities", "instruments")
 
 _MARKS = """(WITH f AS (SELECT *, close * 100 + flows AS equity FROM (SELECT *, sum(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS flows FROM hours)),
 e AS (SELECT symbol, session, arg_max(equity, ts) AS le, arg_max(flows, ts) AS lf, min(flows) AS ff FROM f GROUP BY ALL), g AS (SELECT symbol, session, lag(le) OVER w + ff - lag(lf) OVER w AS prior_close, row_number() OVER w AS nth FROM e WINDOW w AS (PARTITION BY symbol ORDER BY session)),
