@@ -1,7 +1,8 @@
 """Account ledgers: typed activities, imports that can be repeated, reconciliation, signed lots, risk latches.
 
 Money is decimal, never double. Quantities have up to 9 digits before and 6 after the point, prices 8 and 6,
-multipliers 6 and 0, so that quantity * price * multiplier is exact in decimal(38,12); what does not fit is a fault.
+multipliers 6 and 0, so that quantity * price * multiplier is exact in decimal(36,12), and so is the sum of two such amounts
+in the 38 digits that Spark has; what does not fit is a fault.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources import store
 
-QUANTITY, PRICE, MULTIPLIER, MONEY = "decimal(15,6)", "decimal(14,6)", "decimal(6,0)", "decimal(38,12)"
+QUANTITY, PRICE, MULTIPLIER, MONEY = "decimal(15,6)", "decimal(14,6)", "decimal(6,0)", "decimal(36,12)"
 UNITS = 1_000_000
 #: Activity types that move cash only, and the sign that some of them must have.
 CASH_TYPES, SIGNS = ("CSD", "CSW", "DIV", "INT", "FEE", "CASH_ADJUSTMENT"), {"CSD": 1, "CSW": -1, "FEE": -1}
@@ -98,7 +99,7 @@ def reconciled(events: DataFrame, opening: DataFrame, ending: DataFrame) -> Data
     for name, df in (("opening", opening), ("moved", moved), ("ending", ending)):
         part = df.select("item", *(F.when(F.lit(name == c), F.col("amount").cast(MONEY)).alias(c) for c in ("opening", "moved", "ending")))
         parts = part if parts is None else parts.unionByName(part)
-    out = parts.groupBy("item").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,12)").alias(c) for c in ("opening", "moved", "ending")))
+    out = parts.groupBy("item").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast(MONEY).alias(c) for c in ("opening", "moved", "ending")))
     return out.select(F.coalesce("item", F.lit("cash")).alias("item"), "opening", "moved", "ending", (F.col("opening") + F.col("moved") - F.col("ending")).alias("difference"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import accounts, ancestry, asof, resampling, walkforward
 from ..sources import evidence, store
 from ..sources.bars import hourly_bars
+from ..streaming import observer
 from . import sql
 from .registry import _daily, _features, _states, add
 
@@ -227,3 +228,41 @@ def _bootstrapped(s, d):
 
 _PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 add("boot_stationary", "block_length series sessions lower:8 centre:8", _bootstrapped, _bootstrap_sql(_PRIORITIES, resampling.RESAMPLES), "bars")
+
+# -- observations of a market scan ---------------------------------------------------------------------------------
+
+_TTL = 6 * 3600
+sql.CTES["scans"] = ((), """SELECT event_type || '/' || (user_id % 20) AS symbol, CASE event_type WHEN 'click' THEN 'crypto' WHEN 'error' THEN 'futures' ELSE 'us_equity' END AS kind, ts AS scan_at, CASE WHEN event_id % 31 <> 0 THEN hour(ts) BETWEEN 9 AND 15 END AS market_open,
+    event_id % 29 = 0 AS failed, event_id % 17 <> 0 AS answered, value AS v, CASE WHEN event_id % 37 = 0 THEN -10 ELSE 5 * k END AS age, user_id * 10.0::DOUBLE - 10 AS volume, value * 0.999::DOUBLE AS bid, value * (1 + (k - 15) / 10000::DOUBLE) AS ask, 4 * k AS quote_age
+    FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)""")
+sql.CTES["judged_scans"] = (("scans",), f"""SELECT symbol, scan_at, good, state, CASE WHEN failed THEN 'batch_failed' WHEN state = 'missing' THEN 'symbol_missing_from_response' WHEN state = 'invalid' THEN 'invalid_price_timestamp_bar_or_quote' WHEN state = 'unavailable' THEN 'market_clock_unavailable'
+    WHEN state = 'indicative_unknown_latency' THEN '{observer.PROXY}' END AS reason, CASE WHEN good THEN {{'price': v, 'data_asof': scan_at - to_seconds(age), 'change_pct': (v / CASE WHEN age <= 86400 AND v * 0.98::DOUBLE > 0 THEN v * 0.98::DOUBLE END - 1) * 100, 'volume': volume,
+    'spread_bps': CASE WHEN quote_age <= CASE kind WHEN 'crypto' THEN 180 ELSE 300 END THEN (ask - bid) / ((ask + bid) / 2) * 10000 END}} END AS x FROM (SELECT *, NOT failed AND answered AND fine AS good, CASE WHEN failed THEN 'unavailable' WHEN NOT answered THEN 'missing' WHEN NOT fine THEN 'invalid'
+    WHEN kind = 'futures' THEN CASE WHEN age <= 1800 THEN 'indicative_unknown_latency' ELSE 'stale' END WHEN kind = 'us_equity' AND NOT market_open THEN 'closed_last_observation' WHEN kind = 'us_equity' AND market_open IS NULL THEN 'unavailable'
+    WHEN age <= CASE kind WHEN 'crypto' THEN 180 ELSE 300 END THEN 'fresh' ELSE 'stale' END AS state FROM (SELECT *, coalesce(v > 0 AND age >= 0 AND volume >= 0 AND bid > 0 AND ask >= bid, false) AS fine FROM scans))""")
+sql.CTES["observed"] = (("judged_scans",), f"""SELECT *, last_value(x IGNORE NULLS) OVER o AS kept, sum(new) OVER o AS observation_count, row_number() OVER o AS scan_count, first_value(scan_at) OVER o AS first_seen, last_value(CASE WHEN good THEN scan_at END IGNORE NULLS) OVER o AS last_seen FROM
+    (SELECT *, (good AND NOT coalesce(was.data_asof = x.data_asof AND was.price = x.price AND was.volume = x.volume, false))::INT AS new FROM (SELECT *, last_value(x IGNORE NULLS) OVER (PARTITION BY symbol, run ORDER BY scan_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM
+    (SELECT *, sum(gap) OVER (PARTITION BY symbol ORDER BY scan_at) AS run FROM (SELECT *, coalesce(epoch_us(scan_at) - epoch_us(lag(scan_at) OVER (PARTITION BY symbol ORDER BY scan_at)) > {_TTL}000000, false)::INT AS gap FROM judged_scans))))
+    WINDOW o AS (PARTITION BY symbol, run ORDER BY scan_at ROWS UNBOUNDED PRECEDING)""")
+_SEEN = "symbol scanned state reason price:6 data_time change_pct:6 volume:2 spread_bps:4 retained observation_count scan_count first_scan last_good"
+_SEEN_SQL = "SELECT symbol, scan_at AS scanned, state, reason, kept.price AS price, kept.data_asof AS data_time, kept.change_pct AS change_pct, kept.volume AS volume, kept.spread_bps AS spread_bps, NOT good AND kept IS NOT NULL AS retained, observation_count::BIGINT AS observation_count, scan_count::BIGINT AS scan_count, first_seen AS first_scan, last_seen AS last_good, run FROM observed"
+
+
+def _plain_times(df):
+    return df.withColumns({new: F.col(old).cast("timestamp_ntz") for new, old in (("scanned", "scan_at"), ("data_time", "data_asof"), ("first_scan", "first_seen"), ("last_good", "last_seen"))})
+
+
+def _resumed(s, d):
+    """The later scans, from a table of what was last known of each symbol before them."""
+    judged = store.stored(observer.judged(evidence.scans(s, d)), "judged")
+    cut = judged.agg(F.expr("timestamp_micros(cast(avg(unix_micros(scan_at)) as bigint))")).first()[0]
+    early, late = (judged.where(F.col("scan_at") < F.lit(cut)), judged.where(F.col("scan_at") >= F.lit(cut)))
+    known = observer.history(early, _TTL)
+    last = known.groupBy("symbol").agg(F.max_by(F.struct(*(c for c in known.columns if c != "symbol")), "scan_at").alias("r")).select("symbol", "r.*")
+    return _plain_times(observer.history(late, _TTL, last))
+
+
+add("ss_observe", _SEEN, lambda s, d: _plain_times(observer.history(observer.judged(evidence.scans(s, d)), _TTL)), f"({_SEEN_SQL})", "observed")
+add("ss_restore", _SEEN, _resumed, f"({_SEEN_SQL} WHERE epoch_us(scan_at) >= (SELECT floor(avg(epoch_us(scan_at))) FROM judged_scans))", "observed")
+add("ss_evict", "symbol since scans observations until", lambda s, d: observer.history(observer.judged(evidence.scans(s, d)), _TTL).groupBy("symbol", F.col("first_seen").cast("timestamp_ntz").alias("since")).agg(F.max("scan_count").alias("scans"), F.max("observation_count").alias("observations"), F.max(F.col("scan_at").cast("timestamp_ntz")).alias("until")),
+    "(SELECT symbol, first_seen AS since, max(scan_count) AS scans, max(observation_count)::BIGINT AS observations, max(scan_at) AS until FROM observed GROUP BY symbol, first_seen)", "observed")

@@ -142,3 +142,15 @@ def monthly_returns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[s
     names = [r[0] for r in b.select("symbol").distinct().orderBy("symbol").collect()]  # the order priorities
     b = b.withColumn("r", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("month")) - 1)
     return b.groupBy("month").pivot("symbol", names).agg(F.max("r")).na.drop(), names
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market scans from events, with every kind of fault. The time of the scan is the event's."""
+    n, k, ts, v = F.col("event_id"), F.get_json_object("props", "$.k").cast("int"), F.col("ts").cast("timestamp"), F.col("value")
+    ago = lambda s: F.timestamp_add("SECOND", -s.cast("int"), ts)
+    each = lambda m: F.pmod(n, F.lit(m)) == 0
+    return table(spark, sf_dir, "events").select(
+        F.concat_ws("/", "event_type", F.pmod("user_id", F.lit(20)).cast("string")).alias("symbol"), F.when(F.col("event_type") == "click", "crypto").when(F.col("event_type") == "error", "futures").otherwise("us_equity").alias("asset_class"), ts.alias("scan_at"),
+        F.when(~each(31), F.hour(ts).between(9, 15)).alias("market_open"), F.when(each(29), "batch_failed").alias("failure"), (~each(17)).alias("answered"), v.alias("trade_price"), F.when(each(37), ago(F.lit(-10))).otherwise(ago(k * 5)).alias("trade_at"),
+        (v * 1.01).alias("day_close"), (F.col("user_id") * 10.0 - 10).alias("day_volume"), ago(F.lit(3600)).alias("day_at"), (v * 0.98).alias("prior_close"), ago(F.lit(86_400)).alias("prior_at"), (v * 0.999).alias("bid"), (v * (1 + (k - 15) / 10_000)).alias("ask"), ago(k * 4).alias("quote_at"),
+    )

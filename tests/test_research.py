@@ -87,7 +87,7 @@ def cash(i, kind, amount):
 
 def test_activities_are_typed_exactly(spark):
     rows = [
-        fill("1", qty="123456789.123456", price="12345678.654321"), fill("2", side="sell", price="0.000001"), fill("3", qty="1e3"), fill("4", qty="0"), fill("5", price="-1"), fill("6", side="hold"), fill("7", symbol="Y"), fill("8", qty="0.0000001"), fill("9", qty="abc"), fill("10", fee=None), fill(" "),
+        fill("1", qty="123456789.123456", price="12345678.654321"), fill("0", symbol="Z", qty="123456789.123451", price="12345678.654323"), fill("2", side="sell", price="0.000001"), fill("3", qty="1e3"), fill("4", qty="0"), fill("5", price="-1"), fill("6", side="hold"), fill("7", symbol="Y"), fill("8", qty="0.0000001"), fill("9", qty="abc"), fill("10", fee=None), fill(" "),
         fill("11", ts=None), cash("20", "CSD", "5.5"), cash("21", "CSD", "-5"), cash("22", "CSW", "-7"), cash("23", "CSW", "7"), cash("24", "FEE", "-0.25"), cash("25", "FEE", "1"), cash("26", "DIV", "0.3333"), cash("27", "INT", None), cash("28", "XYZ", "1"), cash("29", None, "1"),
         {"id": "30", "ts": day(1), "activity_type": "POSITION_ADJUSTMENT", "symbol": "Q", "quantity_delta": "-4"}, {"id": "31", "ts": day(1), "activity_type": "POSITION_ADJUSTMENT", "quantity_delta": "4"},
     ]
@@ -97,6 +97,7 @@ def test_activities_are_typed_exactly(spark):
         "27": "invalid_amount", "28": "unsupported_type", "29": "unsupported_type", "31": "missing_symbol",
     }
     assert got["1"].cash == -Decimal("123456789.123456") * Decimal("12345678.654321") * 100 - Decimal("0.1")
+    assert got["0"].cash == -Decimal("123456789.123451") * Decimal("12345678.654323") - Decimal("0.1")
     assert got["2"].cash == Decimal("2") * Decimal("0.000001") * 100 - Decimal("0.1") and got["2"].quantity == -2
     assert got["3"].quantity == 1000 and got["10"].fee == 0
     assert (got["20"].external_cashflow, got["22"].external_cashflow, got["24"].fee, got["26"].cash, got["30"].quantity) == (Decimal("5.5"), -7, Decimal("0.25"), Decimal("0.3333"), -4)
