@@ -241,15 +241,18 @@ def trade_stats(trades: DataFrame, *keys: str) -> DataFrame:
 def correlation_rejections(orders: DataFrame, held: DataFrame, returns: DataFrame, lookback: int, limit: float) -> DataFrame:
     """Orders (id, symbol, side, ts) whose returns move with a held position (symbol, side) by more than
     ``limit`` over the last ``lookback`` returns of both; (id, held_symbol, n, correlation, reason), reason null
-    where the position is no obstacle. ``returns``: symbol, ts, n (number of the return in its symbol), r.
+    where the position is no obstacle. ``returns``: symbol, ts, n (number of the return in its symbol), r. ``held`` has the
+    open positions of one account, a few rows; the rows joined are orders times positions times ``lookback``.
     """
-    pick = lambda s, x: returns.select(F.col("symbol").alias(s), F.col("ts").alias("day"), F.col("n").alias(f"n_{x}"), F.col("r").alias(x))
-    at = orders.join(held.select(F.col("symbol").alias("held_symbol"), F.col("side").alias("held_side")))
+    at = orders.crossJoin(F.broadcast(held.select(F.col("symbol").alias("held_symbol"), F.col("side").alias("held_side"))))
     last = returns.select("symbol", "ts", "n")
     at = at.join(last.withColumnRenamed("n", "last_a"), ["symbol", "ts"], "left")
     at = at.join(last.select(F.col("symbol").alias("held_symbol"), "ts", F.col("n").alias("last_b")), ["held_symbol", "ts"], "left")
-    rows = at.join(pick("symbol", "a"), "symbol", "left").where((F.col("n_a") <= F.col("last_a")) & (F.col("n_a") > F.col("last_a") - lookback))
-    rows = rows.join(pick("held_symbol", "b"), ["held_symbol", "day"]).where((F.col("n_b") <= F.col("last_b")) & (F.col("n_b") > F.col("last_b") - lookback))
+    # the numbers of the returns that are looked at, so that both joins are by equality
+    rows = at.select("id", "symbol", "held_symbol", "last_b", F.explode(F.sequence(F.col("last_a") - lookback + 1, F.col("last_a"))).alias("n"))
+    rows = rows.join(returns.select("symbol", "n", F.col("ts").alias("day"), F.col("r").alias("a")), ["symbol", "n"])
+    rows = rows.join(returns.select(F.col("symbol").alias("held_symbol"), F.col("ts").alias("day"), F.col("n").alias("n_b"), F.col("r").alias("b")), ["held_symbol", "day"])
+    rows = rows.where((F.col("n_b") <= F.col("last_b")) & (F.col("n_b") > F.col("last_b") - lookback))
     spread = F.stddev_samp("a") * F.stddev_samp("b")
     got = rows.groupBy("id", "held_symbol").agg(F.count("*").alias("n"), (F.covar_samp("a", "b") / nullif(spread)).alias("correlation"))
     out = at.select("id", "symbol", "side", "held_symbol", "held_side").join(got, ["id", "held_symbol"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.positions import numbered
 from ..functions.windows import deviation, ewm, mean, nullif, order, previous, rolling, zscore
 from .features import true_range
 
@@ -173,15 +174,11 @@ def correlations(bars: DataFrame) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """The rows of all groups interleaved: first of each, second of each, and so on. A row's place follows from
-    the group sizes: before it come min(size, turn - 1) rows of every group, and one more of each group before
-    its own that is large enough. So no task orders all rows; the sizes are one array, an entry a group."""
-    w = Window.partitionBy(group).orderBy(score, tie)
-    sizes = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("g", "n")).alias("_sizes"))
-    out = rows.withColumn("turn", F.row_number().over(w).cast("long")).crossJoin(F.broadcast(sizes))  # one row
-    earlier = F.aggregate("_sizes", F.lit(0).cast("long"), lambda acc, x: acc + F.least(x["n"], F.col("turn") - 1))
-    same = F.size(F.filter("_sizes", lambda x: (x["g"] < F.col(group)) & (x["n"] >= F.col("turn"))))
-    return out.withColumn("place", earlier + same + 1).drop("_sizes")
+    """The rows of all groups interleaved: first of each, second of each, and so on; ``turn`` is the row's place in its
+    group, ``place`` that among all. Both are positions by ranges, so neither a large group nor the whole is one task, and
+    it does not matter how many groups there are. The group must not be null."""
+    turns = numbered(rows, group, [score, tie], "turn")
+    return numbered(turns, None, ["turn", group], "place")
 
 
 def cost_levels(trades: DataFrame, levels: tuple[float, ...] = (2.0, 5.0, 7.0, 10.0)) -> DataFrame:

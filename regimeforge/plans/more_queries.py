@@ -270,14 +270,14 @@ def _returns(s, d):
 
 
 def _orders(s, d):
-    b = _daily(s, d).where(F.pmod(F.dayofyear("ts"), F.lit(40)) == 0)
+    b = _daily(s, d)
     return b.select(F.concat_ws("@", "symbol", F.date_format("ts", "yyyy-MM-dd")).alias("id"), "symbol", "ts", F.when(F.col("symbol") == "3-MEDIUM", "short").otherwise("long").alias("side"))
 
 
 add("risk_corr", "id held_symbol n correlation:6 reason", lambda s, d: evidence.correlation_rejections(_orders(s, d), s.createDataFrame([("1-URGENT", "long"), ("2-HIGH", "short"), ("NONE", "long")], "symbol string, side string"), _returns(s, d), 20, 0.2),
     """(SELECT id, held_symbol, n, correlation, CASE WHEN n < 20 THEN 'insufficient_history' WHEN correlation IS NULL THEN 'undefined_correlation' WHEN correlation * CASE WHEN side = hs THEN 1 ELSE -1 END > 0.2 + 1e-12 THEN 'exposure_correlation' END AS reason FROM
     (SELECT o.id, any_value(o.side) AS side, h.symbol AS held_symbol, any_value(h.side) AS hs, count(y.r) AS n, covar_samp(x.r, y.r) / nullif(stddev_samp(CASE WHEN y.r IS NOT NULL THEN x.r END) * stddev_samp(CASE WHEN x.r IS NOT NULL THEN y.r END), 0) AS correlation FROM
-    (SELECT symbol || '@' || strftime(ts, '%Y-%m-%d') AS id, symbol, ts, CASE WHEN symbol = '3-MEDIUM' THEN 'short' ELSE 'long' END AS side FROM bars WHERE dayofyear(ts) % 40 = 0) o CROSS JOIN (VALUES ('1-URGENT', 'long'), ('2-HIGH', 'short'), ('NONE', 'long')) h(symbol, side)
+    (SELECT symbol || '@' || strftime(ts, '%Y-%m-%d') AS id, symbol, ts, CASE WHEN symbol = '3-MEDIUM' THEN 'short' ELSE 'long' END AS side FROM bars) o CROSS JOIN (VALUES ('1-URGENT', 'long'), ('2-HIGH', 'short'), ('NONE', 'long')) h(symbol, side)
     LEFT JOIN numbered la ON la.symbol = o.symbol AND la.ts = o.ts LEFT JOIN numbered lb ON lb.symbol = h.symbol AND lb.ts = o.ts
     LEFT JOIN numbered x ON x.symbol = o.symbol AND x.n BETWEEN la.n - 19 AND la.n LEFT JOIN numbered y ON y.symbol = h.symbol AND y.ts = x.ts AND y.n BETWEEN lb.n - 19 AND lb.n GROUP BY o.id, h.symbol))""", "numbered")
 # ---- models -------------------------------------------------------------------------------------------------------

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import accounts, ancestry, asof, resampling, walkforward
-from ..sources import evidence, store
-from ..sources.bars import hourly_bars
+from ..sources import evidence, files, store
+from ..sources.bars import hourly_bars, table
 from ..streaming import observer
 from . import sql
 from .registry import _daily, _features, _states, add
@@ -266,3 +266,37 @@ add("ss_observe", _SEEN, lambda s, d: _plain_times(observer.history(observer.jud
 add("ss_restore", _SEEN, _resumed, f"({_SEEN_SQL} WHERE epoch_us(scan_at) >= (SELECT floor(avg(epoch_us(scan_at))) FROM judged_scans))", "observed")
 add("ss_evict", "symbol since scans observations until", lambda s, d: observer.history(observer.judged(evidence.scans(s, d)), _TTL).groupBy("symbol", F.col("first_seen").cast("timestamp_ntz").alias("since")).agg(F.max("scan_count").alias("scans"), F.max("observation_count").alias("observations"), F.max(F.col("scan_at").cast("timestamp_ntz")).alias("until")),
     "(SELECT symbol, first_seen AS since, max(scan_count) AS scans, max(observation_count)::BIGINT AS observations, max(scan_at) AS until FROM observed GROUP BY symbol, first_seen)", "observed")
+
+# -- files of others -----------------------------------------------------------------------------------------------
+
+
+def _pages(s, d):
+    """The daily bars as pages of JSON by symbol and year, each with the first weeks of the next year as well, and read again."""
+    b = _daily(s, d).select("symbol", "ts", F.year("ts").alias("page"), F.struct(F.col("ts").alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v")).alias("x"))
+    b = b.unionByName(b.where(F.dayofyear("ts") <= 30).withColumn("page", F.col("page") - 1))
+    pages = b.groupBy("page", "symbol").agg(F.sort_array(F.collect_list("x")).alias("list")).select("page", F.create_map("symbol", "list").alias("bars"))
+    path = store.fresh_path(s, "pages")
+    pages.write.option("compression", "gzip").json(path)
+    return files.unwrapped(s, path)
+
+
+def _dataset(s, d):
+    """Daily bars as files by symbol under a manifest, loaded with the check and put in the form of bars."""
+    path = store.fresh_path(s, "dataset")
+    _daily(s, d).select("symbol", "ts", *(F.col(c).cast("string").alias(c.title()) for c in ("open", "high", "low", "volume")), F.col("close").alias("Adj Close")).repartition("symbol").write.partitionBy("symbol").parquet(f"{path}/daily")
+    manifest = store.stored(files.digests(s, path, "*.parquet").where("name like 'daily/%'"), "manifest")
+    return files.normalized(files.dataset(s, path, manifest, "daily"), "symbol", "ts")
+
+
+def _imported(s, d):
+    """The parts' directory as two CSV files, the second one with other prices for one size."""
+    root, parts = store.fresh_path(s, "directory"), table(s, d, "part").select("p_partkey", "p_brand", "p_retailprice")
+    parts.unionByName(parts.where("p_partkey % 7 = 0")).write.option("header", "true").csv(f"{root}/a")
+    table(s, d, "part").where("p_size = 7").select("p_partkey", "p_brand", (F.col("p_retailprice") + 1).alias("p_retailprice")).write.option("header", "true").csv(f"{root}/b")
+    return files.imported(s, [f"{root}/a", f"{root}/b"], "p_partkey long, p_brand string, p_retailprice double", "p_partkey")
+
+
+_BARS = "symbol ts open:4 high:4 low:4 close:4 volume:2"
+add("norm_wrapped", _BARS, _pages, "bars", "bars")
+add("src_dataset", _BARS, _dataset, "bars", "bars")
+add("src_import", "p_partkey p_brand p_retailprice:4 source rows_read", _imported, "(SELECT p_partkey, p_brand, p_retailprice + (p_size = 7)::INT AS p_retailprice, (p_size = 7)::INT AS source, 1 + (p_partkey % 7 = 0)::INT + (p_size = 7)::INT AS rows_read FROM part)")
