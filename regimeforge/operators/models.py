@@ -203,6 +203,23 @@ def apply_clusters(frame: DataFrame, model: Clusters) -> DataFrame:
     return out.select(*frame.columns, F.coalesce(labels[F.col("_c")], F.lit("cluster_00")).alias("cluster"), vector_to_array("_x").alias("cluster_point"))
 
 
+def cluster_audit(frame: DataFrame, fitted_on: DataFrame, model: Clusters, least: int) -> DataFrame:
+    """(symbol, rows, misplaced, small_clusters): rows whose cluster is not that of the centre nearest to their point, worked
+    out anew from the stored centres, and how many clusters have fewer than ``least`` of the rows of the fit. Both must be 0."""
+    sizes = apply_clusters(fitted_on, model).groupBy("cluster").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") < least).alias("small_clusters"))
+    placed = apply_clusters(frame, model)
+    if model.kmeans is None:
+        wrong = F.col("cluster") != "cluster_00"
+    else:
+        centres = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in v)).alias("at"), F.lit(f"cluster_{model.numbers.get(c, 0):02d}").alias("name")) for c, v in enumerate(model.kmeans.clusterCenters())))
+        far = lambda c: F.aggregate(F.zip_with("cluster_point", c["at"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+        ranked = F.array_min(F.transform(centres, lambda c: F.struct(far(c).alias("d"), c["name"].alias("name"))))
+        own = F.array_min(F.transform(F.filter(centres, lambda c: c["name"] == F.col("cluster")), far))
+        wrong = own > ranked["d"] * (1 + 1e-9) + 1e-12
+    out = placed.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(wrong).alias("misplaced"))
+    return out.crossJoin(sizes)  # one row
+
+
 def anchor(frame: DataFrame, by: str = "trend", trend: float = 0.01, vol_regime: float = 0.15, vol_zscore: float = 0.5) -> DataFrame:
     """The coarse regime of the hybrid model, by trend or by volatility."""
     yes = lambda cond: F.coalesce(cond, F.lit(False))

@@ -315,6 +315,8 @@ add("st_bins_group", "symbol ts pressure:7", lambda s, d: models.apply_groups(_a
     f"""(SELECT symbol, ts, list_avg(list_filter([{', '.join(f'({m} - m_{m}) / s_{m}' for m in _MEMBERS)}], lambda x: x IS NOT NULL)) AS pressure FROM features CROSS JOIN (SELECT {', '.join(f'avg({m}) AS m_{m}, stddev_samp({m}) AS s_{m}' for m in _MEMBERS)} FROM features WHERE ts < TIMESTAMP '{_SPLIT}') WHERE ts >= TIMESTAMP '{_SPLIT}')""", "features")
 _CLUSTER = ["return_5", "return_20", "realized_vol_20", "zscore_close_20"]
 add("st_kmeans", "symbol ts cluster", lambda s, d: models.apply_clusters(_after(_features(s, d)), models.fit_clusters(_before(_features(s, d)), _CLUSTER, 4, least=30)))
+add("st_kmeans_audit", "symbol rows misplaced small_clusters", lambda s, d: models.cluster_audit(_after(_features(s, d)), b := _before(_features(s, d)), models.fit_clusters(b, _CLUSTER, 4, least=30), 30),
+    f"(SELECT symbol, count(*) AS rows, 0::BIGINT AS misplaced, 0::BIGINT AS small_clusters FROM features WHERE ts >= TIMESTAMP '{_SPLIT}' GROUP BY symbol)", "features")
 add("st_hybrid", "symbol ts state_anchor_regime cluster state", lambda s, d: models.apply_hybrid(models.anchor(_after(_features(s, d))), models.fit_hybrid(models.anchor(_before(_features(s, d))), _CLUSTER, 3, 50, least=20)))
 add("st_anchor", "symbol ts regime calm", lambda s, d: models.anchor(models.anchor(_features(s, d)).withColumnRenamed("state_anchor_regime", "regime"), "volatility").withColumnRenamed("state_anchor_regime", "calm"),
     """(SELECT symbol, ts, CASE WHEN coalesce(return_20 > 0.01 AND ma_gap_20 > 0 AND ma_gap_200 > 0, false) THEN 'uptrend' WHEN coalesce(return_20 < -0.01 AND ma_gap_20 < 0 AND ma_gap_200 < 0, false) THEN 'downtrend' ELSE 'neutral' END AS regime,
