@@ -87,9 +87,10 @@ def _number(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(index), np.concatenate(numbers), np.array(lens, np.int64)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids), a row for each row of ``docs``: the whole text's token ids as
-    little-endian unsigned 32-bit integers in one binary value.
+    little-endian unsigned 32-bit integers in one binary value. With ``decoded`` also what ``decode`` makes of the ids, by the
+    Python worker that has put them together.
 
     Null and empty texts have no ids. Repeated rows and null ids are kept as they are; other columns are
     ignored; an empty table gives an empty result. ``ranks`` must hold all 256 bytes.
@@ -97,6 +98,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(ranks)
+    kept: dict[str, list[bytes | None]] = {}  # of a task: the token-byte table
     size, _ = common.corpus_size(docs)
     n_ranges = max(common.shuffle_partitions(spark), size // (32 * RANGE_WORDS))
 
@@ -176,36 +178,51 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
             index = np.arange(total) + np.repeat(begin[own] - (np.cumsum(n) - n), n)
             ids.append(flat[index].astype("<u4").tobytes())
             counts.append(total)
-        return blocks.frame({"doc_id": (row["ids"], pa.int64()), "n_tokens": (counts, pa.int64()), "ids": (ids, pa.binary())})
+        made = {"doc_id": (row["ids"], pa.int64()), "n_tokens": (counts, pa.int64()), "ids": (ids, pa.binary())}
+        if decoded:
+            if not kept:
+                kept["tokens"] = token_table(vocabulary.value)
+            made["decoded"] = ([look_up(kept["tokens"], x) for x in ids], pa.binary())
+        return blocks.frame(made)
 
     asked = docs.mapInArrow(ask, "range long, block long, slots binary, lens binary, words binary")
     answered = asked.groupBy("range").applyInArrow(answer, "block long, slots binary, lens binary, ids binary")
     numbered = docs.mapInArrow(number, "block long, ids array<long>, n_words long, lens binary, numbers binary")
-    return numbered.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(place, "doc_id long, n_tokens long, ids binary")
+    return numbered.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(place, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def unpack_list(blob: bytes) -> list[int]:
     return blocks.unpack(blob).tolist()
 
 
+def token_table(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The bytes of each token by its id."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def look_up(tokens: list[bytes | None], raw: bytes | None) -> bytes | None:
+    return None if raw is None else b"".join([tokens[i] for i in np.frombuffer(raw, "<u4").tolist()])
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
-    """``encoded`` with a column ``decoded``: the bytes of the tokens, joined. An id without a token is
-    an error; null ids give null. The token-byte table is broadcast: it has a row for each token."""
+    """``encoded`` with a column ``decoded``, which replaces one of that name: the bytes of the tokens, joined. An id without
+    a token is an error; null ids give null. The token-byte table is broadcast: it has a row for each token."""
+    encoded = encoded.drop("decoded")
     table = encoded.sparkSession.sparkContext.broadcast(ranks)
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
-    def look_up(batches):
-        tokens: list[bytes | None] = [None] * (max(table.value.values(), default=-1) + 1)
-        for token, rank in table.value.items():
-            tokens[rank] = token
+    def run(batches):
+        tokens = token_table(table.value)
         for batch in batches:
-            found = [None if raw is None else b"".join([tokens[i] for i in np.frombuffer(raw, "<u4").tolist()]) for raw in batch.column(ids).to_pylist()]
-            yield batch.append_column("decoded", pa.array(found, pa.binary()))
+            yield batch.append_column("decoded", pa.array([look_up(tokens, raw) for raw in batch.column(ids).to_pylist()], pa.binary()))
 
-    return encoded.mapInArrow(look_up, schema)
+    return encoded.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding, as digests."""
-    both = decode(encode(docs, ranks, pattern), ranks)
+    both = encode(docs, ranks, pattern, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

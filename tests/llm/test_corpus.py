@@ -69,6 +69,17 @@ def test_bpe_equals_the_library(spark, docs):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_decoding_replaces_a_column_of_its_name(spark):
+    ranks, pattern = registry.vocabulary()
+    made = bpe.encode(frame(spark, ["some text", None, "\U0001f600"]), ranks, pattern)
+    for encoded in (made, made.withColumn("decoded", F.lit(7))):
+        got = bpe.decode(encoded, ranks)
+        assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+        assert {r.doc_id: bytes(r.decoded) for r in got.collect()} == {0: b"some text", 1: b"", 2: "\U0001f600".encode()}
+    both = bpe.encode(frame(spark, ["some text", None, "\U0001f600"]), ranks, pattern, decoded=True)
+    assert {r.doc_id: bytes(r.decoded) for r in both.collect()} == {0: b"some text", 1: b"", 2: "\U0001f600".encode()}
+
+
 def test_rules_equal_brute_force(spark, docs):
     for r in rules.judge(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
         t = r.text or ""
