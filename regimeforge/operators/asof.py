@@ -60,7 +60,7 @@ def excursions(spans: DataFrame, bars: DataFrame, bucket: Column | None = None)
     """(trade_id, bars_held, mae_pct, mfe_pct, censored): worst and best price of each position against its entry, in
     the position's direction, from 0.
 
-    ``spans``: trade_id, symbol, direction (1 or -1), entry_ts, exit_ts, entry_price, stop_price (null: not stopped).
+    ``spans``: trade_id (unique), symbol, direction (1 or -1), entry_ts, exit_ts, entry_price, stop_price (null: not stopped).
     Bars after the entry up to the exit count by their high and low; of the bar in which a stop was hit only the open
     and the stop price are known to lie in the holding time: the excursion is censored there.
 

@@ -67,7 +67,7 @@ add("wf_fold_bins", "fold_id part symbol ts bin", lambda s, d: walkforward.fold_
 
 # -- ledgers -------------------------------------------------------------------------------------------------------
 
-_ID = "{0} || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+_ID = "{0} || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || round(l_extendedprice * 100)::BIGINT"
 sql.CTES["instruments"] = ((), "SELECT 'S' || s_suppkey AS symbol, CASE WHEN s_nationkey % 2 = 0 THEN '1' ELSE '100' END AS multiplier FROM supplier WHERE s_acctbal >= 0")
 sql.CTES["activities"] = ((), f"""SELECT {_ID.format("'F'")} AS id, l_shipdate AS ts, 'FILL' AS activity_type, 'S' || l_suppkey AS symbol, CASE WHEN l_linenumber % 2 = 0 THEN 'sell' ELSE 'buy' END AS side, l_quantity::DECIMAL(15, 2) AS qty,
     l_extendedprice::DECIMAL(15, 2) AS price, (l_tax * 10)::DECIMAL(15, 2) AS fee, NULL::DECIMAL(15, 2) AS net_amount, NULL::DECIMAL(15, 2) AS quantity_delta FROM lineitem
@@ -160,7 +160,7 @@ _HASH = "sha256(strftime(event_at, '%Y-%m-%d %H:%M:%S') || '|' || strftime(recei
 _DECISIONS = f"""(WITH RECURSIVE o AS (SELECT *, CASE WHEN o_totalprice < 5000 THEN lead(o_orderkey) OVER w WHEN o_totalprice < 8000 THEN o_orderkey + 1000000000000 WHEN o_orderstatus <> 'O' THEN lag(o_orderkey) OVER w END AS amends FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 l0 AS (SELECT l.*, l_partkey || '/' || l_suppkey AS payload, coalesce(o_orderdate, TIMESTAMP '1995-01-01') - to_days(trunc(l_quantity)::INT) AS event_at FROM lineitem l LEFT JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 0),
 l1 AS (SELECT *, event_at + to_days(l_linenumber::INT) AS received_at FROM l0), l AS (SELECT *, {_HASH.format("payload")} AS sha FROM l1),
-i AS (SELECT l_orderkey AS id, sha, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ordinal FROM l),
+i AS (SELECT l_orderkey AS id, sha, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal FROM l),
 ev AS (SELECT sha, min(event_at) AS event_at, max(received_at) AS received_at, min(({_HASH.format("payload")} = sha)::INT) AS ok FROM (SELECT DISTINCT sha, event_at, received_at, CASE WHEN l_tax > 0.075 THEN payload || 'x' ELSE payload END AS payload FROM l WHERE NOT (l_tax = 0 AND l_discount = 0)) GROUP BY sha),
 u AS (SELECT id, string_agg(sha, ',' ORDER BY ordinal) AS ins, count(*) FILTER (ok IS NULL) AS lost, count(*) FILTER (ok = 0) AS forged, count(*) FILTER (event_at > received_at) AS odd, max(received_at) AS latest FROM i LEFT JOIN ev USING (sha) GROUP BY id),
 h AS (SELECT o.*, sha256(o_orderkey || '|' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '|' || coalesce(amends::VARCHAR, '-') || '|' || coalesce(ins, '')) AS sha FROM o LEFT JOIN u ON u.id = o_orderkey),

@@ -16,6 +16,11 @@ def _id(letter: str, *columns: str) -> Column:
     return F.concat(F.lit(letter), F.concat_ws("-", *(F.col(c).cast("string") for c in columns)))
 
 
+def _line_id() -> Column:
+    """An order line's own id; keys alone are not unique, so the amount in cents belongs to it."""
+    return F.concat_ws("-", _id("F", *_LINE), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))
+
+
 def _text(x: Column, kind: str = "decimal(15,2)") -> Column:
     return x.cast(kind).cast("string")
 
@@ -30,7 +35,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills from order lines, cash and position activities from orders; amounts as text."""
     null = F.lit(None).cast("string")
     line = table(spark, sf_dir, "lineitem").select(
-        _id("F", *_LINE).alias("id"), F.col("l_shipdate").alias("ts"), F.lit("FILL").alias("activity_type"), _id("S", "l_suppkey").alias("symbol"), F.when(F.pmod("l_linenumber", F.lit(2)) == 0, "sell").otherwise("buy").alias("side"),
+        _line_id().alias("id"), F.col("l_shipdate").alias("ts"), F.lit("FILL").alias("activity_type"), _id("S", "l_suppkey").alias("symbol"), F.when(F.pmod("l_linenumber", F.lit(2)) == 0, "sell").otherwise("buy").alias("side"),
         _text(F.col("l_quantity")).alias("qty"), _text(F.col("l_extendedprice")).alias("price"), _text(F.col("l_tax") * 10).alias("fee"), null.alias("net_amount"), null.alias("quantity_delta"),
     )
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "CSD").when(F.col("o_orderpriority") == "2-HIGH", "CSW").when(F.col("o_orderpriority") == "3-MEDIUM", "DIV").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "FEE")
@@ -47,7 +52,7 @@ def signed_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid fills of listed instruments, with signed quantities."""
     q = F.col("l_quantity").cast("decimal(15,6)")
     line = table(spark, sf_dir, "lineitem").where("l_quantity >= 1").select(
-        _id("S", "l_suppkey").alias("symbol"), _id("F", *_LINE).alias("id"), F.col("l_shipdate").alias("ts"), F.when(F.pmod("l_linenumber", F.lit(2)) == 0, -q).otherwise(q).cast("decimal(15,6)").alias("quantity"),
+        _id("S", "l_suppkey").alias("symbol"), _line_id().alias("id"), F.col("l_shipdate").alias("ts"), F.when(F.pmod("l_linenumber", F.lit(2)) == 0, -q).otherwise(q).cast("decimal(15,6)").alias("quantity"),
         F.col("l_extendedprice").cast("decimal(15,2)").cast("decimal(14,6)").alias("price"), (F.col("l_tax") * 10).cast("decimal(15,2)").cast("decimal(14,6)").alias("fee"),
     )
     return line.join(instruments(spark, sf_dir).select("symbol", F.col("multiplier").cast("decimal(6,0)").alias("multiplier")), "symbol")
@@ -78,12 +83,12 @@ def decision_ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     mine = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     amends = F.when(F.col("o_totalprice") < 5000, F.lead("o_orderkey").over(mine)).when(F.col("o_totalprice") < 8000, F.col("o_orderkey") + 1_000_000_000_000).when(F.col("o_orderstatus") != "O", F.lag("o_orderkey").over(mine))
     o = o.withColumn("amends", amends)
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax", "l_discount", F.col("l_quantity").cast("int").alias("q"))
+    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax", "l_discount", "l_extendedprice", F.col("l_quantity").cast("int").alias("q"))
     l = l.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey", "left")
     at = F.coalesce("o_orderdate", F.lit("1995-01-01").cast("timestamp_ntz"))
     l = l.withColumn("event_at", F.timestamp_add("DAY", -F.col("q"), at)).withColumn("received_at", F.timestamp_add("DAY", F.col("l_linenumber").cast("int"), F.col("event_at"))).withColumn("payload", F.concat_ws("/", "l_partkey", "l_suppkey"))
     l = l.withColumn("sha", ancestry.input_hash(F.col("event_at"), F.col("received_at"), F.col("payload")))
-    ordinal = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    ordinal = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     inputs = l.select(F.col("l_orderkey").alias("decision_id"), ordinal.alias("ordinal"), F.col("sha").alias("input_sha256"))
     kept = l.where("not (l_tax = 0 and l_discount = 0)")
     evidence = kept.select(F.col("sha").alias("sha256"), "event_at", "received_at", F.when(F.col("l_tax") > 0.075, F.concat("payload", F.lit("x"))).otherwise(F.col("payload")).alias("payload")).distinct()
@@ -97,7 +102,7 @@ def decision_ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holding spans of order lines, on the daily bars of their order's priority."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 1").select(_id("F", *_LINE).alias("trade_id"), "l_orderkey", "l_discount", "l_returnflag", F.col("l_quantity").cast("int").alias("q"))
+    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 1").select(_line_id().alias("trade_id"), "l_orderkey", "l_discount", "l_returnflag", F.col("l_quantity").cast("int").alias("q"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("symbol"), "o_orderdate", "o_totalprice")
     p = l.join(o, "l_orderkey")
     return p.select(
