@@ -27,6 +27,9 @@ from .components import connected_components
 THRESHOLD, RECALL, PROBES, SEED = 0.95, 0.995, 8, 13
 #: Nearest axes of each hash that probes are put together from, and vectors of a block of a tile.
 NEAREST, BLOCK = 4, 2000
+#: Vectors are padded with zeros to this length at least: in fewer dimensions turns leave vectors along axes with equal
+#: distances to many axes, whose order a small change reverses.
+LEAST_DIM = 64
 #: Pairs that are compared or filtered at once, vectors up to which all pairs of a bucket are listed: memory only.
 AT_ONCE, LISTED = 100_000, 48
 
@@ -86,7 +89,6 @@ def odds(depth: int, dim: int, threshold: float, probes: int = PROBES, pairs: in
 
 def plan(vectors: int, dim: int, threshold: float = THRESHOLD, recall: float = RECALL) -> np.ndarray:
     """The turns (signs) of as many tables, of as many hashes each, as the number of vectors and the recall ask for."""
-    dim = max(dim, 2)
     depth = max(1, min(math.ceil(math.log(max(vectors, 2) * PROBES) / math.log(2 * dim)), int(62 // math.log2(2 * dim))))
     missed = 1 - min(odds(depth, dim, threshold), 1 - 1e-6)
     return signs(max(1, math.ceil(math.log(1 - recall) / math.log(missed))) if missed < 1 else 1, depth, dim)
@@ -242,7 +244,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     an id each is a vector of its own. An empty table gives none. Other columns are not read.
     """
     dim, total = df.agg(F.max(F.size(embedding)), F.count("*")).first()
-    dim = 1 << max(1, math.ceil(math.log2(max(dim or 1, 1))))
+    dim = max(LEAST_DIM, 1 << math.ceil(math.log2(max(dim or 1, 1))))
     turns = plan(total, dim, threshold, recall)
     shape = (turns.shape[0], turns.shape[1], min(PROBES, buckets(np.eye(1, dim), turns[:1]).shape[2]))
     rows = common.materialize(_hashed(df, vec_id, embedding, dim, turns), "vectors")
