@@ -273,7 +273,8 @@ add("ss_evict", "symbol since scans observations until", lambda s, d: observer.h
 def _pages(s, d):
     """The daily bars as pages of JSON by symbol and year, each with the first weeks of the next year as well, and read again."""
     b = _daily(s, d).select("symbol", "ts", F.year("ts").alias("page"), F.struct(F.col("ts").alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v")).alias("x"))
-    b = b.unionByName(b.where(F.dayofyear("ts") <= 30).withColumn("page", F.col("page") - 1))
+    # one row goes to both pages: the bars computed twice would differ in the last digits of their sums
+    b = b.withColumn("page", F.explode(F.when(F.dayofyear("ts") <= 30, F.array("page", F.col("page") - 1)).otherwise(F.array("page"))))
     pages = b.groupBy("page", "symbol").agg(F.sort_array(F.collect_list("x")).alias("list")).select("page", F.create_map("symbol", "list").alias("bars"))
     path = store.fresh_path(s, "pages")
     pages.write.option("compression", "gzip").json(path)

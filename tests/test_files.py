@@ -2,11 +2,13 @@
 
 import json
 import os
+import uuid
 
 import pytest
 
 from regimeforge.operators import strategies
 from regimeforge.sources import files
+from regimeforge.plans import research_queries
 
 
 def test_a_changed_dataset_is_refused(spark, tmp_path):
@@ -42,6 +44,14 @@ def test_pages_overlap_but_do_not_contradict(spark, tmp_path):
 
 
 def test_columns_are_named_and_typed(spark):
+def test_wrapped_pages_hold_one_computation_of_each_bar(spark, monkeypatch):
+    volume = F.udf(lambda: float(uuid.uuid4().int % 2**50), "double").asNondeterministic()  # as a sum whose terms come in another order each time
+    day = F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2019-12-25").cast("timestamp_ntz"))
+    bars = spark.range(60).select(F.lit("a").alias("symbol"), day.alias("ts"), *(F.lit(1.0).alias(c) for c in ("open", "high", "low", "close")), volume().alias("volume"))
+    monkeypatch.setattr(research_queries, "_daily", lambda s, d: bars)
+    assert len(research_queries._pages(spark, "").collect()) == 60
+
+
     made = files.normalized(spark.createDataFrame([("s", "1", 2.0, 3, 4.0, "5")], "`Symbol` string, `OPEN` string, `High` double, `low` int, `Adj Close` double, `volume` string"), "symbol")
     assert made.collect() == [("s", 1.0, 2.0, 3.0, 4.0, 5.0)]
     with pytest.raises(files.EvidenceError, match="close"):
