@@ -89,10 +89,11 @@ def excursions(spans: DataFrame, bars: DataFrame, bucket: Column | None = None)
 
 
 def total_return(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """(symbol, ts, close, total_return_index): the close carried forward with splits and dividends of each ex-date put
+    """(symbol, ts, close, total_return_index, log_index): the close carried forward with splits and dividends of each ex-date put
     back in: times split_ratio * (close + dividend) / previous close. It starts at the first close.
 
-    A running sum of logarithms over the sessions of a symbol. An action on a day without a bar has no effect;
+    A running sum of logarithms over the sessions of a symbol, which is ``log_index``; the index itself is infinite where it is larger
+    than a double can be, the logarithm is not. An action on a day without a bar has no effect;
     two actions of a symbol on one day are an error, as their order is not known. Later bars change no earlier row.
     """
     clear = actions.groupBy("symbol", "ts").agg(F.count("*").alias("_n"), F.max("split_ratio").alias("split_ratio"), F.max("dividend").alias("dividend"))
@@ -101,7 +102,8 @@ def total_return(bars: DataFrame, actions: DataFrame) -> DataFrame:
     step = F.coalesce("split_ratio", F.lit(1.0)) * (F.col("close") + F.coalesce("dividend", F.lit(0.0))) / F.lag("close").over(order())
     so_far = order().rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("_l", F.coalesce(F.log(step), F.lit(0.0)))
-    return b.select("symbol", "ts", "close", (F.first("close").over(so_far) * F.exp(F.sum("_l").over(so_far))).alias("total_return_index"))
+    grown = F.sum("_l").over(so_far)
+    return b.select("symbol", "ts", "close", (F.first("close").over(so_far) * F.exp(grown)).alias("total_return_index"), (F.log(F.first("close").over(so_far)) + grown).alias("log_index"))
 
 
 def discontinuities(bars: DataFrame, actions: DataFrame, least: float = 0.01) -> DataFrame:

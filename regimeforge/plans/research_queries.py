@@ -192,7 +192,7 @@ add("opt_select", "decision_id underlying day contract expires strike:4",
     x AS (SELECT decision_id, contract, expiry, strike, row_number() OVER (PARTITION BY decision_id ORDER BY abs(expiry - session - 52), expiry, abs(strike - midpoint), strike, contract) AS k FROM d JOIN c USING (underlying) WHERE expiry > session AND session BETWEEN expiry - 400 AND expiry - 1)
     SELECT d.decision_id, underlying, session::TIMESTAMP AS day, contract, expiry::TIMESTAMP AS expires, strike FROM d LEFT JOIN (SELECT * FROM x WHERE k = 1) USING (decision_id))""")
 sql.CTES["actions"] = ((), "SELECT o_orderpriority AS symbol, o_orderdate AS ts, CASE WHEN count(*) > 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS split_ratio, round(sum(o_totalprice) / 1000, 2) AS dividend FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL")
-add("tr_index", "symbol ts close:4 log_index:6", lambda s, d: asof.total_return(_daily(s, d), evidence.corporate_actions(s, d)).withColumn("log_index", F.log("total_return_index")),
+add("tr_index", "symbol ts close:4 log_index:6", lambda s, d: asof.total_return(_daily(s, d), evidence.corporate_actions(s, d)),
     """(SELECT symbol, ts, close, ln(first_value(close) OVER w) + sum(coalesce(ln(coalesce(split_ratio, 1) * (close + coalesce(dividend, 0)) / before), 0)) OVER w AS log_index FROM
     (SELECT b.*, a.split_ratio, a.dividend, lag(close) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS before FROM bars b LEFT JOIN actions a USING (symbol, ts)) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING))""", "bars", "actions")
 add("adj_discontinuity", "symbol ts implied:4", lambda s, d: asof.discontinuities(evidence.adjusted_bars(s, d), evidence.corporate_actions(s, d).where("dividend > 100")),

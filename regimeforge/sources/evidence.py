@@ -128,9 +128,10 @@ def option_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corporate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending orders of a priority and day are its dividend; two or more are a split as well."""
+    """Pending orders of a priority and day are its dividend; two or more are a split as well. The sum is freed of what the order of its
+    terms leaves in its last digits, so that a half is rounded alike in every run."""
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    a = o.groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice") / 1000, 2).alias("dividend"))
+    a = o.groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts")).agg(F.count("*").alias("n"), F.round(F.round(F.sum("o_totalprice"), 6) / 1000, 2).alias("dividend"))
     return a.select("symbol", "ts", F.when(F.col("n") > 1, 2.0).otherwise(1.0).alias("split_ratio"), "dividend")
 
 

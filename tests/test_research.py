@@ -241,6 +241,13 @@ def test_total_return_puts_splits_and_dividends_back(spark):
         asof.total_return(bars, actions.unionByName(actions)).collect()
 
 
+def test_total_return_has_a_logarithm_where_the_index_is_too_large(spark):
+    bars = spark.createDataFrame([("a", day(k), 100.0) for k in range(1201)], "symbol string, ts timestamp_ntz, close double")
+    actions = spark.createDataFrame([("a", day(k), 2.0, 0.0) for k in range(1201)], "symbol string, ts timestamp_ntz, split_ratio double, dividend double")
+    got = asof.total_return(bars, actions).orderBy("ts").collect()[-1]
+    assert got.total_return_index == float("inf") and abs(got.log_index - (np.log(100.0) + 1200 * np.log(2.0))) < 1e-9
+
+
 def test_bootstrap_has_the_moments_of_its_series(spark):
     n = 40
     values = np.random.default_rng(1).standard_normal((n, 2)).cumsum(axis=0)
