@@ -43,17 +43,33 @@ def select_contracts(decisions: DataFrame, contracts: DataFrame, target_days: in
 
     ``decisions``: decision_id, underlying, session, midpoint; ``contracts``: underlying, symbol, expiry, strike, listed
     (first and last session of its quotes). Contracts that expire by the session or are not listed then are not
-    eligible. The expiry is chosen once for each underlying and session, then only contracts of that expiry are joined; the
-    best is kept by a partial minimum, so a long chain is not sorted. Decisions without one have nulls.
+    eligible. The expiry is chosen once for each underlying and session. The contracts of an expiry that are listed over the same
+    sessions are one chain: each midpoint asked of a chain meets its strikes in one sorted pass, which leaves it the
+    nearest strike on either side. So no decision is joined with a chain's contracts. A contract without a strike comes last; without a
+    midpoint the lowest strike counts. Decisions without a contract have nulls.
     """
+    chain = ["underlying", "expiry", "first_session", "last_session"]
     listed = F.col("session").between(F.col("first_session"), F.col("last_session")) & (F.col("expiry") > F.col("session"))
-    expiries = contracts.select("underlying", "expiry", "first_session", "last_session").distinct()
-    near = decisions.select("underlying", "session").distinct().join(expiries, "underlying").where(listed)
+    chains = contracts.select(*chain).distinct()
+    asked = decisions.select("underlying", "session", "midpoint").distinct()
+    near = asked.select("underlying", "session").distinct().join(chains, "underlying").where(listed)
     far = F.abs(F.datediff("expiry", "session") - target_days)
-    near = near.groupBy("underlying", "session").agg(F.min(F.struct(far.alias("far"), "expiry")).alias("x")).select("underlying", "session", F.col("x.expiry").alias("expiry"))
-    met = decisions.join(near, ["underlying", "session"]).join(contracts.select("underlying", "expiry", "first_session", "last_session", "strike", F.col("symbol").alias("_symbol")), ["underlying", "expiry"]).where(listed)
-    best = met.groupBy("decision_id").agg(F.min(F.struct(F.abs(F.col("strike") - F.col("midpoint")).alias("off"), "strike", F.col("_symbol").alias("contract"), "expiry")).alias("x"))
-    return decisions.select("decision_id", "underlying", "session").join(best.select("decision_id", "x.contract", "x.expiry", "x.strike"), "decision_id", "left")
+    first = near.groupBy("underlying", "session").agg(F.min(F.struct(far.alias("far"), "expiry")).alias("x")).select("underlying", "session", F.col("x.expiry").alias("expiry"))
+    lowest, none = F.lit(float("-inf")), F.lit(float("inf"))
+    at = F.coalesce(F.nanvl(F.col("midpoint").cast("double"), lowest), lowest)
+    asked = asked.withColumn("_at", at).join(near.join(first, ["underlying", "session", "expiry"]), ["underlying", "session"])
+
+    # one row for each strike of a chain and one for each midpoint asked of it
+    strikes = contracts.groupBy(*chain, "strike").agg(F.min("symbol").alias("contract"))
+    strikes = strikes.select(*chain, F.coalesce(F.col("strike").cast("double"), none).alias("_at"), F.struct("strike", "contract").alias("_c"))
+    asks = asked.select(*chain, "_at").distinct().withColumn("_c", F.lit(None).cast(strikes.schema["_c"].dataType))
+    side = lambda order: F.last("_c", True).over(Window.partitionBy(*chain).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    met = strikes.unionByName(asks).withColumns({"_below": side(F.col("_at").asc()), "_above": side(F.col("_at").desc())}).where("_c is null")
+    rated = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.coalesce(F.col(f"{c}.strike"), none) - F.col("_at")).alias("off"), F.coalesce(F.col(f"{c}.strike"), none).alias("by"), F.col(f"{c}.contract").alias("contract"), F.col(f"{c}.strike").alias("strike"), "expiry"))
+    met = met.select(*chain, "_at", F.least(rated("_below"), rated("_above")).alias("x"))
+    best = asked.join(met, [*chain, "_at"]).groupBy("underlying", "session", "_at").agg(F.min("x").alias("x"))
+    out = decisions.select("decision_id", "underlying", "session", at.alias("_at")).join(best, ["underlying", "session", "_at"], "left")
+    return out.select("decision_id", "underlying", "session", "x.contract", "x.expiry", "x.strike")
 
 
 def excursions(spans: DataFrame, bars: DataFrame, bucket: Column | None = None) -> DataFrame:

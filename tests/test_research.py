@@ -248,6 +248,19 @@ def test_total_return_has_a_logarithm_where_the_index_is_too_large(spark):
     assert got.total_return_index == float("inf") and abs(got.log_index - (np.log(100.0) + 1200 * np.log(2.0))) < 1e-9
 
 
+def test_contracts_are_chosen_from_chains_without_joining_them(spark):
+    draw = random.Random(5)
+    chain = [(draw.choice("ab"), f"P{k}", day(e := draw.randrange(20, 200, 30)).date(), draw.choice([None, *range(90, 110)]), day(e - draw.choice([30, 200])).date(), day(e - 1).date()) for k in range(120)]
+    chain = [(u, c, e, None if x is None else float(x), f, l) for u, c, e, x, f, l in chain]
+    asks = [(k, draw.choice("abc"), day(draw.randrange(200)).date(), draw.choice([None, 85.0, 100.0, 100.5, 101.3, 120.0])) for k in range(300)]
+    found = asof.select_contracts(spark.createDataFrame(asks, "decision_id int, underlying string, session date, midpoint double"), spark.createDataFrame(chain, "underlying string, symbol string, expiry date, strike double, first_session date, last_session date"))
+    got = {r.decision_id: (r.contract, r.expiry, r.strike) for r in found.collect()}
+    assert len(got) == len(asks)
+    for k, u, at, middle in asks:
+        fit = [(abs((e - at).days - 52), e, x is None, abs(x - middle) if x is not None and middle is not None else 0, x or 0, c, x) for v, c, e, x, f, l in chain if v == u and f <= at <= l and e > at]
+        assert got[k] == ((min(fit)[5], min(fit)[1], min(fit)[6]) if fit else (None, None, None))
+
+
 def test_bootstrap_has_the_moments_of_its_series(spark):
     n = 40
     values = np.random.default_rng(1).standard_normal((n, 2)).cumsum(axis=0)
