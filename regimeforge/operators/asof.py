@@ -80,23 +80,27 @@ def excursions(spans: DataFrame, bars: DataFrame, bucket: Column | None = None)
     Bars after the entry up to the exit count by their high and low; of the bar in which a stop was hit only the open
     and the stop price are known to lie in the holding time: the excursion is censored there.
 
-    Bars are cut into buckets of time (default: months). A span takes the extremes of the buckets that it covers whole
+    Bars are cut into buckets of time (default: months). A holding time takes the extremes of the buckets that it covers whole
     from a table of a row for each, and joins bars by symbol and bucket in its first and last one only, so the
-    rows joined do not grow with the holding time times bars. An entry price that is not positive gives nulls.
+    rows joined do not grow with the holding time times bars. Spans of one symbol with the same entry and exit look up once,
+    and each span joins what was found. An entry price that is not positive gives nulls.
     """
     cut = (lambda c: F.trunc(c, "month")) if bucket is None else bucket
+    key = ["symbol", "entry_ts", "exit_ts"]
     b = bars.select("symbol", "ts", "open", "high", "low", cut("ts").alias("_b"))
     whole = b.groupBy("symbol", "_b").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.count("*").alias("n"))
-    s = spans.withColumns({"_from": cut("entry_ts"), "_to": cut("exit_ts")})
-    s = s.select("trade_id", "symbol", "entry_ts", "exit_ts", "stop_price", "_from", "_to")
+    s = spans.select(*key).where("entry_ts < exit_ts").distinct().withColumns({"_from": cut("entry_ts"), "_to": cut("exit_ts")})
     months = s.withColumn("_b", F.explode(F.sequence("_from", "_to", F.expr("interval 1 month")))) if bucket is None else s.withColumn("_b", F.explode(F.sequence("_from", "_to")))
     split = lambda: F.pmod(F.xxhash64("symbol", "_b"), F.lit(1024)).alias("_s")
-    inner = months.where((F.col("_b") > F.col("_from")) & (F.col("_b") < F.col("_to"))).select("trade_id", "symbol", "_b", split()).join(whole.select("*", split()), ["symbol", "_b", "_s"]).select("trade_id", "high", "low", "n")
-    edge = months.where((F.col("_b") == F.col("_from")) | (F.col("_b") == F.col("_to"))).select("*", split()).join(b.select("*", split()), ["symbol", "_b", "_s"]).where((F.col("ts") > F.col("entry_ts")) & (F.col("ts") <= F.col("exit_ts")))
-    stopped = (F.col("ts") == F.col("exit_ts")) & F.col("stop_price").isNotNull()
-    edge = edge.select("trade_id", F.when(stopped, F.greatest("open", "stop_price")).otherwise(F.col("high")).alias("high"), F.when(stopped, F.least("open", "stop_price")).otherwise(F.col("low")).alias("low"), F.lit(1).cast("long").alias("n"))
-    seen = inner.unionByName(edge).groupBy("trade_id").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n").alias("bars_held"))
-    out = spans.select("trade_id", "direction", "entry_price", "stop_price").join(seen, "trade_id", "left")
+    inner = months.where((F.col("_b") > F.col("_from")) & (F.col("_b") < F.col("_to"))).select(*key, "_b", split()).join(whole.select("*", split()), ["symbol", "_b", "_s"])
+    inner = inner.select(*key, "high", "low", "n", *(F.lit(None).cast("double").alias(f"_{c}") for c in ("open", "high", "low")), F.lit(0).alias("_last"))
+    edge = months.where((F.col("_b") == F.col("_from")) | (F.col("_b") == F.col("_to"))).select(*key, "_b", split()).join(b.select("*", split()), ["symbol", "_b", "_s"]).where((F.col("ts") > F.col("entry_ts")) & (F.col("ts") <= F.col("exit_ts")))
+    last = F.col("ts") == F.col("exit_ts")  # this bar's extremes depend on the stop
+    edge = edge.select(*key, *(F.when(~last, F.col(c)).alias(c) for c in ("high", "low")), F.lit(1).cast("long").alias("n"), *(F.when(last, F.col(c)).alias(f"_{c}") for c in ("open", "high", "low")), last.cast("int").alias("_last"))
+    seen = inner.unionByName(edge).groupBy(*key).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n").alias("bars_held"), F.max("_open").alias("_open"), F.max("_high").alias("_high"), F.min("_low").alias("_low"), F.max("_last").alias("_last"))
+    out = spans.select("trade_id", *key, "direction", "entry_price", "stop_price").join(seen, key, "left")
+    stopped = (F.col("_last") == 1) & F.col("stop_price").isNotNull()
+    out = out.withColumns({"high": F.greatest("high", F.when(stopped, F.greatest("_open", "stop_price")).otherwise(F.col("_high"))), "low": F.least("low", F.when(stopped, F.least("_open", "stop_price")).otherwise(F.col("_low")))})
     p = F.when(F.col("entry_price") > 0, F.col("entry_price"))
     up, down = (F.col("high") - p) / p, (F.col("low") - p) / p
     worst, best = F.when(F.col("direction") > 0, down).otherwise(-up), F.when(F.col("direction") > 0, up).otherwise(-down)
