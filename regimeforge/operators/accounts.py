@@ -7,7 +7,7 @@ in the 38 digits that Spark has; what does not fit is a fault.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import store
@@ -59,34 +59,49 @@ def normalized(activities: DataFrame, instruments: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Events by id in a folder, one sub-folder for each import that was accepted.
+    """Events by id in a folder, in files by the hash of the id.
 
-    An import is all or nothing. It is rejected if a row has a fault, or if an id, in the ledger or twice in the
+    An import is all or nothing. It is rejected if a row has a fault or no id, or if an id, in the ledger or twice in the
     import, comes with other evidence than before; equal repeats add nothing, so an import can be repeated after any
-    failure. Rows are compared by hash joins on the id; only counts come back to the driver.
+    failure. Rows are compared by joins on the id; only counts come back to the driver. Rows that come from ``placed`` are not
+    exchanged again, neither to be compared nor to be added, and what is written is the new rows only.
     """
 
+    #: Files of the ledger, and of the tables that are to meet it without an exchange.
+    BUCKETS = 128
+
     def __init__(self, spark: SparkSession, path: str, schema) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
+        self.spark, self.schema = spark, schema
+        self.table = store.bucketed(spark, schema, path, "id", self.BUCKETS)
+
+    @classmethod
+    def placed(cls, rows: DataFrame, label: str, exchange: bool = True) -> DataFrame:
+        """``rows`` written in the same files as the ledger's ids and read back."""
+        spark = rows.sparkSession
+        name = store.bucketed(spark, rows.schema, store.fresh_path(spark, label), "id", cls.BUCKETS)
+        (rows.repartition(cls.BUCKETS, "id") if exchange else rows).write.insertInto(name)
+        return spark.table(name)
 
     def events(self) -> DataFrame:
-        if not store.exists(self.spark, self.path):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/*")
+        return self.spark.table(self.table)
 
     def load(self, name: str, rows: DataFrame) -> dict[str, int | bool | str]:
-        """Import ``rows`` (columns of the schema, id and faults among them) under a name of its own."""
+        """Import ``rows`` (columns of the schema, id and faults among them) under a name for the report."""
         evidence = F.struct(*(F.col(c) for c in self.schema.fieldNames()))
-        own = rows.groupBy("id").agg(F.count("*").alias("n"), F.min(evidence).alias("body"), F.max(evidence).alias("last"), F.count_if(F.coalesce("faults", F.lit("")) != "").alias("bad"))
+        own = rows.groupBy("id").agg(F.count("*").alias("n"), F.min(evidence).alias("body"), F.max(evidence).alias("last"), F.count_if((F.coalesce("faults", F.lit("")) != "") | F.col("id").isNull()).alias("bad"))
         old = self.events().select("id", evidence.alias("old"))
-        own = store.stored(own.join(old, own["id"].eqNullSafe(old["id"]), "left").drop(old["id"]), "import")
+        own = own.join(old, own["id"] == old["id"], "left").drop(old["id"])
         differs = ~(F.col("body").eqNullSafe(F.col("last")) & (F.col("old").isNull() | F.col("body").eqNullSafe(F.col("old"))))
-        seen = own.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("old").isNull()).alias("new"), F.count_if(differs).alias("conflicts"), F.coalesce(F.sum("bad"), F.lit(0)).alias("faulty")
-        ).first()
+        counts = Observation()
+        own = own.observe(
+            counts, F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("old").isNull()).alias("new"), F.count_if(differs).alias("conflicts"), F.coalesce(F.sum("bad"), F.lit(0)).alias("faulty")
+        )
+        # counted and set aside in one pass, so that what is added is what was judged
+        fresh = self.placed(own.where("old is null").select("id", *(F.col(f"body.{c}") for c in self.schema.fieldNames() if c != "id")), "import", exchange=False)
+        seen = counts.get
         accepted = seen["conflicts"] == 0 and seen["faulty"] == 0
-        if accepted:
-            own.where("old is null").select("body.*").write.mode("overwrite").parquet(f"{self.path}/import={name}")
+        if accepted and seen["new"]:
+            fresh.select(*self.schema.fieldNames()).write.insertInto(self.table)
         return {"batch": name, "rows": seen["rows"], "new_events": seen["new"] if accepted else 0, "conflicts": seen["conflicts"], "faulty": seen["faulty"], "accepted": accepted}
 
 

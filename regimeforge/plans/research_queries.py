@@ -91,7 +91,7 @@ _IMPORTS = (("a", 1995, 1996, False, 0), ("b", 1996, 1997, False, 0), ("c", 1997
 
 
 def _imports(s, d):
-    fills = store.stored(_normalized(s, d).where("kind = 'FILL'"), "fills")
+    fills = accounts.Ledger.placed(_normalized(s, d).where("kind = 'FILL'"), "fills")
     ledger = accounts.Ledger(s, store.fresh_path(s, "ledger"), fills.schema)
     made = []
     for name, lo, hi, faulty, more in _IMPORTS:

@@ -32,6 +32,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, schema, path: str, key: str, buckets: int) -> str:
+    """The name of a table over ``path``, new or with files that it wrote before, whose rows lie in files by the hash of ``key``:
+    groups and joins by the key of tables with as many buckets need no exchange. Other sessions give the path another name."""
+    name = f"regimeforge_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"create table {name} ({columns}) using parquet options (compression 'zstd') clustered by (`{key}`) into {buckets} buckets location '{path}'")
+    return name
+
+
 def exists(spark: SparkSession, name: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

@@ -120,6 +120,18 @@ def test_imports_are_whole_and_can_be_repeated(spark):
     assert sorted(r.id for r in ledger.events().collect()) == ["1", "2", "3"]
 
 
+def test_an_import_under_an_old_name_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(accounts.Ledger, "BUCKETS", 2)
+    inst, path = spark.createDataFrame([("X", "100")], "symbol string, multiplier string"), store.fresh_path(spark, "ledger")
+    rows = lambda *r: accounts.normalized(acts(spark, r), inst)
+    ledger = accounts.Ledger(spark, path, rows(fill("1")).schema)
+    assert ledger.load("a", rows(fill("1"), fill("2")))["new_events"] == 2
+    assert ledger.load("a", rows(fill("1")))["new_events"] == 0 and ledger.events().count() == 2
+    again = accounts.Ledger(spark, path, ledger.schema)
+    assert again.load("b", accounts.Ledger.placed(rows(fill("2"), fill("3")), "rows"))["new_events"] == 1
+    assert sorted(r.id for r in again.events().collect()) == ["1", "2", "3"]
+
+
 def test_cash_and_positions_reconcile(spark):
     inst = spark.createDataFrame([("X", "100")], "symbol string, multiplier string")
     events = accounts.normalized(acts(spark, [fill("1"), fill("2", side="sell", qty="0.5"), cash("3", "CSD", "100")]), inst)
@@ -248,6 +260,12 @@ def test_total_return_has_a_logarithm_where_the_index_is_too_large(spark):
     assert got.total_return_index == float("inf") and abs(got.log_index - (np.log(100.0) + 1200 * np.log(2.0))) < 1e-9
 
 
+def test_a_span_that_ends_before_it_begins_holds_no_bar(spark):
+    bars = spark.createDataFrame([("s", day(k), 1.0, 2.0, 0.5) for k in range(90)], "symbol string, ts timestamp_ntz, open double, high double, low double")
+    span = spark.createDataFrame([(1, "s", 1, day(80), day(2), 1.0, None), (2, "s", 1, None, day(2), 1.0, 0.9)], "trade_id int, symbol string, direction int, entry_ts timestamp_ntz, exit_ts timestamp_ntz, entry_price double, stop_price double")
+    assert sorted(map(tuple, asof.excursions(span, bars).collect())) == [(1, 0, 0.0, 0.0, False), (2, 0, 0.0, 0.0, True)]
+
+
 def test_contracts_are_chosen_from_chains_without_joining_them(spark):
     draw = random.Random(5)
     chain = [(draw.choice("ab"), f"P{k}", day(e := draw.randrange(20, 200, 30)).date(), draw.choice([None, *range(90, 110)]), day(e - draw.choice([30, 200])).date(), day(e - 1).date()) for k in range(120)]
