@@ -50,6 +50,12 @@ def decision_hash(ident: Column, decided_at: Column, amends: Column, inputs: Col
     return F.sha2(F.concat_ws("|", ident.cast("string"), decided_at.cast("string"), F.coalesce(amends.cast("string"), F.lit("-")), inputs), 256)
 
 
+def packed(sha256: Column) -> Column:
+    """A hash in 32 bytes; a text that is none stays a longer text, so different texts stay different."""
+    hex_ = (F.length(sha256) == 64) & ~sha256.rlike("[^0-9a-f]")
+    return F.when(hex_, F.unhex(sha256)).otherwise(F.concat(F.lit("=" * 33), sha256).cast("binary"))
+
+
 def audited(decisions: DataFrame, inputs: DataFrame, evidence: DataFrame, links: DataFrame) -> DataFrame:
     """(id, root, depth, faults, ancestors_sound): everything that is wrong with each decision, and with those that it amends.
 
@@ -58,21 +64,29 @@ def audited(decisions: DataFrame, inputs: DataFrame, evidence: DataFrame, links:
     come as a row with that id and the fault ``orphan_input``; orphan links likewise. Each decision's inputs, few, are
     gathered by an aggregate; evidence used by many is joined by its hash. Null ids are left out.
     """
-    sound = evidence.groupBy("sha256").agg(F.min("event_at").alias("event_at"), F.max("received_at").alias("received_at"), F.min(input_hash(F.col("event_at"), F.col("received_at"), F.col("payload")) == F.col("sha256")).alias("_ok"))
     split = lambda c: F.pmod(F.xxhash64(c), F.lit(1024)).alias("_s")
-    used = inputs.where("decision_id is not null").select("decision_id", "ordinal", F.col("input_sha256").alias("sha256"), split("input_sha256")).join(sound.select("*", split("sha256")), ["sha256", "_s"], "left")
-    used = used.groupBy(F.col("decision_id").alias("id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "sha256"))), lambda x: x["sha256"]), ",").alias("_in"), F.count_if(F.col("_ok").isNull()).alias("_lost"),
-        F.count_if(~F.col("_ok")).alias("_forged"), F.count_if(F.col("event_at") > F.col("received_at")).alias("_odd"), F.max("received_at").alias("_latest"),
-    )
-    done = links.where("decision_id is not null").groupBy(F.col("decision_id").alias("id")).agg(F.min("observed_at").alias("_observed"))
-    d = decisions.where("id is not null").join(used, "id", "full").join(done, "id", "full")
+    ok = input_hash(F.col("event_at"), F.col("received_at"), F.col("payload")) == F.col("sha256")
+    sound = evidence.groupBy(packed(F.col("sha256")).alias("h")).agg(F.min("event_at").alias("_first"), F.max("received_at").alias("_last"), F.min(ok).alias("_ok"))
+    sound = sound.select("h", split("h"), "_ok", (F.col("_first") > F.col("_last")).alias("_odd"), F.col("_last").alias("received_at"))
+    own = inputs.where("decision_id is not null").withColumnRenamed("decision_id", "id")
+    # the hashes are listed where the inputs lie; what moves to the evidence and back is 32 bytes, then flags
+    listed = own.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "input_sha256"))), lambda x: x["input_sha256"]), ",").alias("_in"))
+    digests = own.select("id", packed(F.col("input_sha256")).alias("h"))
+    met = digests.select("id", "h", split("h")).join(sound, ["h", "_s"], "left")
+    seen = met.select("id", F.col("_ok").isNull().alias("_lost"), (~F.col("_ok")).alias("_forged"), "_odd", "received_at", F.lit(None).cast(links.schema["observed_at"].dataType).alias("observed_at"))
+    none = lambda c: F.lit(None).cast(seen.schema[c].dataType).alias(c)
+    acted = links.where("decision_id is not null").select(F.col("decision_id").alias("id"), *map(none, ("_lost", "_forged", "_odd", "received_at")), "observed_at")
+    facts = seen.unionByName(acted).groupBy("id").agg(*(F.bool_or(c).alias(c) for c in ("_lost", "_forged", "_odd")), F.max("received_at").alias("_latest"), F.min("observed_at").alias("_observed"))
+    there = F.col("sha256").isNotNull()
+    hashed = decision_hash(F.col("id"), F.col("decided_at"), F.col("amends"), F.coalesce("_in", F.lit(""))) == F.col("sha256")
+    d = decisions.where("id is not null").join(listed, "id", "full")
+    d = d.select("id", "decided_at", "amends", there.alias("_there"), F.col("_in").isNotNull().alias("_used"), hashed.alias("_hashed")).join(facts, "id", "full")
     parent = decisions.where("id is not null").select(F.col("id").alias("amends"), F.col("decided_at").alias("_pd"), split("id"))
     d = d.withColumn("_s", F.pmod(F.xxhash64("amends"), F.lit(1024))).join(parent, ["amends", "_s"], "left").drop("_s")
-    there = F.col("sha256").isNotNull()
+    there, used = F.coalesce("_there", F.lit(False)), F.coalesce("_used", F.lit(False))
     rules = (
-        (~there & F.col("_in").isNotNull(), "orphan_input"), (~there & F.col("_observed").isNotNull(), "orphan_link"), (there & F.col("_in").isNull(), "no_input"), (there & (F.col("_lost") > 0), "missing_evidence"), (F.col("_forged") > 0, "evidence_hash"),
-        (there & ((F.col("_odd") > 0) | (F.col("_latest") > F.col("decided_at"))), "noncausal_evidence"), (there & (decision_hash(F.col("id"), F.col("decided_at"), F.col("amends"), F.coalesce("_in", F.lit(""))) != F.col("sha256")), "decision_hash"),
+        (~there & used, "orphan_input"), (~there & F.col("_observed").isNotNull(), "orphan_link"), (there & ~used, "no_input"), (there & F.col("_lost"), "missing_evidence"), (F.col("_forged"), "evidence_hash"),
+        (there & (F.coalesce("_odd", F.lit(False)) | (F.col("_latest") > F.col("decided_at"))), "noncausal_evidence"), (there & ~F.col("_hashed"), "decision_hash"),
         (F.col("amends").isNotNull() & F.col("_pd").isNull(), "missing_parent"), (F.col("_pd") > F.col("decided_at"), "noncausal_parent"), (there & (F.col("_observed") < F.col("decided_at")), "link_precedes_decision"),
     )
     d = store.stored(d.select("id", "amends", there.alias("_there"), F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), name) for rule, name in rules))).alias("faults")), "decisions")

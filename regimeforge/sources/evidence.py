@@ -83,16 +83,20 @@ def decision_ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     mine = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     amends = F.when(F.col("o_totalprice") < 5000, F.lead("o_orderkey").over(mine)).when(F.col("o_totalprice") < 8000, F.col("o_orderkey") + 1_000_000_000_000).when(F.col("o_orderstatus") != "O", F.lag("o_orderkey").over(mine))
     o = o.withColumn("amends", amends)
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax", "l_discount", "l_extendedprice", F.col("l_quantity").cast("int").alias("q"))
-    l = l.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey", "left")
-    at = F.coalesce("o_orderdate", F.lit("1995-01-01").cast("timestamp_ntz"))
-    l = l.withColumn("event_at", F.timestamp_add("DAY", -F.col("q"), at)).withColumn("received_at", F.timestamp_add("DAY", F.col("l_linenumber").cast("int"), F.col("event_at"))).withColumn("payload", F.concat_ws("/", "l_partkey", "l_suppkey"))
-    l = l.withColumn("sha", ancestry.input_hash(F.col("event_at"), F.col("received_at"), F.col("payload")))
-    ordinal = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    inputs = l.select(F.col("l_orderkey").alias("decision_id"), ordinal.alias("ordinal"), F.col("sha").alias("input_sha256"))
-    kept = l.where("not (l_tax = 0 and l_discount = 0)")
-    evidence = kept.select(F.col("sha").alias("sha256"), "event_at", "received_at", F.when(F.col("l_tax") > 0.075, F.concat("payload", F.lit("x"))).otherwise(F.col("payload")).alias("payload")).distinct()
-    listed = inputs.groupBy(F.col("decision_id").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "input_sha256"))), lambda x: x["input_sha256"]), ",").alias("all"))
+    columns = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("q"), "l_tax", "l_discount")
+    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 0").select("l_orderkey", F.struct(*columns).alias("x"))
+    # lines are gathered by order once; the inputs, the evidence and the hashes of decisions all come from that exchange
+    by_order = l.where("l_orderkey is not null").repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("lines"))
+    by_order = by_order.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey", "left")
+    at, x = F.coalesce("o_orderdate", F.lit("1995-01-01").cast("timestamp_ntz")), F.col("x")
+    event_at = F.timestamp_add("DAY", -x["q"], at)
+    received_at = F.timestamp_add("DAY", x["l_linenumber"].cast("int"), event_at)
+    payload = F.concat_ws("/", x["l_partkey"], x["l_suppkey"])
+    sha = ancestry.input_hash(event_at, received_at, payload)
+    inputs = by_order.select(F.col("l_orderkey").alias("decision_id"), "o_orderdate", F.posexplode("lines").alias("ordinal", "x")).select("decision_id", "ordinal", sha.alias("input_sha256"))
+    each = by_order.select("o_orderdate", F.explode("lines").alias("x")).unionByName(l.where("l_orderkey is null").select(F.lit(None).cast("timestamp_ntz").alias("o_orderdate"), "x"))
+    evidence = each.where("not (x.l_tax = 0 and x.l_discount = 0)").select(sha.alias("sha256"), event_at.alias("event_at"), received_at.alias("received_at"), F.when(x["l_tax"] > 0.075, F.concat(payload, F.lit("x"))).otherwise(payload).alias("payload"))
+    listed = inputs.groupBy(F.col("decision_id").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "input_sha256"))), lambda y: y["input_sha256"]), ",").alias("all"))
     d = o.join(listed, "o_orderkey", "left")
     sha = ancestry.decision_hash(F.col("o_orderkey"), F.col("o_orderdate"), F.col("amends"), F.coalesce("all", F.lit("")))
     decisions = d.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("decided_at"), "amends", F.when(F.col("o_totalprice") > 490_000, F.reverse(sha)).otherwise(sha).alias("sha256"))
