@@ -110,13 +110,13 @@ def gates(candidates: DataFrame, c: SignalConfig = DEFAULT) -> DataFrame:
 
 def gate_breakdown(candidates: DataFrame, group: str = "asset_class", names: tuple[str, ...] = GATES) -> DataFrame:
     """The ordered funnel of each group: what every gate rejects of what the gates before it left."""
-    still, parts = F.lit(True), []
+    first = F.coalesce(*(F.when(~F.coalesce(F.col(name), F.lit(False)), k) for k, name in enumerate(names)), F.lit(len(names)))
+    stops = candidates.select(group, first.alias("_k")).groupBy(group).agg(F.count("*").alias("candidate_count"), *(F.count_if(F.col("_k") == k).alias(f"_{k}") for k in range(len(names))))
+    left, parts = F.col("candidate_count"), []
     for k, name in enumerate(names):
-        ok = F.coalesce(F.col(name), F.lit(False))
-        parts.append(F.struct(F.lit(k).alias("gate_order"), F.lit(name).alias("gate_name"), (still & ~ok).alias("rejected"), (still & ok).alias("left")))
-        still = still & ok
-    rows = candidates.select(group, F.inline(F.array(*parts)))
-    out = rows.groupBy(group, "gate_order", "gate_name").agg(F.count("*").alias("candidate_count"), F.count_if("rejected").alias("rejected_count"), F.count_if("left").alias("remaining_count"))
+        left = left - F.col(f"_{k}")
+        parts.append(F.struct(F.lit(k).alias("gate_order"), F.lit(name).alias("gate_name"), F.col(f"_{k}").alias("rejected_count"), left.alias("remaining_count")))
+    out = stops.select(group, "candidate_count", F.inline(F.array(*parts)))
     at = F.col("rejected_count") + F.col("remaining_count")
     return out.withColumns({
         "rejection_rate": F.col("rejected_count") / F.col("candidate_count"),
