@@ -85,7 +85,8 @@ class GatePolicy:
 def quality_tables(past: DataFrame, least: int = 1) -> dict[str, DataFrame]:
     """The three gate tables, each keyed by (asset_class, key): of states, transition setups and families."""
     keys = {"state": "entry_state", "transition": "entry_transition_setup", "family": "entry_state_family"}
-    return {kind: trades.edge_quality(past, "asset_class", key, least=least).withColumnRenamed(key, "key") for kind, key in keys.items()}
+    tables = trades.edge_tables(past, [("asset_class", key) for key in keys.values()], least)
+    return {kind: table.withColumnRenamed(key, "key") for (kind, key), table in zip(keys.items(), tables, strict=True)}
 
 
 def ranked_report(table: DataFrame, n: int = 20) -> DataFrame:
@@ -101,7 +102,8 @@ _RECORD = ("quality_score", "quality_percentile", "quality_rank", "quality_group
 
 def with_records(candidates: DataFrame, tables: dict[str, DataFrame | None]) -> DataFrame:
     """Candidates with their records, as ``<kind>_<field>``, and ``<kind>_found``. A table of None is absent;
-    a null, empty or "None" key finds nothing."""
+    a null, empty or "None" key finds nothing. Tables have a row for each state, setup or family and are broadcast:
+    there are few keys, so an exchange by them would put the candidates into as few tasks."""
     out = candidates
     for kind, key in (("state", "state"), ("transition", "transition_setup"), ("family", "state_family")):
         table = tables.get(kind)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import nullif
+from ..sources import store
 
 #: Left-closed edges of the excursion buckets.
 EXCURSION_EDGES = (0.0, 0.005, 0.01, 0.02, 0.03)
@@ -45,26 +46,43 @@ def excursions(trades: DataFrame, value: Column) -> DataFrame:
     return all_.withColumn("share_of_trades", F.col("trade_count") / nullif(F.sum("trade_count").over(Window.partitionBy()).cast("double")))
 
 
-def drawdown(trades: DataFrame, *keys: str, day: str = "exit_ts", order: str = "trade_order") -> DataFrame:
-    """(keys, max_drawdown) of compounded returns in trade order, with the peak at 1 or more.
+def day_falls(trades: DataFrame, sets: list[tuple[str, ...]], day: str = "exit_ts", order: str = "trade_order") -> DataFrame:
+    """What each day does to the compounded returns of each set of keys, for ``drawdown_of``: a row for each day and
+    combination of all keys, with the sum of logs, and for each set its highest and lowest point in the day and its
+    longest way down from a point of the day.
 
-    Sums and peaks of logs combine over days, so no task holds a whole group: each day of a group is sorted
-    for itself, the days' totals are accumulated, and the days' starts are joined back. Returns of -1 or
-    less lose all there is.
+    All sets come from one exchange by day, so no task holds a whole group; as every task sorts for each set, the
+    partitions of the session are not put together into fewer. Returns of -1 or less lose all there is.
     """
     log = F.when(F.col("return_pct") > -1, F.log1p("return_pct")).otherwise(-745.0)
-    day_key = [*keys, day]
-    w = Window.partitionBy(*day_key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.select(*day_key, order, log.alias("_l")).withColumn("_c", F.sum("_l").over(w))
-    rows = rows.withColumn("_m", F.max("_c").over(w))
-    days = rows.groupBy(*day_key).agg(F.sum("_l").alias("_total"), F.max("_c").alias("_top"))
-    past = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    names = list(dict.fromkeys(k for keys in sets for k in keys))
+    # the place in the day stands for the order, so that the sorts by keys carry a number
+    along = F.row_number().over(Window.partitionBy("_d").orderBy("_o"))
+    partitions = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = trades.select(*names, F.col(day).alias("_d"), F.col(order).alias("_o"), log.alias("_l")).repartition(partitions, "_d").withColumn("_n", along).drop("_o")
+    parts = []
+    for i, keys in enumerate(sets):
+        w = Window.partitionBy("_d", *keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(f"_c{i}", F.sum("_l").over(w))
+        rows = rows.withColumn(f"_m{i}", F.max(f"_c{i}").over(w) - F.col(f"_c{i}"))
+        parts += [F.max(f"_c{i}").alias(f"_top{i}"), F.min(f"_c{i}").alias(f"_low{i}"), F.max(f"_m{i}").alias(f"_dip{i}")]
+    return rows.groupBy("_d", *names).agg(F.sum("_l").alias("_l"), *parts)
+
+
+def drawdown_of(falls: DataFrame, sets: list[tuple[str, ...]], i: int) -> DataFrame:
+    """(keys, max_drawdown) of the set of that place: the falls of days, and those from the peak of the days before."""
+    keys = sets[i]
+    days = falls.groupBy(*keys, "_d").agg(F.sum("_l").alias("_total"), F.max(f"_top{i}").alias("_top"), F.min(f"_low{i}").alias("_low"), F.max(f"_dip{i}").alias("_dip"))
+    past = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_before", F.coalesce(F.sum("_total").over(past), F.lit(0.0)))
     days = days.withColumn("_peak", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("_before") + F.col("_top")).over(past), F.lit(0.0))))
-    joined = rows.join(days.select(*day_key, "_before", "_peak"), day_key)
-    at = F.col("_before") + F.col("_c")
-    fall = 1 - F.exp(at - F.greatest("_peak", F.col("_before") + F.col("_m")))
-    return joined.groupBy(*keys).agg(F.max(fall).alias("max_drawdown"))
+    fall = F.greatest(1 - F.exp(F.col("_before") + F.col("_low") - F.col("_peak")), 1 - F.exp(-F.col("_dip")))
+    return days.groupBy(*keys).agg(F.max(fall).alias("max_drawdown"))
+
+
+def drawdown(trades: DataFrame, *keys: str, day: str = "exit_ts", order: str = "trade_order") -> DataFrame:
+    """(keys, max_drawdown) of compounded returns in trade order, with the peak at 1 or more."""
+    return drawdown_of(day_falls(trades, [keys], day, order), [keys], 0)
 
 
 def _normalised(x: Column) -> Column:
@@ -79,18 +97,42 @@ def _blend(*parts: tuple[Column, float]) -> Column:
 
 
 def edge_quality(trades: DataFrame, *keys: str, least: int = 1, fold: str = "fold_id") -> DataFrame:
-    """Quality and consistency scores of each group, with dense ranks and percentiles among the groups
-    that share all keys but the last. The table of groups is what the windows range over."""
+    """The edge table of one set of keys, see ``edge_tables``."""
+    return edge_tables(trades, [keys], least, fold)[0]
+
+
+def edge_tables(trades: DataFrame, sets: list[tuple[str, ...]], least: int = 1, fold: str = "fold_id") -> list[DataFrame]:
+    """For each set of keys, quality and consistency scores of each group, with dense ranks and percentiles among the groups
+    that share all keys but the last. The table of groups is what the windows range over.
+
+    The trades are read twice for all sets together, for what their days do and for their moments; both are aggregates, which
+    are written to the shared folder, and the tables come from these.
+    """
     r = F.col("return_pct")
-    ratio = lambda: F.coalesce(F.avg(r) / nullif(F.stddev_samp(r)), F.lit(0.0))
-    s = trades.groupBy(*keys).agg(F.count("*").alias("sample_size"), F.avg(r).alias("expectancy"), ratio().alias("out_of_sample_sharpe"), F.avg((r > 0).cast("double")).alias("win_rate"))
-    folds = trades.groupBy(*keys, fold).agg(F.avg(r).alias("e"), ratio().alias("s"))
+    sharpe = F.coalesce(F.avg(r) / nullif(F.stddev_samp(r)), F.lit(0.0))
+    names = [*dict.fromkeys(k for keys in sets for k in keys), fold]
+    number = lambda keys: sum(1 << (len(names) - 1 - at) for at, name in enumerate(names) if name not in keys)
+    moments = trades.groupingSets([[F.col(k) for k in part] for keys in sets for part in ((*keys, fold), keys)], *names).agg(
+        F.grouping_id().alias("_g"), F.count("*").alias("sample_size"), F.avg(r).alias("expectancy"), sharpe.alias("out_of_sample_sharpe"), F.avg((r > 0).cast("double")).alias("win_rate")
+    )
+    moments = store.stored(moments, "moments")
+    with_whole = [(), *sets]
+    falls = store.stored(day_falls(trades, with_whole), "falls")
+    whole = drawdown_of(falls, with_whole, 0).withColumnRenamed("max_drawdown", "_whole")
+    out = []
+    for at, keys in enumerate(sets, 1):
+        s = moments.where(F.col("_g") == number(keys)).select(*keys, "sample_size", "expectancy", "out_of_sample_sharpe", "win_rate")
+        folds = moments.where(F.col("_g") == number((*keys, fold))).select(*keys, fold, F.col("expectancy").alias("e"), F.col("out_of_sample_sharpe").alias("s"))
+        out.append(_scored(s, folds, drawdown_of(falls, with_whole, at), whole, keys, least, fold))
+    return out
+
+
+def _scored(s: DataFrame, folds: DataFrame, falls: DataFrame, whole: DataFrame, keys: tuple[str, ...], least: int, fold: str) -> DataFrame:
     steady = folds.groupBy(*keys).agg(
-        F.countDistinct(fold).alias("active_fold_count"), F.avg((F.col("e") > 0).cast("double")).alias("positive_fold_fraction"),
+        F.count(fold).alias("active_fold_count"), F.avg((F.col("e") > 0).cast("double")).alias("positive_fold_fraction"),
         F.coalesce(F.var_samp("e"), F.lit(0.0)).alias("expectancy_variance"), F.coalesce(F.var_samp("s"), F.lit(0.0)).alias("sharpe_variance"),
     )
-    whole = drawdown(trades).withColumnRenamed("max_drawdown", "_whole")
-    s = s.join(steady, list(keys)).join(drawdown(trades, *keys), list(keys)).crossJoin(F.broadcast(whole))  # one row
+    s = s.join(steady, list(keys)).join(falls, list(keys)).crossJoin(F.broadcast(whole))  # one row
     s = s.withColumn("max_drawdown_contribution", F.when(F.col("_whole") > 0, F.col("max_drawdown") / nullif(F.col("_whole"))).otherwise(0.0)).where(F.col("sample_size") >= least).drop("_whole")
     c = lambda n: F.col(n).cast("double")
     s = s.withColumn("consistency_score", _blend((c("active_fold_count"), 1), (c("positive_fold_fraction"), 1), (-c("expectancy_variance"), 1), (-c("sharpe_variance"), 1)))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from regimeforge.operators import gates, signals
 from regimeforge.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -38,3 +39,23 @@ def large(spark):
 def test_audit_of_decisions_moves_hashes_once_each_way(large):
     shuffled, _ = measured(large, lambda: run(large, "lg_decisions"))
     assert shuffled / LINES < 350
+
+
+def test_gates_read_the_trades_twice_and_leave_candidates_in_place(large):
+    shuffled, read = measured(large, lambda: run(large, "sg_component_gate"))
+    assert shuffled / LINES < 90 and read / LINES < 9
+
+
+def test_funnel_counts_before_it_lists_gates(spark):
+    rows = spark.createDataFrame([("a", True, None), ("a", True, True), ("b", False, True)], "asset_class string, x boolean, y boolean")
+    found = signals.gate_breakdown(rows, "asset_class", ("x", "y"))
+    got = {(r.asset_class, r.gate_name): (r.candidate_count, r.rejected_count, r.remaining_count) for r in found.collect()}
+    assert got == {("a", "x"): (2, 0, 2), ("a", "y"): (2, 1, 1), ("b", "x"): (1, 1, 0), ("b", "y"): (1, 0, 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_hard_filters_count_in_one_pass(spark):
+    rows = spark.createDataFrame([("a", True, None, None), ("a", False, "state", "s"), (None, False, "state", "s"), (None, None, "state", "s")], "g string, selection_passed boolean, hard_block_category string, hard_block_reason string")
+    got = {r.g: (r.blocked_count, r.candidate_count, r.blocked_rate) for r in gates.hard_filter_summary(rows, "g").collect()}
+    assert got == {"a": (1, 2, 0.5), None: (2, 2, 1.0)}
