@@ -112,7 +112,7 @@ def with_records(candidates: DataFrame, tables: dict[str, DataFrame | None]) ->
             continue
         side = table.select(F.col("asset_class").alias("_c"), F.col("key").alias("_k"), F.lit(True).alias(f"{kind}_found"), *(F.col(f).alias(f"{kind}_{f}") for f in _RECORD))
         usable = ~F.coalesce(F.col(key), F.lit("")).isin("", "None")
-        out = out.join(side, (out["asset_class"] == side["_c"]) & (out[key] == side["_k"]) & usable, "left").drop("_c", "_k")
+        out = out.join(F.broadcast(side), (out["asset_class"] == side["_c"]) & (out[key] == side["_k"]) & usable, "left").drop("_c", "_k")
         out = out.withColumn(f"{kind}_found", F.coalesce(f"{kind}_found", F.lit(False)))
     return out
 
@@ -294,9 +294,10 @@ def component_summary(candidates: DataFrame, metrics: tuple[str, ...], *groups:
 
 def hard_filter_summary(candidates: DataFrame, *groups: str) -> DataFrame:
     """How many candidates each reason blocks, and their share of the group's candidates."""
-    blocked = candidates.where(~F.coalesce("selection_passed", F.lit(False))).groupBy(*groups, "hard_block_category", "hard_block_reason").agg(F.count("*").alias("blocked_count"))
-    total = candidates.groupBy(*groups).agg(F.count("*").alias("candidate_count"))
-    return blocked.join(total, list(groups), "left").withColumn("blocked_rate", F.col("blocked_count") / F.greatest("candidate_count", F.lit(1)))
+    passed = F.coalesce("selection_passed", F.lit(False))
+    counts = candidates.groupBy(*groups, "hard_block_category", "hard_block_reason", passed.alias("_passed")).agg(F.count("*").alias("blocked_count"))
+    counts = counts.withColumn("candidate_count", F.sum("blocked_count").over(Window.partitionBy(*groups))).where("not _passed").drop("_passed")
+    return counts.withColumn("blocked_rate", F.col("blocked_count") / F.greatest("candidate_count", F.lit(1)))
 
 
 def family_summary(candidates: DataFrame, *groups: str) -> DataFrame:
