@@ -137,7 +137,8 @@ def signed_lots(fills: DataFrame, opening: DataFrame | None = None, bucket: Colu
     same columns. A fill against the position closes, and what is more than the position opens the other
     way. Since a position turns only when all of it is closed, the k-th unit opened in a direction is closed by
     the k-th unit closed in it. Both become ranges on one axis, and each point where a range begins pairs the lot and
-    the fill that hold there: one sorted pass, in proportion to fills however large they are. A busy symbol is split
+    the fill that hold there: one sorted pass, in proportion to fills however large they are. What was opened and closed and
+    the points are read more than once, so both are written to the shared folder. A busy symbol is split
     by ``bucket`` of time (default: day) and then by stretches of the axis. Fees are shared by quantity.
     """
     cut = F.to_date("ts") if bucket is None else bucket
@@ -152,14 +153,14 @@ def signed_lots(fills: DataFrame, opening: DataFrame | None = None, bucket: Colu
     lot = F.struct("id", "price", "fee", "multiplier", F.abs("_q").alias("all"))
     side = lambda role, units, sign: F.struct(F.lit(role).alias("role"), units.alias("units"), sign.cast("int").alias("dir"))
     rows = parts.select("symbol", "_b", *along, lot.alias("lot"), F.explode(F.array(side("close", closes, F.signum("_lo")), side("open", F.abs("_q") - closes, F.signum("_q")))).alias("x"))
-    rows = rows.select("symbol", "_b", *along, "lot", "x.*").where("units > 0")
-    rows = _before(rows, ["symbol", "dir", "role"], "_b", "units", along)
-
+    rows = store.stored(rows.select("symbol", "_b", *along, "lot", "x.*").where("units > 0"), "lots")
     axis = ["symbol", "dir"]
     # stretches of the axis as long as a mean fill of the symbol times 1000
     scale = rows.groupBy(*axis).agg(F.ceil(F.sum("units") / F.count("*") * 1000).alias("_width"), F.coalesce(F.sum(F.when(F.col("role") == "close", F.col("units"))), F.lit(0)).alias("_closed"))
+    rows = _before(rows, ["symbol", "dir", "role"], "_b", "units", along)
     held = F.struct(F.col("_hi").alias("hi"), F.col("_lo").alias("lo"), "lot")
     points = rows.join(scale, axis).select(*axis, F.floor(F.col("_lo") / F.col("_width")).alias("_k"), F.col("_lo").alias("at"), "role", "_closed", *(F.when(F.col("role") == r, held).alias(r) for r in ("open", "close")))
+    points = store.stored(points, "points")
     ends = points.groupBy(*axis, "_k").agg(*(F.max_by(r, F.when(F.col(r).isNotNull(), F.col("at"))).alias(f"_{r}") for r in ("open", "close")))
     past = Window.partitionBy(*axis).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*axis, "_k", *(F.last(f"_{r}", True).over(past).alias(f"_{r}") for r in ("open", "close")))
@@ -171,14 +172,15 @@ def signed_lots(fills: DataFrame, opening: DataFrame | None = None, bucket: Colu
     whole = lambda n: n.cast("decimal(15,0)")
     share = lambda of, n: (F.col(f"{of}.lot.fee").cast(PRICE) * (whole(n) / whole(F.col(f"{of}.lot.all")))).cast(MONEY)
     amount = lambda n: (n.cast("decimal(18,0)") / UNITS).cast(QUANTITY)
-    pairs = met.where("open is not null and close is not null").withColumn("_n", units).where("_n > 0")
     gain = (F.col("close.lot.price") - F.col("open.lot.price")).cast("decimal(15,6)")
-    gross = ((amount(F.col("_n")) * F.col("dir")).cast(QUANTITY) * gain * F.col("open.lot.multiplier").cast(MULTIPLIER)).cast(MONEY)
-    pairs = pairs.select("symbol", F.col("dir").alias("direction"), F.col("open.lot.id").alias("open_id"), F.col("close.lot.id").alias("close_id"), amount(F.col("_n")).alias("quantity"), gross.alias("gross"), (share("open", F.col("_n")) + share("close", F.col("_n"))).cast(MONEY).alias("fees"))
-    left = F.col("open.hi") - F.greatest("open.lo", "_closed")
-    rest = met.where("role = 'open'").withColumn("_n", left.cast("long")).where("_n > 0")
-    rest = rest.select("symbol", F.col("dir").alias("direction"), F.col("open.lot.id").alias("open_id"), F.lit(None).cast(fills.schema["id"].dataType).alias("close_id"), amount(F.col("_n")).alias("quantity"), F.lit(None).cast(MONEY).alias("gross"), share("open", F.col("_n")).alias("fees"))
-    return pairs.unionByName(rest).withColumn("net", (F.col("gross") - F.col("fees")).cast(MONEY))
+    gross = ((amount(units) * F.col("dir")).cast(QUANTITY) * gain * F.col("open.lot.multiplier").cast(MULTIPLIER)).cast(MONEY)
+    left = (F.col("open.hi") - F.greatest("open.lo", "_closed")).cast("long")
+    # a point is a pair, or where a lot opens its rest, or both: one pass gives either
+    result = lambda close_id, n, gross, fees: F.struct(close_id.cast(fills.schema["id"].dataType).alias("close_id"), amount(n).alias("quantity"), gross.cast(MONEY).alias("gross"), fees.cast(MONEY).alias("fees"))
+    pair = F.when(F.col("open").isNotNull() & F.col("close").isNotNull() & (units > 0), result(F.col("close.lot.id"), units, gross, share("open", units) + share("close", units)))
+    rest = F.when((F.col("role") == "open") & (left > 0), result(F.lit(None), left, F.lit(None), share("open", left)))
+    out = met.select("symbol", F.col("dir").alias("direction"), F.col("open.lot.id").alias("open_id"), F.explode(F.array_compact(F.array(pair, rest))).alias("x"))
+    return out.select("symbol", "direction", "open_id", "x.*").withColumn("net", (F.col("gross") - F.col("fees")).cast(MONEY))
 
 
 #: Loss in a session and from the high-water mark at which new risk stops.

@@ -59,3 +59,8 @@ def test_hard_filters_count_in_one_pass(spark):
     rows = spark.createDataFrame([("a", True, None, None), ("a", False, "state", "s"), (None, False, "state", "s"), (None, None, "state", "s")], "g string, selection_passed boolean, hard_block_category string, hard_block_reason string")
     got = {r.g: (r.blocked_count, r.candidate_count, r.blocked_rate) for r in gates.hard_filter_summary(rows, "g").collect()}
     assert got == {"a": (1, 2, 0.5), None: (2, 2, 1.0)}
+
+
+def test_signed_lots_are_evaluated_once(large):
+    shuffled, _ = measured(large, lambda: run(large, "lg_fifo_signed"))
+    assert shuffled / LINES < 400
