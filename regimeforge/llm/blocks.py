@@ -5,7 +5,7 @@ itself. Here each task cuts its share of the documents into *blocks* of bounded
 every distinct word or n-gram is kept once, so what travels is
 
 * to the count tables, which are partitioned by hash range: a block's distinct n-grams, sorted and
-  packed, with their counts;
+  packed, with their counts, as hashes or, of frequent words only, as numbers of these words;
 * back from them: one number for each of these n-grams, in the order in which they were sent.
 
 Memory is bounded by the block and by the hash range, whose number follows the corpus size. A block has a
@@ -20,7 +20,8 @@ that differs on the second read stops the job rather than give wrong results.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import struct
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,17 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Text of a block. A task holds one block at a time, with some ten times its size in arrays.
 BLOCK_BYTES = 4 << 20
 SLICE_ROWS = 256
 #: Distinct n-grams that one hash range takes on average.
 RANGE_ENTRIES = 3_000_000
+#: Bits of a frequent word's number, in the names of n-grams that have such words only.
+NUMBER_BITS = 16
+#: Text of each task in which frequent words are counted. Which words get numbers changes bytes, never a result.
+SAMPLE_BYTES = 1 << 20
 
 U64 = np.uint64
 
@@ -61,6 +67,27 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=U64)
 
 
+def pack_numbered(names: np.ndarray, words: int) -> bytes:
+    """Sorted ``names`` of n-grams of numbered words, without their hash range: the words' numbers place by
+    place, the first as differences, as the rest of a name says nothing that its hash range does not."""
+    if not len(names):
+        return b""
+    parts = [narrow((names >> U64(NUMBER_BITS * k)) & U64((1 << NUMBER_BITS) - 1)) for k in reversed(range(words))]
+    blobs = [pack(narrow(np.diff(parts[0], prepend=parts[0].dtype.type(0)))), *map(pack, parts[1:])]
+    return b"".join(struct.pack("<I", len(b)) + b for b in blobs)
+
+
+def unpack_numbered(blob: bytes) -> np.ndarray:
+    """The names without the bits of their hash range."""
+    out, at = np.empty(0, U64), 0
+    while at < len(blob):
+        size = struct.unpack_from("<I", blob, at)[0]
+        part = unpack(blob[at + 4 : at + 4 + size]).astype(U64)
+        out = out << U64(NUMBER_BITS) | part if at else np.cumsum(part, dtype=U64)
+        at += 4 + size
+    return out
+
+
 def narrow(values: np.ndarray) -> np.ndarray:
     """The same non-negative values in the least unsigned type that holds them."""
     top = int(values.max()) if len(values) else 0
@@ -153,6 +180,53 @@ def shingle_sets(hashes: np.ndarray, slots: np.ndarray, lens: np.ndarray, n: int
     return h[new], of[new]
 
 
+def frequent_words(docs: DataFrame, most: int = 1 << NUMBER_BITS) -> tuple[int, np.ndarray]:
+    """(words of all texts of ``docs`` (id, text), hashes of ``most`` frequent words at most, most frequent first).
+
+    All texts are read for the first; the second is counted in the first megabyte of each task.
+    """
+
+    def measure(batches):
+        size = total = 0
+        counts: Counter[bytes] = Counter()
+        for batch in batches:
+            for t in batch.column(1).to_pylist():
+                words = words_of(t or "", False)
+                total += len(words)
+                if size < SAMPLE_BYTES:
+                    counts.update(words)
+                    size += len(t or "")
+        hashes = [None, *np.fromiter(map(xxhash.xxh3_64_intdigest, counts), U64, len(counts)).view(np.int64).tolist()]
+        yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array([total, *counts.values()], pa.int64())], ["word", "n"])
+
+    got = docs.mapInArrow(measure, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(1 + most).toArrow()
+    if not got.num_rows:
+        return 0, np.empty(0, U64)
+    return got["n"][0].as_py(), got["word"].slice(1).to_numpy().astype(np.int64).view(U64)
+
+
+def ngram_names(hashes: np.ndarray, slots: np.ndarray, lens: np.ndarray, n: int, numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, whether it is made of numbers, index of its text) of every n-gram within one text, in order.
+
+    ``numbers`` has the number of each distinct word, -1 for none. An n-gram of numbered words is named by
+    them, after the ``bits`` of a hash range; any other by its hash. So the two kinds are tables of their own.
+    """
+    names, of = ngram_hashes(hashes, slots, lens, n)
+    if bits + n * NUMBER_BITS > 64:
+        return names, np.zeros(len(names), bool), of
+    word = numbers[slots]
+    at = np.flatnonzero(np.arange(len(word)) + n <= np.repeat(np.cumsum(lens), lens))
+    known = np.ones(len(at), bool)
+    key = np.zeros(len(at), U64)
+    for j in range(n):
+        part = word[at + j]
+        known &= part >= 0
+        key = key << U64(NUMBER_BITS) | part.astype(U64)
+    key = key[known]
+    names[known] = (mix(key) >> U64(64 - bits)) << U64(64 - bits) | key if bits else key
+    return names, known, of
+
+
 def range_bits(spark_partitions: int, entries: int) -> int:
     """A hash range is named by the first bits of the hash. How many: by size, and enough ranges to keep
     all tasks busy."""
@@ -170,8 +244,8 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 BLOCK_SCHEMA = "block long, ids array<long>, lens binary, slots binary, hashes binary"
-SENT_SCHEMA = "range long, block long, check long, grams array<binary>, counts array<binary>"
-BACK_SCHEMA = "block long, range long, check long, totals array<binary>"
+SENT_SCHEMA = "range long, block long, check long, grams array<binary>, counts binary"
+BACK_SCHEMA = "block long, range long, check long, totals binary"
 
 
 def checksum(arrays: list[np.ndarray]) -> int:
@@ -205,13 +279,15 @@ def read_block(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarra
     return row["ids"][0], unpack(row["hashes"][0]), unpack(row["slots"][0]), unpack(row["lens"][0]).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame, grams_of, bits: int, lower: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def corpus_counts(docs: DataFrame, grams_of, bits: int, lower: bool, block_bytes: int = BLOCK_BYTES, packing=None) -> DataFrame:
     """For every block, the corpus-wide totals of its distinct n-grams.
 
     ``grams_of(hashes, slots, lens)`` lists arrays of (sorted distinct gram hash, count in the block),
-    one for each table. Returns rows (block, range, check, totals): ``totals`` has a packed array for
-    each table, in the order of the block's sorted grams that fall in the hash range.
+    one for each table. ``packing`` lists how each table's grams are packed and unpacked; None: as sorted
+    hashes. Returns rows (block, range, check, totals): ``totals`` is a packed array of all tables, one after
+    the other, each in the order of the block's sorted grams that fall in the hash range.
     """
+    packing = packing or defaultdict(lambda: (pack_sorted, unpack_sorted))
 
     def send(batches):
         for block, _, texts in iter_blocks(batches, block_bytes):
@@ -220,22 +296,25 @@ def corpus_counts(docs: DataFrame, grams_of, bits: int, lower: bool, block_bytes
             kept = np.unique(np.concatenate([range_of(g, bits) for g, _ in found]))
             cuts = kept.astype(U64) << U64(64 - bits) if bits else kept.astype(U64)
             bounds = [np.append(np.searchsorted(g, cuts), len(g)) for g, _ in found]
-            grams = [[pack_sorted(g[b[k] : b[k + 1]]) for (g, _), b in zip(found, bounds, strict=True)] for k in range(len(kept))]
-            counts = [[pack(narrow(c[b[k] : b[k + 1]])) for (_, c), b in zip(found, bounds, strict=True)] for k in range(len(kept))]
+            grams = [[packing[t][0](g[b[k] : b[k + 1]]) for t, ((g, _), b) in enumerate(zip(found, bounds, strict=True))] for k in range(len(kept))]
+            counts = [pack(narrow(np.concatenate([c[b[k] : b[k + 1]] for (_, c), b in zip(found, bounds, strict=True)]))) for k in range(len(kept))]
             yield pa.record_batch(
                 [
                     pa.array(kept, pa.int64()), pa.array([block] * len(kept), pa.int64()), pa.array([check] * len(kept), pa.int64()),
-                    pa.array(grams, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.binary())),
+                    pa.array(grams, pa.list_(pa.binary())), pa.array(counts, pa.binary()),
                 ],
                 ["range", "block", "check", "grams", "counts"],
             )
 
     def total(table: pa.Table) -> pa.Table:
         got = table.to_pydict()
-        out: list[list[bytes]] = [[] for _ in got["block"]]
+        out: list[list[np.ndarray]] = [[] for _ in got["block"]]
+        sent = [unpack(c) for c in got["counts"]]
+        ends = [0] * len(sent)
         for t in range(len(got["grams"][0])):
-            parts = [unpack_sorted(g[t]) for g in got["grams"]]
-            counts = np.concatenate([unpack(c[t]).astype(np.int64) for c in got["counts"]])
+            parts = [packing[t][1](g[t]) for g in got["grams"]]
+            counts = np.concatenate([c[e : e + len(p)] for c, e, p in zip(sent, ends, parts, strict=True)]).astype(np.int64)
+            ends = [e + len(p) for e, p in zip(ends, parts, strict=True)]
             grams = np.concatenate(parts)
             order = np.argsort(grams, kind="stable")
             ranked = grams[order]
@@ -247,19 +326,19 @@ def corpus_counts(docs: DataFrame, grams_of, bits: int, lower: bool, block_bytes
             totals[order] = np.repeat(sums, np.diff(np.append(start, len(ranked))))
             at = 0
             for k, part in enumerate(parts):
-                out[k].append(pack(narrow(totals[at : at + len(part)])))
+                out[k].append(narrow(totals[at : at + len(part)]))
                 at += len(part)
         return pa.table(
-            {"block": pa.array(got["block"], pa.int64()), "range": pa.array(got["range"], pa.int64()), "check": pa.array(got["check"], pa.int64()), "totals": pa.array(out, pa.list_(pa.binary()))}
+            {"block": pa.array(got["block"], pa.int64()), "range": pa.array(got["range"], pa.int64()), "check": pa.array(got["check"], pa.int64()), "totals": pa.array([pack(np.concatenate(x)) for x in out], pa.binary())}
         )
 
     return docs.mapInArrow(send, SENT_SCHEMA).groupBy("range").applyInArrow(total, BACK_SCHEMA)
 
 
-def with_counts(docs: DataFrame, grams_of, place, schema: str, bits: int, lower: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def with_counts(docs: DataFrame, grams_of, place, schema: str, bits: int, lower: bool, block_bytes: int = BLOCK_BYTES, packing=None) -> DataFrame:
     """``place(ids, hashes, slots, lens, tables)`` over every block, where ``tables`` lists (sorted
     grams, corpus-wide totals); it returns an Arrow table of ``schema``."""
-    totals = corpus_counts(docs, grams_of, bits, lower, block_bytes)
+    totals = corpus_counts(docs, grams_of, bits, lower, block_bytes, packing)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
@@ -267,12 +346,15 @@ def with_counts(docs: DataFrame, grams_of, place, schema: str, bits: int, lower:
         ids, hashes, slots, lens = read_block(left)
         found = grams_of(hashes, slots, lens)
         got = right.sort_by("range").to_pydict()
-        tables = []
-        for t, (grams, _) in enumerate(found):
-            parts = [unpack(x[t]).astype(np.int64) for x in got["totals"]]
-            tables.append((grams, np.concatenate(parts) if parts else np.empty(0, np.int64)))
-        if any(len(g) != len(c) for g, c in tables) or (got["check"] and set(got["check"]) != {checksum([g for g, _ in found])}):
+        back = [unpack(x) for x in got["totals"]]
+        sizes = [np.diff(np.searchsorted(range_of(g, bits), got["range"]), append=len(g)) for g, _ in found]
+        if sum(map(len, back)) != sum(len(g) for g, _ in found) or (got["check"] and set(got["check"]) != {checksum([g for g, _ in found])}):
             raise RuntimeError("a block differs between two reads: the input is not a repeatable scan; write it first")
+        tables, ends = [], np.zeros(len(back), np.int64)
+        for (grams, _), size in zip(found, sizes, strict=True):
+            parts = [x[e : e + k].astype(np.int64) for x, e, k in zip(back, ends, size, strict=True)]
+            tables.append((grams, np.concatenate(parts) if parts else np.empty(0, np.int64)))
+            ends = ends + size
         return place(ids, hashes, slots, lens, tables)
 
     blocks = coded_blocks(docs, lower, block_bytes)

@@ -31,16 +31,13 @@ BLOCK_BYTES = 8 << 20
 SCHEMA = "doc_id long, n_words long, n_backed_off long, score double, mean_score double"
 
 
-def _grams(order: int):
-    def grams(hashes, slots, lens):
-        return [np.unique(blocks.ngram_hashes(hashes, slots, lens, n)[0], return_counts=True) for n in range(1, order + 1)]
-
-    return grams
-
-
 def own_counts(h: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """How often each gram occurs within its own text."""
-    order = np.lexsort((h, of))
+    """How often each gram occurs within its own text; ``h`` are small numbers of the grams."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (h, of)] + [len(h).bit_length()]
+    if sum(bits) < 64:  # plain sorts of one number are many times as fast as sorts of two that keep positions
+        order = np.sort((h << bits[1] | of) << bits[2] | np.arange(len(h))) & ((1 << bits[2]) - 1)
+    else:
+        order = np.lexsort((of, h))
     hs, os = h[order], of[order]
     new = np.ones(len(h), bool)
     new[1:] = (hs[1:] != hs[:-1]) | (os[1:] != os[:-1])
@@ -51,23 +48,51 @@ def own_counts(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def stupid_backoff(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", frequent: int = 1 << blocks.NUMBER_BITS) -> DataFrame:
     """(doc_id, n_words, n_backed_off, score, mean_score), a row for each row of ``docs``.
 
     A null or empty text has no words, score 0 and a null mean. Rows with equal ids are scored each
-    for itself. An empty table gives an empty result. Other columns of ``docs`` are ignored.
+    for itself. An empty table gives an empty result. Other columns of ``docs`` are ignored. ``frequent`` words
+    at most (65,536) get numbers, by which n-grams made of them travel; it changes bytes, not results.
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    _, n_words = common.corpus_size(docs)
+    n_words, words = blocks.frequent_words(docs, frequent)
     bits = blocks.range_bits(common.shuffle_partitions(docs.sparkSession), n_words * order)
+    numbered = np.argsort(words)
+    held = docs.sparkSession.sparkContext.broadcast((words[numbered], numbered))
+
+    def numbers(hashes):
+        ranked, number = held.value
+        if not len(ranked):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(ranked, hashes), len(ranked) - 1)
+        return np.where(ranked[at] == hashes, number[at], -1)
+
+    def grams_of(hashes, slots, lens):
+        out, number = [], numbers(hashes)
+        for n in range(1, order + 1):
+            names, known, _ = blocks.ngram_names(hashes, slots, lens, n, number, bits)
+            out += [np.unique(names[~known], return_counts=True), np.unique(names[known], return_counts=True)]
+        return out
+
+    def packing(n):
+        return (blocks.pack_sorted, blocks.unpack_sorted), (lambda names: blocks.pack_numbered(names, n), blocks.unpack_numbered)
 
     def place(ids, hashes, slots, lens, tables):
         starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
         left: list[np.ndarray] = []  # by order: count without the own text, at the position of the gram's last word
         total = int(lens.sum())
-        for n, (grams, totals) in enumerate(tables, 1):
-            h, of = blocks.ngram_hashes(hashes, slots, lens, n)
-            f = totals[np.searchsorted(grams, h)] - own_counts(h, of)
+        number = numbers(hashes)
+        for n in range(1, order + 1):
+            names, known, of = blocks.ngram_names(hashes, slots, lens, n, number, bits)
+            (rest, rest_totals), (grams, totals) = tables[2 * n - 2 : 2 * n]
+            gram = np.empty(len(names), np.int64)
+            gram[~known] = np.searchsorted(rest, names[~known])
+            gram[known] = np.searchsorted(grams, names[known]) + len(rest)
+            own = np.ones(len(gram), np.int64)
+            repeated = np.bincount(gram)[gram] > 1  # within the block; a gram found once is its text's own
+            own[repeated] = own_counts(gram[repeated], of[repeated])
+            f = np.concatenate([rest_totals, totals])[gram] - own
             at = np.flatnonzero(np.repeat(lens >= n, lens) & (np.arange(total) - np.repeat(starts, lens) >= n - 1))
             full = np.full(total, -1, np.int64)
             full[at] = f
@@ -95,5 +120,6 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id",
             }
         )
 
-    scored = blocks.with_counts(docs, _grams(order), place, SCHEMA, bits, lower=False, block_bytes=BLOCK_BYTES)
+    packings = [x for n in range(1, order + 1) for x in packing(n)]
+    scored = blocks.with_counts(docs, grams_of, place, SCHEMA, bits, lower=False, block_bytes=BLOCK_BYTES, packing=packings)
     return scored.withColumn("mean_score", F.nanvl("mean_score", F.lit(None).cast("double")))
