@@ -67,24 +67,66 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=U64)
 
 
+def pack_in_range(names: np.ndarray, bits: int) -> bytes:
+    """Sorted ``names`` that share their first ``bits``, without these, in the Elias-Fano form: low bits as they
+    are, the others as gaps in unary. It has no table to send along, so small ranges cost what large ones do."""
+    n = len(names)
+    if not n:
+        return b""
+    rest = names & U64((1 << (64 - bits)) - 1)
+    low = max(64 - bits - n.bit_length(), 0)
+    whole, odd = divmod(low, 8)
+    gaps = np.zeros(int(rest[-1] >> U64(low)) + n, np.uint8)
+    gaps[(rest >> U64(low)).astype(np.int64) + np.arange(n)] = 1
+    some = (rest >> U64(8 * whole)).astype(np.uint8)
+    parts = [np.ascontiguousarray(rest).view(np.uint8).reshape(n, 8)[:, :whole], np.packbits(np.unpackbits(some[:, None], axis=1)[:, 8 - odd :]), np.packbits(gaps)]
+    return struct.pack("<I", n) + b"".join(p.tobytes() for p in parts)
+
+
+def unpack_in_range(blob: bytes, bits: int) -> np.ndarray:
+    """The names without their first ``bits``."""
+    if not blob:
+        return np.empty(0, U64)
+    n = struct.unpack_from("<I", blob)[0]
+    low = max(64 - bits - n.bit_length(), 0)
+    whole, odd = divmod(low, 8)
+    raw = np.frombuffer(blob, np.uint8, offset=4)
+    ends = whole * n, whole * n + -(-odd * n // 8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :whole] = raw[: ends[0]].reshape(n, whole)
+    some = np.zeros((n, 8), np.uint8)
+    some[:, 8 - odd :] = np.unpackbits(raw[ends[0] : ends[1]], count=odd * n).reshape(n, odd)
+    high = np.flatnonzero(np.unpackbits(raw[ends[1] :])) - np.arange(n)
+    return out.view(U64).ravel() | np.packbits(some, axis=1).ravel().astype(U64) << U64(8 * whole) | high.astype(U64) << U64(low)
+
+
 def pack_numbered(names: np.ndarray, words: int) -> bytes:
     """Sorted ``names`` of n-grams of numbered words, without their hash range: the words' numbers place by
-    place, the first as differences, as the rest of a name says nothing that its hash range does not."""
+    place, the first as differences, each as its number of bits and these bits."""
     if not len(names):
         return b""
-    parts = [narrow((names >> U64(NUMBER_BITS * k)) & U64((1 << NUMBER_BITS) - 1)) for k in reversed(range(words))]
-    blobs = [pack(narrow(np.diff(parts[0], prepend=parts[0].dtype.type(0)))), *map(pack, parts[1:])]
-    return b"".join(struct.pack("<I", len(b)) + b for b in blobs)
+    parts = [(names >> U64(NUMBER_BITS * k) & U64((1 << NUMBER_BITS) - 1)).astype(np.uint32) for k in reversed(range(words))]
+    values = np.concatenate([np.diff(parts[0], prepend=np.uint32(0)), *parts[1:]]) + np.uint32(1)
+    size = np.frexp(values)[1] - 1  # bits after the first one, 16 at most
+    bits = np.unpackbits((values << (32 - size).astype(np.uint32)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, :2], axis=1)
+    sizes = pack(size.astype(np.uint8))
+    return struct.pack("<II", len(names), len(sizes)) + sizes + np.packbits(bits[np.arange(16) < size[:, None]]).tobytes()
 
 
-def unpack_numbered(blob: bytes) -> np.ndarray:
+def unpack_numbered(blob: bytes, words: int) -> np.ndarray:
     """The names without the bits of their hash range."""
-    out, at = np.empty(0, U64), 0
-    while at < len(blob):
-        size = struct.unpack_from("<I", blob, at)[0]
-        part = unpack(blob[at + 4 : at + 4 + size]).astype(U64)
-        out = out << U64(NUMBER_BITS) | part if at else np.cumsum(part, dtype=U64)
-        at += 4 + size
+    if not blob:
+        return np.empty(0, U64)
+    n, length = struct.unpack_from("<II", blob)
+    size = unpack(blob[8 : 8 + length]).astype(np.int64)
+    bits = np.unpackbits(np.frombuffer(blob, np.uint8, offset=8 + length), count=int(size.sum()))
+    every = np.zeros((len(size), 16), np.uint8)
+    every[np.arange(16) < size[:, None]] = bits
+    tail = np.packbits(every, axis=1).view(">u2").ravel().astype(np.int64) >> (16 - size)
+    parts = ((1 << size) + tail - 1).astype(U64).reshape(words, n)
+    out = np.cumsum(parts[0], dtype=U64)
+    for part in parts[1:]:
+        out = out << U64(NUMBER_BITS) | part
     return out
 
 

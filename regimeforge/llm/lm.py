@@ -57,7 +57,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id",
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     n_words, words = blocks.frequent_words(docs, frequent)
-    bits = blocks.range_bits(common.shuffle_partitions(docs.sparkSession), n_words * order)
+    bits = blocks.range_bits(common.shuffle_partitions(docs.sparkSession), n_words * order // 4)  # six tables, counted one at a time: a range may take four times as much
     numbered = np.argsort(words)
     held = docs.sparkSession.sparkContext.broadcast((words[numbered], numbered))
 
@@ -76,7 +76,8 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id",
         return out
 
     def packing(n):
-        return (blocks.pack_sorted, blocks.unpack_sorted), (lambda names: blocks.pack_numbered(names, n), blocks.unpack_numbered)
+        hashed = lambda names: blocks.pack_in_range(names, bits), lambda blob: blocks.unpack_in_range(blob, bits)
+        return hashed, (lambda names: blocks.pack_numbered(names, n), lambda blob: blocks.unpack_numbered(blob, n))
 
     def place(ids, hashes, slots, lens, tables):
         starts = np.concatenate([[0], np.cumsum(lens)])[:-1]

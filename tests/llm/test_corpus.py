@@ -472,8 +472,22 @@ def test_numbered_names_come_back_without_their_range(n):
     draw = np.random.default_rng(n)
     for size in (0, 1, 500):
         keys = np.unique(draw.integers(0, 1 << 16 * n, size, dtype=np.uint64))
-        names = keys | np.uint64(5 << 61) if n < 4 else keys
-        assert (blocks.unpack_numbered(blocks.pack_numbered(names, n)) == keys).all()
+        names = keys | np.uint64(5 << 61)
+        assert blocks.unpack_numbered(blocks.pack_numbered(names, n), n).tolist() == keys.tolist()
+
+
+@pytest.mark.parametrize("bits", [0, 3, 14, 40, 63])
+def test_names_of_a_range_cost_the_same_in_small_ranges(bits):
+    draw = np.random.default_rng(bits)
+    for size in (0, 1, 2, 7, 100, 3000):
+        keys = np.unique(draw.integers(0, 1 << (64 - bits), size, dtype=np.uint64))
+        if size:
+            keys[-1] = (1 << (64 - bits)) - 1
+            keys = np.unique(keys)
+        names = keys | np.uint64(((1 << bits) - 1) << (64 - bits) & (1 << 64) - 1)
+        blob = blocks.pack_in_range(names, bits)
+        assert blocks.unpack_in_range(blob, bits).tolist() == keys.tolist()
+        assert len(blob) <= 7 + len(keys) * (max(64 - bits - len(keys).bit_length(), 0) + 3) / 8
 
 
 @pytest.mark.parametrize("least", [0, 1 << 50], ids=["small", "large"])
