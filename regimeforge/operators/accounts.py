@@ -118,18 +118,65 @@ def reconciled(events: DataFrame, opening: DataFrame, ending: DataFrame) -> Data
     return out.select(F.coalesce("item", F.lit("cash")).alias("item"), "opening", "moved", "ending", (F.col("opening") + F.col("moved") - F.col("ending")).alias("difference"))
 
 
-def _before(rows: DataFrame, keys: list[str], bucket: str, value: str, order: list) -> DataFrame:
-    """``rows`` with _lo and _hi, the running sum of ``value`` before and after each row: sums by bucket of time, the
-    sums before a bucket, and the running sum within it. A task holds a bucket of a key."""
-    within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.groupBy(*keys, bucket).agg(F.sum(value).alias("_s"))
-    past = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, bucket, F.coalesce(F.sum("_s").over(past), F.lit(0)).alias("_past"))
-    out = rows.withColumn("_run", F.sum(value).over(within)).join(sums, [*keys, bucket])
-    return out.withColumns({"_hi": F.col("_past") + F.col("_run"), "_lo": F.col("_past") + F.col("_run") - F.col(value)}).drop("_past", "_run")
-
-
-def signed_lots(fills: DataFrame, opening: DataFrame | None = None, bucket: Column | None = None) -> DataFrame:
+#: A symbol with more fills than this is split by time and by stretches of its axes; mean fills in a stretch.
+BUSY, STRETCH = 100_000, 1000
+
+
+def _past(rows: DataFrame, **sums: Column) -> DataFrame:
+    """(symbol, _b, names): sums over a symbol's buckets of time before each one, and over all of them (name_all)."""
+    within = rows.groupBy("symbol", "_b").agg(*(x.alias(n) for n, x in sums.items()))
+    by = Window.partitionBy("symbol")
+    before = by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    over = lambda n, w: F.coalesce(F.sum(n).over(w), F.lit(0))
+    return within.select("symbol", "_b", *(over(n, before).alias(n) for n in sums), *(over(n, by).alias(f"{n}_all") for n in sums))
+
+
+def _points(parts: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """(symbol, dir, _k, at, starts, role, closed, held): where ranges begin on the two axes of a symbol, one for each direction.
+
+    ``parts``: symbol, _late, ts, id, price, fee, multiplier, _q. Windows by symbol give all, but with ``split`` (symbol, _width: the
+    length of a stretch) running sums are taken within _b, a bucket of time, and added to those of the buckets before; a
+    range that goes on into other stretches has a point (not ``starts``) at the head of each of them.
+    """
+    keys = ["symbol"] if split is None else ["symbol", "_b"]
+    along = Window.partitionBy(*keys).orderBy("_late", F.asc_nulls_last("ts"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.withColumn("_lo", F.sum("_q").over(along) - F.col("_q"))
+    if split is not None:
+        rows = rows.join(_past(parts, _p=F.sum("_q")), keys).withColumn("_lo", F.col("_lo") + F.col("_p"))
+    rows = rows.withColumn("_close", F.when(F.signum("_lo") * F.signum("_q") < 0, F.least(F.abs("_lo"), F.abs("_q"))).otherwise(0).cast("long"))
+    rows = rows.withColumns({"_open": F.abs("_q") - F.col("_close"), "_buy": F.col("_q") > 0})
+    # a buy opens on the long axis and closes on the short one, a sale the other way
+    sides = (F.col("_buy"), ~F.col("_buy"))
+    so_far = lambda role: F.coalesce(*(F.when(side, F.sum(F.when(side, F.col(role)).otherwise(0)).over(along)) for side in sides))
+    rows = rows.withColumns({"_open_hi": so_far("_open"), "_close_hi": so_far("_close")})
+    if split is not None:
+        rows = store.stored(rows.drop("_late", "ts", "quantity", "_lo", "_p", "_p_all"), "lots")
+        past = _past(rows, **{f"_{role}_{n}": F.max(F.when(side, F.col(f"_{role}_hi"))) for role in ("open", "close") for n, side in zip(("buy", "sale"), sides, strict=True)})
+        rows = rows.join(past, keys).join(F.broadcast(split), "symbol")
+        own = lambda role: F.col(f"_{role}_hi") + F.when(F.col("_buy"), F.col(f"_{role}_buy")).otherwise(F.col(f"_{role}_sale"))
+        rows = rows.withColumns({"_open_hi": own("open"), "_close_hi": own("close"), "closed": F.when(F.col("_buy"), F.col("_close_sale_all")).otherwise(F.col("_close_buy_all"))})
+    else:
+        total = lambda side: F.sum(F.when(side, F.col("_close")).otherwise(0)).over(Window.partitionBy("symbol"))
+        rows = rows.withColumn("closed", F.when(F.col("_buy"), total(~F.col("_buy"))).otherwise(total(F.col("_buy"))))
+    sign = F.when(F.col("_buy"), 1).otherwise(-1)
+    lot = F.struct("id", "price", "fee", "multiplier", F.abs("_q").alias("all"))
+    point = lambda role, direction: F.struct(F.lit(role).alias("role"), direction.alias("dir"), F.struct(F.col(f"_{role}_hi").alias("hi"), (F.col(f"_{role}_hi") - F.col(f"_{role}")).alias("lo"), lot.alias("lot")).alias("held"))
+    each = F.explode(F.filter(F.array(point("close", -sign), point("open", sign)), lambda x: x["held"]["hi"] > x["held"]["lo"]))
+    rows = rows.withColumn("x", each).select("*", "x.*")
+    if split is None:
+        return rows.select("symbol", "dir", F.lit(0).alias("_k"), F.col("held.lo").alias("at"), F.lit(True).alias("starts"), "role", "closed", "held")
+    first = F.expr("held.lo div _width")
+    rows = rows.withColumn("_k", F.explode(F.sequence(first, F.expr("(held.hi - 1) div _width"))))
+    return rows.select("symbol", "dir", "_k", F.greatest("held.lo", F.col("_k") * F.col("_width")).alias("at"), (F.col("_k") == first).alias("starts"), "role", "closed", "held")
+
+
+def _met(points: DataFrame) -> DataFrame:
+    """Points where ranges begin, with the lot (open) and the fill (close) that hold there."""
+    here = Window.partitionBy("symbol", "dir", "_k").orderBy("at", "starts", "role").rowsBetween(Window.unboundedPreceding, 0)
+    return points.withColumns({r: F.last(F.when(F.col("role") == r, F.col("held")), True).over(here) for r in ("open", "close")}).where("starts").drop("held", "_k")
+
+
+def signed_lots(fills: DataFrame, opening: DataFrame | None = None, bucket: Column | None = None, busy: int = BUSY, stretch: int = STRETCH) -> DataFrame:
     """(symbol, direction, open_id, close_id, quantity, gross, fees, net): lots matched first in, first out, long and
     short, with what stays open (close_id null, gross and net null, fees those of the rest).
 
@@ -137,36 +184,25 @@ def signed_lots(fills: DataFrame, opening: DataFrame | None = None, bucket: Colu
     same columns. A fill against the position closes, and what is more than the position opens the other
     way. Since a position turns only when all of it is closed, the k-th unit opened in a direction is closed by
     the k-th unit closed in it. Both become ranges on one axis, and each point where a range begins pairs the lot and
-    the fill that hold there: one sorted pass, in proportion to fills however large they are. What was opened and closed and
-    the points are read more than once, so both are written to the shared folder. A busy symbol is split
-    by ``bucket`` of time (default: day) and then by stretches of the axis. Fees are shared by quantity.
+    the fill that hold there: one sorted pass, in proportion to fills however large they are. Fills are exchanged once, by
+    symbol. Only symbols with more than ``busy`` fills, counted first, are split by ``bucket`` of time (default: day) and then by
+    stretches of the axis; their opened and closed units are written to the shared folder, as they are read twice. Fees
+    are shared by quantity.
     """
     cut = F.to_date("ts") if bucket is None else bucket
     parts = fills.select(F.lit(1).alias("_late"), "symbol", "id", "ts", "quantity", "price", "fee", "multiplier")
     if opening is not None:
         parts = parts.unionByName(opening.select(F.lit(0).alias("_late"), "symbol", "id", "ts", "quantity", "price", "fee", "multiplier"))
-    parts = parts.withColumn("_q", (F.col("quantity") * UNITS).cast("long")).where("_q <> 0").withColumn("_b", F.struct("_late", cut.alias("b")))
-    along = ["_late", "ts", "id"]
-    parts = _before(parts, ["symbol"], "_b", "_q", along)
-    against = F.signum("_lo") * F.signum("_q") < 0
-    closes = F.when(against, F.least(F.abs("_lo"), F.abs("_q"))).otherwise(0).cast("long")
-    lot = F.struct("id", "price", "fee", "multiplier", F.abs("_q").alias("all"))
-    side = lambda role, units, sign: F.struct(F.lit(role).alias("role"), units.alias("units"), sign.cast("int").alias("dir"))
-    rows = parts.select("symbol", "_b", *along, lot.alias("lot"), F.explode(F.array(side("close", closes, F.signum("_lo")), side("open", F.abs("_q") - closes, F.signum("_q")))).alias("x"))
-    rows = store.stored(rows.select("symbol", "_b", *along, "lot", "x.*").where("units > 0"), "lots")
-    axis = ["symbol", "dir"]
-    # stretches of the axis as long as a mean fill of the symbol times 1000
-    scale = rows.groupBy(*axis).agg(F.ceil(F.sum("units") / F.count("*") * 1000).alias("_width"), F.coalesce(F.sum(F.when(F.col("role") == "close", F.col("units"))), F.lit(0)).alias("_closed"))
-    rows = _before(rows, ["symbol", "dir", "role"], "_b", "units", along)
-    held = F.struct(F.col("_hi").alias("hi"), F.col("_lo").alias("lo"), "lot")
-    points = rows.join(scale, axis).select(*axis, F.floor(F.col("_lo") / F.col("_width")).alias("_k"), F.col("_lo").alias("at"), "role", "_closed", *(F.when(F.col("role") == r, held).alias(r) for r in ("open", "close")))
-    points = store.stored(points, "points")
-    ends = points.groupBy(*axis, "_k").agg(*(F.max_by(r, F.when(F.col(r).isNotNull(), F.col("at"))).alias(f"_{r}") for r in ("open", "close")))
-    past = Window.partitionBy(*axis).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*axis, "_k", *(F.last(f"_{r}", True).over(past).alias(f"_{r}") for r in ("open", "close")))
-    here = Window.partitionBy(*axis, "_k").orderBy("at", "role").rowsBetween(Window.unboundedPreceding, 0)
-    met = points.withColumns({r: F.last(r, True).over(here) for r in ("open", "close")}).join(ends, [*axis, "_k"])
-    met = met.select(*axis, "at", "role", "_closed", *(F.coalesce(r, f"_{r}").alias(r) for r in ("open", "close")))
+    parts = parts.withColumn("_q", (F.col("quantity") * UNITS).cast("long")).where("_q <> 0 and symbol is not null")
+    # a stretch is as long as many mean fills of the symbol, so ranges go on into few others
+    split = parts.groupBy("symbol").agg(F.count("*").alias("_n"), F.ceil(F.sum(F.abs("_q")) / F.count("*") * stretch).alias("_width")).where(F.col("_n") > busy)
+    split = store.stored(split.select("symbol", "_width"), "busy")
+    if split.isEmpty():
+        met = _met(_points(parts))
+    else:
+        quiet, loud = (parts.join(F.broadcast(split), "symbol", how) for how in ("left_anti", "left_semi"))
+        loud = loud.withColumn("_b", F.struct("_late", cut.isNull().alias("none"), cut.alias("b")))
+        met = _met(_points(quiet)).unionByName(_met(_points(loud, split)))
 
     units = (F.least("open.hi", "close.hi") - F.col("at")).cast("long")
     whole = lambda n: n.cast("decimal(15,0)")
@@ -174,7 +210,7 @@ def signed_lots(fills: DataFrame, opening: DataFrame | None = None, bucket: Colu
     amount = lambda n: (n.cast("decimal(18,0)") / UNITS).cast(QUANTITY)
     gain = (F.col("close.lot.price") - F.col("open.lot.price")).cast("decimal(15,6)")
     gross = ((amount(units) * F.col("dir")).cast(QUANTITY) * gain * F.col("open.lot.multiplier").cast(MULTIPLIER)).cast(MONEY)
-    left = (F.col("open.hi") - F.greatest("open.lo", "_closed")).cast("long")
+    left = (F.col("open.hi") - F.greatest("open.lo", "closed")).cast("long")
     # a point is a pair, or where a lot opens its rest, or both: one pass gives either
     result = lambda close_id, n, gross, fees: F.struct(close_id.cast(fills.schema["id"].dataType).alias("close_id"), amount(n).alias("quantity"), gross.cast(MONEY).alias("gross"), fees.cast(MONEY).alias("fees"))
     pair = F.when(F.col("open").isNotNull() & F.col("close").isNotNull() & (units > 0), result(F.col("close.lot.id"), units, gross, share("open", units) + share("close", units)))

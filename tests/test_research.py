@@ -182,6 +182,27 @@ def test_signed_lots_equal_a_fold_over_fills(spark):
     assert accounts.signed_lots(spark.createDataFrame([], kind)).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [1, 7])
+def test_lots_of_a_busy_symbol_go_on_through_days_and_stretches(spark, stretch):
+    draw = random.Random(stretch)
+    mult = {"A": Decimal(100), "B": Decimal(1)}
+    fills = []
+    for k in range(300):
+        symbol, q = draw.choice("AAAAB"), Decimal(draw.randrange(1, 900)) / 100 * draw.choice([1, -1]) * (1000 if k % 97 == 0 else 1)
+        fills.append((symbol, f"f{k:03}", day(draw.randrange(20)), q, Decimal(draw.randrange(100, 9000)) / 100, Decimal(draw.randrange(50)) / 100, mult[symbol]))
+    opening = [("A", "o1", day(-9), Decimal("-40.5"), Decimal(20), Decimal("1.5"), mult["A"])]
+    kind = "symbol string, id string, ts timestamp_ntz, quantity decimal(15,6), price decimal(14,6), fee decimal(14,6), multiplier decimal(6,0)"
+    got = accounts.signed_lots(spark.createDataFrame(fills, kind), spark.createDataFrame(opening, kind), busy=100, stretch=stretch).collect()
+    assert sorted((r.symbol, r.direction, r.open_id, str(r.close_id), r.quantity, r.gross) for r in got) == sorted((*e[:3], str(e[3]), *e[4:6]) for e in brute_lots(fills, opening))
+
+
+@pytest.mark.parametrize("busy", [0, accounts.BUSY])
+def test_fills_without_a_time_come_last(spark, busy):
+    one, kind = Decimal(1), "symbol string, id string, ts timestamp_ntz, quantity decimal(15,6), price decimal(14,6), fee decimal(14,6), multiplier decimal(6,0)"
+    fills = [("A", "late", None, -one, one, one, one), ("A", "early", day(1), one, one, one, one)]
+    assert [(r.direction, r.open_id, r.close_id) for r in accounts.signed_lots(spark.createDataFrame(fills, kind), busy=busy).collect()] == [(1, "early", "late")]
+
+
 def test_latches_follow_cash_flows(spark):
     m = lambda s, h, e, flows=0.0, prior=None: ("a", dt.date(2020, 1, s), dt.datetime(2020, 1, s, h), e, flows, prior)
     rows = [

@@ -64,3 +64,13 @@ def test_hard_filters_count_in_one_pass(spark):
 def test_signed_lots_are_evaluated_once(large):
     shuffled, _ = measured(large, lambda: run(large, "lg_fifo_signed"))
     assert shuffled / LINES < 400
+
+
+def test_signed_lots_exchange_fills_once_and_write_none(large):
+    shuffled, _ = measured(large, lambda: run(large, "lg_fifo_signed"))
+    assert shuffled / LINES < 100
+
+
+def test_signed_lots_of_quiet_symbols_have_one_exchange_of_fills(spark):
+    plan = registry.queries()["lg_fifo_signed"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
